@@ -16,7 +16,7 @@ from .common import WORD, stored
 #: Topic by the first sign found in a text.
 TOPIC_SIGNS = [("mail", "@"), ("table", "|"), ("code", "="), ("shout", "!!"), ("question", "?"), ("numbers", "+")]
 POWERS = {"source": 0.7, "lang": 0.8, "topic": 0.9}
-SWEEPS = 8
+SWEEPS = 5
 
 
 def topic_of(text: Column) -> Column:
@@ -41,7 +41,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS)
         for dim, goal in targets.items():
             factor = now.groupBy(dim).agg(F.sum(F.col("weight") * F.col("tokens")).alias("have")).join(goal, dim).select(dim, F.when(F.col("have") > 0, F.col("goal") / F.col("have")).otherwise(1.0).alias("factor"))
             now = now.join(factor, dim, "left").select(*cells.columns, (F.col("weight") * F.coalesce("factor", F.lit(1.0))).alias("weight"))
-        now = stored(now.coalesce(1) if now.rdd.getNumPartitions() > 64 else now, "rake")
+        now = stored(now, "rake")
     return now
 
 

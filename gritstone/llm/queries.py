@@ -17,6 +17,12 @@ def op4_mixing(spark, sf_dir):
     return mix(documents(spark, sf_dir))
 
 
+def op5_private_data(spark, sf_dir):
+    from .private import find_private
+
+    return find_private(documents(spark, sf_dir))
+
+
 def op6_language_id(spark, sf_dir):
     from .language_id import language_id
 
@@ -37,6 +43,12 @@ def op9_byte_bpe(spark, sf_dir):
     return bpe(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op10_order_minhash(spark, sf_dir):
+    from .order_minhash import order_minhash
+
+    return order_minhash(documents(spark, sf_dir))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
