@@ -117,3 +117,45 @@ def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
 
 def signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
+
+
+def merged(blobs: DataFrame, kind: str, how: str, size: int) -> np.ndarray:
+    """One array of ``size`` numbers from rows (part int, blob binary), one a task: added or or-ed by 16 tasks, whose
+    results of that fixed size meet on the driver."""
+    import pyarrow as pa
+
+    op = {"add": np.add, "or": np.bitwise_or}[how]
+
+    def fold(batches):
+        total = None
+        for batch in batches:
+            for b in batch.column(1):
+                a = np.frombuffer(b.as_buffer(), kind)
+                total = a.copy() if total is None else op(total, a, out=total)
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["part", "blob"])
+
+    total = np.zeros(size, kind)
+    for row in blobs.repartition(16, "part").mapInArrow(fold, "part int, blob binary").toLocalIterator():
+        op(total, np.frombuffer(row.blob, kind), out=total)
+    return total
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, comp) for all nodes of edges (a, b): the least node reachable, by alternating large and small stars.
+    Every step is an aggregate (pre-aggregated by the map side) and an equi-join, and is stored."""
+    now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    before = None
+    while True:
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        large = stored(large, "edges")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+        now = stored(small, "edges")
+        seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+        if seen == before:
+            break
+        before = seen
+    return now.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())

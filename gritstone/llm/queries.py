@@ -29,6 +29,12 @@ def op6_language_id(spark, sf_dir):
     return language_id(documents(spark, sf_dir))
 
 
+def op7_ngram_join(spark, sf_dir):
+    from .ngram_join import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir))
+
+
 def op8_exact_dedup(spark, sf_dir):
     from .exact_dedup import exact_dedup
 
