@@ -11,6 +11,12 @@ def op1_quality_classifier(spark, sf_dir):
     return quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op2_substring_dedup(spark, sf_dir):
+    from .substring_dedup import substring_dedup
+
+    return substring_dedup(documents(spark, sf_dir))
+
+
 def op4_mixing(spark, sf_dir):
     from .mixing import mix
 
