@@ -17,6 +17,12 @@ def op2_substring_dedup(spark, sf_dir):
     return substring_dedup(documents(spark, sf_dir))
 
 
+def op3_lm_scores(spark, sf_dir):
+    from .lm import lm_scores
+
+    return lm_scores(documents(spark, sf_dir))
+
+
 def op4_mixing(spark, sf_dir):
     from .mixing import mix
 
