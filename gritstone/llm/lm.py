@@ -43,7 +43,7 @@ def _aligned(parts: list[np.ndarray]) -> bytes:
 class EliasFano:
     """A non-decreasing sequence below ``universe``: low bits packed, high bits unary with a count a byte block."""
 
-    BLOCK = 64  # bytes of the unary part that share one count
+    BLOCK = 8  # bytes of the unary part that share one count
 
     @staticmethod
     def pack(values: np.ndarray, universe: int) -> bytes:
@@ -77,11 +77,14 @@ class EliasFano:
         block = np.searchsorted(self.counts, i.astype(np.uint32), side="right") - 1
         left = (i - self.counts[block]).astype(np.int64)
         bytes_ = self.unary.reshape(-1, self.BLOCK)[block]
-        ahead = np.cumsum(_ONES[bytes_], axis=1, dtype=np.int64)
-        inside = (ahead <= left[:, None]).sum(axis=1)
-        rows = np.arange(len(i))
-        before = np.where(inside > 0, ahead[rows, np.maximum(inside - 1, 0)], 0)
-        bit = _SELECT[bytes_[rows, inside], left - before].astype(np.int64)
+        ones = _ONES[bytes_]
+        inside, before, ahead = np.zeros(len(i), np.int64), np.zeros(len(i), np.int64), np.zeros(len(i), np.int64)
+        for b in range(self.BLOCK - 1):  # how many whole bytes come before the wanted one
+            ahead += ones[:, b]
+            passed = ahead <= left
+            inside += passed
+            before = np.where(passed, ahead, before)
+        bit = _SELECT[bytes_[np.arange(len(i)), inside], left - before].astype(np.int64)
         high = (block * self.BLOCK + inside) * 8 + bit - i
         low = np.zeros(len(i), np.uint64)
         for b in range(self.width):
@@ -119,7 +122,12 @@ def _successor(w: np.ndarray) -> np.ndarray:
     return mixed(w ^ np.uint64(0xA5A5A5A5)) >> np.uint64(32)
 
 
-def pack_shard(u: np.ndarray, w: np.ndarray, c: np.ndarray, min_count: int = 2) -> tuple[bytes, int, int]:
+#: Of each shard's words: where those begin whose next bits are 0, 1, 2, ...
+DIRECTORY_BITS = 12
+DIRECTORY = 1 << DIRECTORY_BITS
+
+
+def pack_shard(u: np.ndarray, w: np.ndarray, c: np.ndarray, bits: int, min_count: int = 2) -> tuple[bytes, int, int]:
     """(bytes, tokens, words) of a shard from its sorted distinct pairs and counts."""
     first = np.flatnonzero(np.r_[True, u[1:] != u[:-1]]) if len(u) else np.empty(0, np.int64)
     total = np.add.reduceat(c, first) if len(u) else np.empty(0, np.int64)
@@ -139,12 +147,15 @@ def pack_shard(u: np.ndarray, w: np.ndarray, c: np.ndarray, min_count: int = 2)
     names = EliasFano.pack(u[first], 1 << 64)
     pointers = EliasFano.pack(np.r_[0, np.cumsum(children)], int(children.sum()) + 1)
     below = EliasFano.pack((context.astype(np.uint64) << np.uint64(32)) | name, max(len(first), 1) << 32)
-    head = _aligned([np.array([len(first), len(seen)], np.uint64), seen_book, back_book, total.astype(np.uint64), back_code, seen_code])
+    edges = np.searchsorted(u[first] << np.uint64(bits), np.arange(DIRECTORY, dtype=np.uint64) << np.uint64(64 - DIRECTORY_BITS)) if len(first) else np.zeros(DIRECTORY)
+    directory = np.r_[edges, len(first)].astype(np.uint32)
+    head = _aligned([np.array([len(first), len(seen)], np.uint64), directory, seen_book, back_book, total.astype(np.uint64), back_code, seen_code])
     return head + names + pointers + below, int(total.sum()), len(first)
 
 
 class Shard:
-    def __init__(self, data: np.ndarray, at: int):
+    def __init__(self, data: np.ndarray, at: int, bits: int):
+        self.bits = np.uint64(bits)
         n, m = (int(x) for x in data[at : at + 16].view(np.uint64))
 
         def take(kind: str, k: int):
@@ -155,6 +166,7 @@ class Shard:
             return out
 
         at += 16
+        self.directory = take("u4", DIRECTORY + 1)
         self.seen_book, self.back_book = take("f8", 256), take("f8", 256)
         self.counts, self.back, self.seen = take("u8", n), take("u1", n), take("u1", m)
         self.names = EliasFano(data, at)
@@ -162,7 +174,8 @@ class Shard:
         self.below = EliasFano(data, self.pointers.end)
 
     def word(self, u: np.ndarray) -> np.ndarray:
-        return self.names.find(u, np.zeros(len(u), np.int64), np.full(len(u), self.names.n, np.int64))
+        part = (u << self.bits >> np.uint64(64 - DIRECTORY_BITS)).astype(np.int64)
+        return self.names.find(u, self.directory[part], self.directory[part + 1])
 
     def pair(self, context: np.ndarray, w: np.ndarray) -> np.ndarray:
         """Probability of the successor among those seen, 0 if it isn't one."""
@@ -176,7 +189,7 @@ class Model:
 
     def __init__(self, path: str, offsets: dict[int, int], bits: int, tokens: int, words: int):
         data = np.memmap(path, np.uint8, "r") if offsets else None
-        self.shards = {s: Shard(data, at) for s, at in offsets.items()}
+        self.shards = {s: Shard(data, at, bits) for s, at in offsets.items()}
         self.shift, self.tokens, self.words = np.uint64(64 - bits), tokens, words
 
     def score(self, texts: list[str | None], hashes: WordHashes) -> tuple[np.ndarray, ...]:
@@ -253,7 +266,7 @@ def _counted(bits: int):
     return run
 
 
-def _tries(min_count: int):
+def _tries(bits: int, min_count: int):
     """Rows sorted by shard, streamed; a shard's pairs are merged as they come. Out: its trie."""
 
     def run(batches):
@@ -264,7 +277,7 @@ def _tries(min_count: int):
             return _distinct(u, w, c)
 
         def out():
-            blob, tokens, words = pack_shard(*merge(), min_count)
+            blob, tokens, words = pack_shard(*merge(), bits, min_count)
             return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([tokens], pa.int64()), pa.array([words], pa.int64()), pa.array([blob], pa.binary())], names=["shard", "tokens", "words", "trie"])
 
         for batch in batches:
@@ -293,7 +306,7 @@ def train(rows: DataFrame, min_count: int = 2) -> tuple[str, dict[int, int], int
     spark = rows.sparkSession
     bits = max(4, (2 * partitions(spark) - 1).bit_length())
     counted = rows.mapInArrow(_counted(bits), "shard int, left int, pairs int, blob binary")
-    tries = counted.repartition(partitions(spark), "shard").sortWithinPartitions("shard").mapInArrow(_tries(min_count), "shard int, tokens long, words long, trie binary")
+    tries = counted.repartition(partitions(spark), "shard").sortWithinPartitions("shard").mapInArrow(_tries(bits, min_count), "shard int, tokens long, words long, trie binary")
     tries = stored(tries, "tries")
     path = scratch(spark, "trie")
     shared = path.startswith("file:")

@@ -209,7 +209,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     scan = stored(rows.mapInArrow(_sets, "doc_id long, node long, n long, blob binary"), "sets")
     own = scan.where("node is not null").select("doc_id", "node", "n")
-    counts = merged(scan.where("blob is not null").select(F.monotonically_increasing_id().cast("int").alias("part"), "blob"), "int64", "add", SKETCH)
+    counts = merged(scan.where("blob is not null").select(F.pmod(F.xxhash64("blob"), F.lit(16)).cast("int").alias("part"), "blob"), "int64", "add", SKETCH)
     order = share(counts)
 
     postings = rows.select("text").mapInArrow(_postings(order), "tok long, node long")
