@@ -18,6 +18,7 @@ import os
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import SparkFiles
@@ -29,6 +30,8 @@ from .common import WordHashes, held_out, mixed, partitions, scratch, split_word
 END = np.uint64(xxhash.xxh3_64_intdigest(b" end "))
 CHUNK = 2_000_000  # tokens counted before they are dealt
 _SELECT = np.array([[next((b for b in range(8) if bin(x & ((2 << b) - 1)).count("1") == k + 1 and x >> b & 1), 8) for k in range(8)] for x in range(256)], np.uint8)
+#: Of the Python worker, which later tasks of a stage find filled.
+_HASHES = WordHashes(800_000)
 _ONES = np.array([bin(x).count("1") for x in range(256)], np.uint8)
 
 
@@ -91,21 +94,28 @@ class EliasFano:
             low |= self.lows[i, b].astype(np.uint64) << np.uint64(8 * b)
         return high.astype(np.uint64) << np.uint64(self.low) | low
 
-    def find(self, x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """Place of each x within [lo, hi), or -1: a binary search of all at once."""
-        lo, end = lo.astype(np.int64).copy(), hi.astype(np.int64)
-        top = end.copy()
-        live = np.flatnonzero(lo < top)
-        while len(live):
-            mid = (lo[live] + top[live]) >> 1
-            less = self.get(mid) < x[live]
-            lo[live[less]] = mid[less] + 1
-            top[live[~less]] = mid[~less]
-            live = live[lo[live] < top[live]]
+    def find(self, x: np.ndarray, lo: np.ndarray, hi: np.ndarray, least: np.ndarray, span: float) -> np.ndarray:
+        """Place of each x within [lo, hi), or -1. Values of a range are spread evenly over [least, least + span), so
+        all are searched at once by interpolation, with a halving in every third step as a safeguard."""
         out = np.full(len(x), -1, np.int64)
-        there = np.flatnonzero(lo < end)
-        hit = there[self.get(lo[there]) == x[there]] if len(there) else there
-        out[hit] = lo[hit]
+        live = np.flatnonzero(lo < hi)
+        x, lo, hi, base = x[live], lo[live].astype(np.int64), hi[live].astype(np.int64), least[live]
+        at = (x - base).astype(np.float64)
+        left, right = np.zeros(len(x)), np.full(len(x), span)
+        step = 0
+        while len(live):
+            step += 1
+            share = 0.5 if step % 3 == 0 else np.clip((at - left) / np.maximum(right - left, 1.0), 0.0, 1.0)
+            mid = np.minimum(lo + ((hi - lo) * share).astype(np.int64), hi - 1)
+            got = self.get(mid)
+            hit = got == x
+            out[live[hit]] = mid[hit]
+            less = got < x
+            value = (got - base).astype(np.float64)
+            lo, left = np.where(less, mid + 1, lo), np.where(less, value, left)
+            hi, right = np.where(less, hi, mid), np.where(less, right, value)
+            on = np.flatnonzero(~hit & (lo < hi))
+            live, x, lo, hi, base, at, left, right = live[on], x[on], lo[on], hi[on], base[on], at[on], left[on], right[on]
         return out
 
 
@@ -175,22 +185,33 @@ class Shard:
 
     def word(self, u: np.ndarray) -> np.ndarray:
         part = (u << self.bits >> np.uint64(64 - DIRECTORY_BITS)).astype(np.int64)
-        return self.names.find(u, self.directory[part], self.directory[part + 1])
+        width = 64 - int(self.bits) - DIRECTORY_BITS
+        return self.names.find(u, self.directory[part], self.directory[part + 1], u >> np.uint64(width) << np.uint64(width), 2.0**width)
 
     def pair(self, context: np.ndarray, w: np.ndarray) -> np.ndarray:
         """Probability of the successor among those seen, 0 if it isn't one."""
         lo, hi = self.pointers.get(context).astype(np.int64), self.pointers.get(context + 1).astype(np.int64)
-        at = self.below.find((context.astype(np.uint64) << np.uint64(32)) | _successor(w), lo, hi)
+        own = context.astype(np.uint64) << np.uint64(32)
+        at = self.below.find(own | _successor(w), lo, hi, own, 2.0**32)
         return np.where(at >= 0, 10.0 ** self.seen_book[self.seen[np.maximum(at, 0)]] if len(self.seen) else 0.0, 0.0)
 
 
+def _ranked(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values and the place of each value among them; only the distinct ones are sorted."""
+    codes, own = pd.factorize(values)
+    order = np.argsort(own, kind="stable")
+    place = np.empty(len(own), np.int64)
+    place[order] = np.arange(len(own))
+    return own[order], place[codes]
+
+
 class Model:
     """All shards of one mapped file; ``offsets`` by shard, a shard being the top bits of a word's hash."""
 
-    def __init__(self, path: str, offsets: dict[int, int], bits: int, tokens: int, words: int):
-        data = np.memmap(path, np.uint8, "r") if offsets else None
+    def __init__(self, path: str, offsets: dict[int, int], bits: int, tokens: int, words: int, min_count: int = 2):
+        data = np.memmap(path, np.uint8, "r").view(np.ndarray) if offsets else None
         self.shards = {s: Shard(data, at, bits) for s, at in offsets.items()}
-        self.shift, self.tokens, self.words = np.uint64(64 - bits), tokens, words
+        self.shift, self.tokens, self.words, self.min_count = np.uint64(64 - bits), tokens, words, min_count
 
     def score(self, texts: list[str | None], hashes: WordHashes) -> tuple[np.ndarray, ...]:
         """(tokens, known tokens, base score, score) of each text."""
@@ -198,7 +219,7 @@ class Model:
         size = np.array([len(s) + 1 for s in seqs])
         nxt = np.concatenate([np.r_[s, END] for s in seqs])
         prv = np.concatenate([np.r_[END, s] for s in seqs])
-        vocab, of = np.unique(np.concatenate([nxt, prv]), return_inverse=True)
+        vocab, of = _ranked(np.concatenate([nxt, prv]))
         wi, ui = of[: len(nxt)], of[len(nxt) :]
         count, place = np.zeros(len(vocab)), np.full(len(vocab), -1, np.int64)
         backoff = np.ones(len(vocab))
@@ -211,14 +232,14 @@ class Model:
                 count[own] = np.where(at >= 0, part.counts[np.maximum(at, 0)], 0)
                 backoff[own] = np.where(at >= 0, 10.0 ** part.back_book[part.back[np.maximum(at, 0)]], 1.0)
         uni = (count + 1) / (self.tokens + self.words + 1)
-        pairs, back = np.unique(ui.astype(np.int64) * len(vocab) + wi, return_inverse=True)
+        pairs, back = _ranked(ui.astype(np.int64) * len(vocab) + wi)
         pu, pw = np.divmod(pairs, len(vocab))
         seen = np.zeros(len(pairs))
         edges = np.searchsorted(shard[pu], np.arange(int(shard[-1]) + 2))
         for s in np.unique(shard[pu]).tolist():
             if s in self.shards:
                 own = np.arange(edges[s], edges[s + 1])
-                own = own[place[pu[own]] >= 0]
+                own = own[(place[pu[own]] >= 0) & (np.minimum(count[pu[own]], count[pw[own]]) >= self.min_count)]
                 if len(own):
                     seen[own] = self.shards[s].pair(place[pu[own]], vocab[pw[own]])
         p = np.log10(seen + backoff[pu] * uni[pw])[back]
@@ -252,7 +273,7 @@ def _counted(bits: int):
         return pa.RecordBatch.from_arrays([pa.array(col, kind) for col, kind in zip(zip(*out), (pa.int32(), pa.int32(), pa.int32(), pa.binary()))], names=["shard", "left", "pairs", "blob"])
 
     def run(batches):
-        hashes, seqs, n = WordHashes(), [], 0
+        hashes, seqs, n = _HASHES, [], 0
         for batch in batches:
             for t in batch.column(0).to_pylist():
                 seqs.append(hashes.of(split_words(t, lower=True)))
@@ -345,8 +366,8 @@ def lm_scores(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_c
     path, offsets, bits, tokens, words = train(rows.where(~F.col("held_out")).select("text"), min_count)
 
     def run(batches):
-        model = Model(path if os.path.isabs(path) else SparkFiles.get(path), offsets, bits, tokens, words)
-        hashes = WordHashes()
+        model = Model(path if os.path.isabs(path) else SparkFiles.get(path), offsets, bits, tokens, words, min_count)
+        hashes = _HASHES
         for batch in batches:
             texts = batch.column(2).to_pylist()
             parts = [model.score(texts[lo:hi], hashes) for lo, hi in _slices(texts, 4_000_000)]
