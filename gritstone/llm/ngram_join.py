@@ -4,7 +4,9 @@
 2. A sketch of fixed size counts shingles over the whole corpus. Sets are ordered by (count, hash), rarest first:
    any one order is right for prefix filtering, this one keeps boilerplate out of prefixes.
 3. Two sets that link share a shingle among the first n - ceil(3n/4) + 1 of each. Nodes that share one form a block.
-4. Rounds: each block whose nodes are not yet connected names leaders; a leader's set is held against the others'
+4. Nodes that blocks connect form a family. A family of bounded size is joined in one task: each set is held against
+   earlier sets that share a prefix shingle and are not connected with it yet, in a prefix tree, a few at first.
+5. Larger families go through rounds: each block whose nodes are not yet connected names leaders; a leader's set is held against the others'
    sets, which lie in a prefix tree. A leader's pairs are then settled and it leaves the block. Blocks of few nodes
    settle all their pairs at once. No pair of different components in one block stays untested, so no link that
    joins components is lost; pairs within a component need no test.
@@ -25,6 +27,7 @@ BLOOM_BITS = 1 << 24
 SMALL = 24  # blocks of at most so many nodes settle at once
 LEADERS = 3  # named by a block and round
 CHUNK = 2048  # sets in one prefix tree
+FAMILY = 6000  # nodes, and a thousand times as many shingles, that one task joins
 
 
 def shingles(text: str | None, hashes: WordHashes) -> np.ndarray:
@@ -189,6 +192,54 @@ def _verify(batches):
         yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], names=["a", "b"])
 
 
+def join_family(names: list[int], sets: list[np.ndarray], known: list[int] | None = None) -> list[int]:
+    """The component of each set: the least name that links reach. known: sets of one value are connected already."""
+    label = np.unique(known, return_inverse=True)[1] if known else np.arange(len(sets))
+    size = np.array([len(x) for x in sets])
+    held: dict[int, list[int]] = {}
+    plain: dict[int, tuple[int, ...]] = {}
+    for i, own in enumerate(sets):
+        x = plain[i] = tuple(own.tolist())
+        prefix = x[: len(x) - needed(len(x)) + 1]
+        near = [held[t] for t in prefix if t in held]
+        left = np.unique(np.concatenate([np.array(n) for n in near])) if near else np.empty(0, np.int64)
+        left = left[4 * np.minimum(size[left], size[i]) >= 3 * np.maximum(size[left], size[i])]
+        chunk = 24
+        while len(left := left[label[left] != label[i]]):
+            for j in probe(list(x), sorted((plain[int(j)], int(j)) for j in left[:chunk])):
+                a, b = sorted((int(label[i]), int(label[j])))
+                if a != b:
+                    label[label == b] = a
+            left, chunk = left[chunk:], min(4 * chunk, CHUNK)
+        for t in prefix:
+            held.setdefault(t, []).append(i)
+    least: dict[int, int] = {}
+    for n, k in zip(names, label.tolist()):
+        least[k] = min(n, least.get(k, n))
+    return [least[k] for k in label.tolist()]
+
+
+def _families(batches):
+    """Rows sorted by family, streamed; a family is held whole, its size is bounded. Out: links (a, b) to the least."""
+    family, names, known, sets = None, [], [], []
+
+    def out():
+        found = [(n, c) for n, c in zip(names, join_family(names, sets, known)) if n != c]
+        return pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.int64()), pa.array([c for _, c in found], pa.int64())], names=["a", "b"])
+
+    for batch in batches:
+        for f, node, comp, toks in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            if f != family:
+                if names:
+                    yield out()
+                family, names, known, sets = f, [], [], []
+            names.append(node)
+            known.append(comp)
+            sets.append(np.frombuffer(toks, np.uint64))
+    if names:
+        yield out()
+
+
 def _held_against(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Links among pairs (lead, node). A leader with many pairs is dealt out in parts, its own set with each."""
     parts = pairs.groupBy("lead").agg((F.floor(F.count(F.lit(1)) / CHUNK) + 1).cast("int").alias("parts"))
@@ -220,7 +271,6 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     sets = rows.select("text").mapInArrow(_wanted_sets(share((counts, bits))), "node long, toks binary")
     sets = stored(sets.groupBy("node").agg(F.first("toks").alias("toks")).join(nodes, "node", "left_semi"), "candidates")
     comp = stored(sets.select("node", (F.length("toks") / 8).cast("int").alias("n"), F.col("node").alias("comp")), "comp")
-
     turn = 0
     while True:
         b = blocks.join(comp, "node")
@@ -228,6 +278,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
         b = stored(b.join(live, "tok"), "round")
         if b.isEmpty():
             break
+        # Families of what is still open; those of bounded size are settled whole.
+        family = components(b.select(F.col("node").alias("a"), F.col("lead0.node").alias("b"))).withColumnRenamed("comp", "family")
+        member = family.join(sets, "node").join(comp.select("node", "comp"), "node")
+        small = member.groupBy("family").agg(F.count(F.lit(1)).alias("k"), F.sum(F.length("toks") / 8).alias("shingles")).where((F.col("k") <= FAMILY) & (F.col("shingles") <= 1000 * FAMILY)).select("family")
+        small = stored(small, "small")
+        in_task = member.join(small, "family").select("family", "node", "comp", "toks").repartition(partitions(spark), "family").sortWithinPartitions("family")
+        settled = stored(in_task.mapInArrow(_families, "a long, b long"), "settled")
+        b = b.join(family.join(small, "family", "left_anti").select("node"), "node", "left_semi")
         fits = "4 * least(a.n, b.n) >= 3 * greatest(a.n, b.n)"
         few = b.where(F.col("size") <= SMALL).select("tok", "node", "n", "comp")
         pairs = few.alias("a").join(few.alias("b"), (F.col("a.tok") == F.col("b.tok")) & (F.col("a.comp") < F.col("b.comp"))).where(fits).select(F.col("a.node").alias("lead"), F.col("b.node").alias("node"))
@@ -235,8 +293,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
         lead = many.select("tok", "node", "n", "comp", F.explode(F.array_distinct(F.array(*[f"lead{i}" for i in range(LEADERS)]))).alias("l"))
         pairs = pairs.unionByName(lead.where("comp <> l.comp and 4 * least(n, l.n) >= 3 * greatest(n, l.n)").select(F.col("l.node").alias("lead"), "node")).select(F.least("lead", "node").alias("x"), F.greatest("lead", "node").alias("y")).distinct()
         links = stored(_held_against(stored(pairs.select(F.col("x").alias("lead"), F.col("y").alias("node")), "pairs"), sets), "links")
+        # What stays open: large families without the leaders, whose pairs are settled.
         blocks = stored(many.where(" and ".join(f"node <> lead{i}.node" for i in range(LEADERS))).select("tok", "node"), "blocks")
-        linked = links.join(comp.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a").join(comp.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+        linked = links.unionByName(settled).join(comp.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a").join(comp.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
         joined = components(linked).withColumnRenamed("node", "old").withColumnRenamed("comp", "new")
         comp = stored(comp.join(joined, comp["comp"] == joined["old"], "left").select("node", "n", F.coalesce("new", "comp").alias("comp")), "comp")
         turn += 1

@@ -93,11 +93,20 @@ def test_ngram_join(docs, none, rows, monkeypatch):
         ids = [rows[j][0] for j in range(len(rows)) if comp[j] == comp[i] and rows[j][0] is not None]
         want[(r[0], len(sets[i]), min(ids) if sets[i] and ids else r[0])] += 1
     assert Counter(tuple(r) for r in ngram_join.near_duplicates(docs).collect()) == want
-    monkeypatch.setattr(ngram_join, "SMALL", 1)  # leaders' rounds to the end
+    monkeypatch.setattr(ngram_join, "SMALL", 1)
+    monkeypatch.setattr(ngram_join, "FAMILY", 2)  # leaders' rounds to the end
     assert Counter(tuple(r) for r in ngram_join.near_duplicates(docs).collect()) == want
     assert ngram_join.near_duplicates(none).count() == 0
 
 
+def test_components_agree(spark):
+    from gritstone.llm.common import components
+
+    r = random.Random(3)
+    e = spark.createDataFrame([(r.randrange(60), r.randrange(60)) for _ in range(45)], "a long, b long")
+    assert sorted(components(e).collect()) == sorted(components(e, in_one_task=0).collect())
+
+
 def test_probe_equals_brute_force():
     r = random.Random(2)
     base = sorted(r.sample(range(200), 40))
