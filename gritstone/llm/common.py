@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -115,6 +118,60 @@ def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
         return mixed((total[k:] - total[:-k]) * back)
 
 
+#: 64 random bits by byte, A-Z as a-z; zero for the separators.
+_BYTES = np.random.default_rng(20).integers(1, MASK, 256, np.uint64)
+_BYTES[list(SPACES.encode())] = 0
+_BYTES[65:91] = _BYTES[97:123]
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
+_INVERSES = np.ones(1, np.uint64)
+PIECE = 1 << 20
+
+
+def _inverses(n: int) -> np.ndarray:
+    global _INVERSES
+    if len(_INVERSES) < n:
+        p = np.full(max(n, 2 * len(_INVERSES)), pow(_BASE, -1, 1 << 64), np.uint64)
+        p[0] = 1
+        with np.errstate(over="ignore"):
+            _INVERSES = np.multiply.accumulate(p)
+    return _INVERSES[:n]
+
+
+def lower_word_hashes(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For slices of consecutive rows, of about ``PIECE`` bytes unless one text is longer: the 64-bit hashes of all
+    their words, A-Z lower-cased, and each row's bounds among them. A hash is a polynomial over the word's bytes.
+    Longer texts are hashed piece by piece, cut between words; null is empty."""
+    text = column.fill_null("").cast(pa.large_binary())
+    if not len(text):
+        return
+    at = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+    data = np.frombuffer(text.buffers()[2] or b"", np.uint8)
+    first = 0
+    while first < len(text):
+        last = max(first + 1, int(np.searchsorted(at, at[first] + PIECE, "right")) - 1)
+        rows, lo, end = at[first:last], int(at[first]), int(at[last])
+        starts, hashes = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+        while lo < end:
+            hi = min(end, lo + PIECE)
+            if hi < end:
+                gap = _GAP.search(data, hi)
+                hi = min(end, gap.start() if gap else end)
+            t = _BYTES[data[lo:hi]]
+            word = t != 0
+            start = word.copy()
+            start[1:] &= ~word[:-1]
+            inside = rows[(rows >= lo) & (rows < hi)] - lo
+            start[inside] = word[inside]
+            s = np.flatnonzero(start)
+            if len(s):
+                with np.errstate(over="ignore"):
+                    hashes.append(mixed(np.add.reduceat(t * _powers(hi - lo), s) * _inverses(hi - lo)[s]))
+                starts.append(s + lo)
+            lo = hi
+        yield np.concatenate(hashes), np.searchsorted(np.concatenate(starts), at[first : last + 1])
+        first = last
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 
@@ -122,8 +179,6 @@ def signed(x: np.ndarray) -> np.ndarray:
 def merged(blobs: DataFrame, kind: str, how: str, size: int) -> np.ndarray:
     """One array of ``size`` numbers from rows (part int, blob binary), one a task: added or or-ed by 16 tasks, whose
     results of that fixed size meet on the driver."""
-    import pyarrow as pa
-
     op = {"add": np.add, "or": np.bitwise_or}[how]
 
     def fold(batches):
@@ -146,8 +201,6 @@ IN_ONE_TASK = 1_000_000
 
 
 def _union_find(batches):
-    import pyarrow as pa
-
     up: dict[int, int] = {}
 
     def find(x: int) -> int:

@@ -14,12 +14,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, components, merged, mixed, partitions, signed, split_words, stored, window_hashes
+from .common import components, lower_word_hashes, merged, mixed, partitions, signed, stored
 
 WIDTH = 5
 SKETCH = 1 << 18
@@ -30,21 +32,37 @@ CHUNK = 2048  # sets in one prefix tree
 FAMILY = 6000  # nodes, and a thousand times as many shingles, that one task joins
 
 
-def shingles(text: str | None, hashes: WordHashes) -> np.ndarray:
-    """The distinct shingle hashes of a text, ascending."""
-    words = split_words(text, lower=True)
-    h = hashes.of(words)
-    if len(h) >= WIDTH:
-        return np.unique(window_hashes(h, WIDTH))
-    if len(h):
-        return mixed(window_hashes(h, len(h)) + np.uint64(len(h)))
-    return h
-
-
-def node_of(s: np.ndarray) -> int:
-    """One signed 64-bit name for a set."""
+def shingle_sets(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Slices of an Arrow text column: the distinct shingle hashes of each row, ascending, end to end, and bounds."""
+    powers = [np.uint64(pow(0x9E3779B97F4A7C15, i, 1 << 64)) for i in range(WIDTH)]
+    with np.errstate(over="ignore"):
+        for h, bounds in lower_word_hashes(column):
+            k = max(len(h) - WIDTH + 1, 0)
+            windows = mixed(sum((h[i : i + k] * powers[i] for i in range(WIDTH)), np.zeros(k, np.uint64)))
+            found = [h[:0]]
+            for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                if hi - lo >= WIDTH:
+                    own = windows[lo : hi - WIDTH + 1]
+                    own.sort()
+                    found.append(own)
+                elif hi > lo:
+                    found.append(mixed((h[lo:hi] * powers[: hi - lo]).sum(keepdims=True) + np.uint64(hi - lo)))
+                else:
+                    found.append(h[:0])
+            flat = np.concatenate(found)
+            ends = np.cumsum([len(f) for f in found])
+            new = np.ones(len(flat), bool)
+            new[1:] = flat[1:] != flat[:-1]
+            new[ends[ends < len(flat)]] = True
+            yield flat[new], np.concatenate([np.zeros(1, np.int64), np.cumsum(new)])[ends]
+
+
+def nodes_of(flat: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """One signed 64-bit name for each set; 0 for empty ones."""
     with np.errstate(over="ignore"):
-        return int(signed(mixed(np.array([mixed(s).sum(dtype=np.uint64) + np.uint64(len(s))], np.uint64)))[0]) if len(s) else 0
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(flat))])
+        sizes = np.diff(bounds)
+        return np.where(sizes > 0, signed(mixed(np.diff(total[bounds]) + sizes.astype(np.uint64))), 0)
 
 
 def needed(n: int) -> int:
@@ -54,43 +72,54 @@ def needed(n: int) -> int:
 
 def _sets(batches):
     """doc rows (doc_id, node, n), and at the end of the task one row with its counts."""
-    hashes, counts = WordHashes(), np.zeros(SKETCH, np.int64)
+    counts = np.zeros(SKETCH, np.int64)
     for batch in batches:
-        nodes, sizes, touched = [], [], []
-        for t in batch.column(1).to_pylist():
-            s = shingles(t, hashes)
-            touched.append((s & np.uint64(SKETCH - 1)).astype(np.int64))
-            nodes.append(node_of(s))
-            sizes.append(len(s))
-        k = len(nodes)
-        if k:
-            counts += np.bincount(np.concatenate(touched), minlength=SKETCH)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(k, pa.binary())], names=["doc_id", "node", "n", "blob"])
+        nodes, sizes = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for flat, bounds in shingle_sets(batch.column(1)):
+            counts += np.bincount((flat & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
+            nodes.append(nodes_of(flat, bounds))
+            sizes.append(np.diff(bounds))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(sizes)), pa.nulls(batch.num_rows, pa.binary())], names=["doc_id", "node", "n", "blob"])
     yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([counts.tobytes()], pa.binary())], names=["doc_id", "node", "n", "blob"])
 
 
 def _ordered(s: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Rarest first; counts beyond 65,535 tie, then the hash decides."""
     return s[np.argsort(counts[(s & np.uint64(SKETCH - 1)).astype(np.int64)], kind="stable")]
 
 
+def _fresh(batches, column):
+    """(node, set) of texts whose set no earlier text of the task has."""
+    seen = set()
+    for batch in batches:
+        for flat, bounds in shingle_sets(batch.column(column)):
+            for node, lo, hi in zip(nodes_of(flat, bounds).tolist(), bounds[:-1].tolist(), bounds[1:].tolist()):
+                if lo < hi and node not in seen:
+                    if len(seen) >= 500_000:
+                        seen.clear()
+                    seen.add(node)
+                    yield node, flat[lo:hi]
+
+
 def _postings(shared):
     def run(batches):
-        counts, hashes, seen = shared.value, WordHashes(), set()
-        for batch in batches:
-            toks, nodes = [], []
-            for t in batch.column(0).to_pylist():
-                s = shingles(t, hashes)
-                node = node_of(s)
-                if not len(s) or node in seen:  # an equal set of this task has been dealt with
-                    continue
-                if len(seen) >= 500_000:
-                    seen.clear()
-                seen.add(node)
-                p = _ordered(s, counts)[: len(s) - needed(len(s)) + 1]
-                toks.append(p)
-                nodes.append(np.full(len(p), node, np.int64))
-            if toks:
-                yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(toks))), pa.array(np.concatenate(nodes))], names=["tok", "node"])
+        counts, toks, nodes, held = shared.value, [], [], 0
+
+        def out():
+            flat = pa.array(signed(np.concatenate(toks)))
+            names = pa.array(np.repeat(np.array(nodes, np.int64), [len(p) for p in toks]))
+            return pa.RecordBatch.from_arrays([flat, names], names=["tok", "node"])
+
+        for node, s in _fresh(batches, 0):
+            p = _ordered(s, counts)[: len(s) - needed(len(s)) + 1]
+            toks.append(p)
+            nodes.append(node)
+            held += len(p)
+            if held >= 200_000:
+                yield out()
+                toks, nodes, held = [], [], 0
+        if toks:
+            yield out()
 
     return run
 
@@ -112,22 +141,18 @@ def _wanted_sets(shared):
     """(node, ordered set) of texts whose node may be in a block; a false positive costs a row, no more."""
 
     def run(batches):
-        (counts, bits), hashes, seen = shared.value, WordHashes(), set()
-        for batch in batches:
-            out = {}
-            for t in batch.column(0).to_pylist():
-                s = shingles(t, hashes)
-                node = node_of(s)
-                if not len(s) or node in seen or node in out:
-                    continue
-                at = _bits(np.array([node], np.int64))[:, 0]
-                if (bits[at >> 3] >> (at & 7) & 1).all():
-                    out[node] = _ordered(s, counts).tobytes()
-            if len(seen) >= 500_000:
-                seen.clear()
-            seen.update(out)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.binary())], names=["node", "toks"])
+        (counts, bits), names, sets, held = shared.value, [], [], 0
+        for node, s in _fresh(batches, 0):
+            at = _bits(np.array([node], np.int64))[:, 0]
+            if (bits[at >> 3] >> (at & 7) & 1).all():
+                names.append(node)
+                sets.append(_ordered(s, counts).tobytes())
+                held += len(s)
+            if held >= 1_000_000:
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sets, pa.binary())], names=["node", "toks"])
+                names, sets, held = [], [], 0
+        if names:
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sets, pa.binary())], names=["node", "toks"])
 
     return run
 
@@ -261,6 +286,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     scan = stored(rows.mapInArrow(_sets, "doc_id long, node long, n long, blob binary"), "sets")
     own = scan.where("node is not null").select("doc_id", "node", "n")
     counts = merged(scan.where("blob is not null").select(F.pmod(F.xxhash64("blob"), F.lit(16)).cast("int").alias("part"), "blob"), "int64", "add", SKETCH)
+    counts = np.minimum(counts, 65_535).astype(np.uint16)  # these sort by radix
     order = share(counts)
 
     postings = rows.select("text").mapInArrow(_postings(order), "tok long, node long")
