@@ -258,6 +258,8 @@ def _families(batches):
                 if names:
                     yield out()
                 family, names, known, sets = f, [], [], []
+            elif node == names[-1]:  # another task's copy of the set
+                continue
             names.append(node)
             known.append(comp)
             sets.append(np.frombuffer(toks, np.uint64))
@@ -267,8 +269,8 @@ def _families(batches):
 
 def _held_against(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Links among pairs (lead, node). A leader with many pairs is dealt out in parts, its own set with each."""
-    parts = pairs.groupBy("lead").agg((F.floor(F.count(F.lit(1)) / CHUNK) + 1).cast("int").alias("parts"))
-    salted = pairs.join(parts, "lead").select("lead", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("salt"), "node")
+    parts = stored(pairs.groupBy("lead").agg((F.floor(F.count(F.lit(1)) / CHUNK) + 1).cast("int").alias("parts")), "parts")
+    salted = stored(pairs.join(parts, "lead").select("lead", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("salt"), "node"), "salted")
     others = salted.join(sets, "node").select("lead", "salt", F.lit(1).alias("role"), "node", "toks")
     leads = parts.join(sets, parts["lead"] == sets["node"]).select("lead", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(0).alias("role"), "node", "toks")
     rows = others.unionByName(leads).repartition(partitions(pairs.sparkSession), "lead", "salt").sortWithinPartitions("lead", "salt", "role")
@@ -295,8 +297,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     nodes = stored(blocks.select("node").distinct(), "nodes")
     bits = merged(nodes.mapInArrow(_bloom, "part int, blob binary"), "uint8", "or", BLOOM_BITS // 8)
     sets = rows.select("text").mapInArrow(_wanted_sets(share((counts, bits))), "node long, toks binary")
-    sets = stored(sets.groupBy("node").agg(F.first("toks").alias("toks")).join(nodes, "node", "left_semi"), "candidates")
-    comp = stored(sets.select("node", (F.length("toks") / 8).cast("int").alias("n"), F.col("node").alias("comp")), "comp")
+    # Not shuffled: one row for each task that met the set. Sets move only to where they are compared, copies merge there.
+    sets = stored(sets, "candidates")
+    comp = stored(nodes.join(own.groupBy("node").agg(F.min("n").cast("int").alias("n")), "node").select("node", "n", F.col("node").alias("comp")), "comp")
     turn = 0
     while True:
         b = blocks.join(comp, "node")
@@ -306,10 +309,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
             break
         # Families of what is still open; those of bounded size are settled whole.
         family = components(b.select(F.col("node").alias("a"), F.col("lead0.node").alias("b"))).withColumnRenamed("comp", "family")
-        member = family.join(sets, "node").join(comp.select("node", "comp"), "node")
-        small = member.groupBy("family").agg(F.count(F.lit(1)).alias("k"), F.sum(F.length("toks") / 8).alias("shingles")).where((F.col("k") <= FAMILY) & (F.col("shingles") <= 1000 * FAMILY)).select("family")
+        member = family.join(comp, "node")
+        small = member.groupBy("family").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("shingles")).where((F.col("k") <= FAMILY) & (F.col("shingles") <= 1000 * FAMILY)).select("family")
         small = stored(small, "small")
-        in_task = member.join(small, "family").select("family", "node", "comp", "toks").repartition(partitions(spark), "family").sortWithinPartitions("family")
+        member = stored(member.join(small, "family").select("family", "node", "comp"), "members")
+        in_task = sets.join(member, "node").select("family", "node", "comp", "toks").repartition(partitions(spark), "family").sortWithinPartitions("family", "node")
         settled = stored(in_task.mapInArrow(_families, "a long, b long"), "settled")
         b = b.join(family.join(small, "family", "left_anti").select("node"), "node", "left_semi")
         fits = "4 * least(a.n, b.n) >= 3 * greatest(a.n, b.n)"
