@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, lower_word_hashes, merged, mixed, partitions, signed, stored
+from .common import components, lower_word_hashes, merged, mixed, partitions, released, signed, stored
 
 WIDTH = 5
 SKETCH = 1 << 18
@@ -293,7 +293,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
 
     postings = rows.select("text").mapInArrow(_postings(order), "tok long, node long")
     shared = postings.groupBy("tok").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("tok")
-    blocks = stored(postings.join(shared, "tok").distinct(), "blocks")
+    blocks = released(stored(postings.join(shared, "tok").distinct(), "blocks"))
     nodes = stored(blocks.select("node").distinct(), "nodes")
     bits = merged(nodes.mapInArrow(_bloom, "part int, blob binary"), "uint8", "or", BLOOM_BITS // 8)
     sets = rows.select("text").mapInArrow(_wanted_sets(share((counts, bits))), "node long, toks binary")
@@ -304,7 +304,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     while True:
         b = blocks.join(comp, "node")
         live = b.groupBy("tok").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("size"), *[F.min_by(F.struct("node", "n", "comp"), F.xxhash64("node", F.lit(turn * LEADERS + i))).alias(f"lead{i}") for i in range(LEADERS)]).where("x < y").drop("x", "y")
-        b = stored(b.join(live, "tok"), "round")
+        b = released(stored(b.join(live, "tok"), "round"))
         if b.isEmpty():
             break
         # Families of what is still open; those of bounded size are settled whole.
@@ -314,7 +314,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
         small = stored(small, "small")
         member = stored(member.join(small, "family").select("family", "node", "comp"), "members")
         in_task = sets.join(member, "node").select("family", "node", "comp", "toks").repartition(partitions(spark), "family").sortWithinPartitions("family", "node")
-        settled = stored(in_task.mapInArrow(_families, "a long, b long"), "settled")
+        settled = released(stored(in_task.mapInArrow(_families, "a long, b long"), "settled"))
         b = b.join(family.join(small, "family", "left_anti").select("node"), "node", "left_semi")
         fits = "4 * least(a.n, b.n) >= 3 * greatest(a.n, b.n)"
         few = b.where(F.col("size") <= SMALL).select("tok", "node", "n", "comp")
@@ -322,7 +322,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
         many = b.where(F.col("size") > SMALL)
         lead = many.select("tok", "node", "n", "comp", F.explode(F.array_distinct(F.array(*[f"lead{i}" for i in range(LEADERS)]))).alias("l"))
         pairs = pairs.unionByName(lead.where("comp <> l.comp and 4 * least(n, l.n) >= 3 * greatest(n, l.n)").select(F.col("l.node").alias("lead"), "node")).select(F.least("lead", "node").alias("x"), F.greatest("lead", "node").alias("y")).distinct()
-        links = stored(_held_against(stored(pairs.select(F.col("x").alias("lead"), F.col("y").alias("node")), "pairs"), sets), "links")
+        links = released(stored(_held_against(stored(pairs.select(F.col("x").alias("lead"), F.col("y").alias("node")), "pairs"), sets), "links"))
         # What stays open: large families without the leaders, whose pairs are settled.
         blocks = stored(many.where(" and ".join(f"node <> lead{i}.node" for i in range(LEADERS))).select("tok", "node"), "blocks")
         linked = links.unionByName(settled).join(comp.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a").join(comp.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
