@@ -137,22 +137,31 @@ def _bloom(batches):
     yield pa.RecordBatch.from_arrays([pa.array([int(bits.sum()) & 0xFFFF], pa.int32()), pa.array([bits.tobytes()], pa.binary())], names=["part", "blob"])
 
 
-def _wanted_sets(shared):
-    """(node, ordered set) of texts whose node may be in a block; a false positive costs a row, no more."""
+def _wanted(shared, texts: bool):
+    """(node, text) or (node, ordered set) of rows whose node may be wanted, once a task; a false positive costs a row,
+    no more."""
 
     def run(batches):
-        (counts, bits), names, sets, held = shared.value, [], [], 0
-        for node, s in _fresh(batches, 0):
-            at = _bits(np.array([node], np.int64))[:, 0]
-            if (bits[at >> 3] >> (at & 7) & 1).all():
-                names.append(node)
-                sets.append(_ordered(s, counts).tobytes())
-                held += len(s)
-            if held >= 1_000_000:
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sets, pa.binary())], names=["node", "toks"])
-                names, sets, held = [], [], 0
-        if names:
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sets, pa.binary())], names=["node", "toks"])
+        (counts, bits), seen = shared.value, set()
+        for batch in batches:
+            column, at = batch.column(0), 0
+            for flat, bounds in shingle_sets(column):
+                nodes = nodes_of(flat, bounds)
+                spots = _bits(nodes)
+                hit = (nodes != 0) & (bits[spots >> 3] >> (spots & 7) & 1).all(axis=0)
+                rows, sets = [], []
+                for i in np.flatnonzero(hit).tolist():
+                    if (node := int(nodes[i])) not in seen:
+                        if len(seen) >= 500_000:
+                            seen.clear()
+                        seen.add(node)
+                        rows.append(i)
+                        if not texts:
+                            sets.append(_ordered(flat[bounds[i] : bounds[i + 1]], counts).tobytes())
+                if rows:
+                    content = column.take(pa.array(np.array(rows) + at)) if texts else pa.array(sets, pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes[rows]), content], names=["node", "text" if texts else "toks"])
+                at += len(nodes)
 
     return run
 
@@ -244,27 +253,33 @@ def join_family(names: list[int], sets: list[np.ndarray], known: list[int] | Non
     return [least[k] for k in label.tolist()]
 
 
-def _families(batches):
-    """Rows sorted by family, streamed; a family is held whole, its size is bounded. Out: links (a, b) to the least."""
-    family, names, known, sets = None, [], [], []
+def _families(shared):
+    """Rows (family, node, comp, text) sorted by family, streamed; the sets of one family are held whole, their size is
+    bounded. Out: links (a, b) to the least."""
 
-    def out():
-        found = [(n, c) for n, c in zip(names, join_family(names, sets, known)) if n != c]
-        return pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.int64()), pa.array([c for _, c in found], pa.int64())], names=["a", "b"])
+    def run(batches):
+        counts, family, names, known, sets = shared.value, None, [], [], []
 
-    for batch in batches:
-        for f, node, comp, toks in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            if f != family:
-                if names:
-                    yield out()
-                family, names, known, sets = f, [], [], []
-            elif node == names[-1]:  # another task's copy of the set
-                continue
-            names.append(node)
-            known.append(comp)
-            sets.append(np.frombuffer(toks, np.uint64))
-    if names:
-        yield out()
+        def out():
+            found = [(n, c) for n, c in zip(names, join_family(names, sets, known)) if n != c]
+            return pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.int64()), pa.array([c for _, c in found], pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            own = (flat[lo:hi] for flat, bounds in shingle_sets(batch.column(3)) for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()))
+            for f, node, comp, s in zip(*(batch.column(i).to_pylist() for i in range(3)), own):
+                if f != family:
+                    if names:
+                        yield out()
+                    family, names, known, sets = f, [], [], []
+                elif node == names[-1]:  # another task's copy of the set
+                    continue
+                names.append(node)
+                known.append(comp)
+                sets.append(_ordered(s, counts))
+        if names:
+            yield out()
+
+    return run
 
 
 def _held_against(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -277,6 +292,14 @@ def _held_against(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.mapInArrow(_verify, "a long, b long")
 
 
+def _relabelled(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """comp (node, n, comp) with the components that links (a, b) between nodes join made one."""
+    ends = [comp.select(F.col("node").alias(e), F.col("comp").alias(f"c{e}")) for e in "ab"]
+    linked = links.join(ends[0], "a").join(ends[1], "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+    joined = components(linked).withColumnRenamed("node", "old").withColumnRenamed("comp", "new")
+    return stored(comp.join(joined, comp["comp"] == joined["old"], "left").select("node", "n", F.coalesce("new", "comp").alias("comp")), "comp")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (least doc_id reachable over links, itself included).
 
@@ -291,44 +314,47 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     counts = np.minimum(counts, 65_535).astype(np.uint16)  # these sort by radix
     order = share(counts)
 
+    def found(nodes: DataFrame, texts: bool) -> DataFrame:
+        bits = merged(nodes.select("node").mapInArrow(_bloom, "part int, blob binary"), "uint8", "or", BLOOM_BITS // 8)
+        return rows.select("text").mapInArrow(_wanted(share((counts, bits)), texts), "node long, " + ("text string" if texts else "toks binary"))
+
     postings = rows.select("text").mapInArrow(_postings(order), "tok long, node long")
-    shared = postings.groupBy("tok").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("tok")
+    shared = postings.groupBy("tok").agg(F.min("node").alias("first"), F.max("node").alias("y")).where("first < y").drop("y")
     blocks = released(stored(postings.join(shared, "tok").distinct(), "blocks"))
-    nodes = stored(blocks.select("node").distinct(), "nodes")
-    bits = merged(nodes.mapInArrow(_bloom, "part int, blob binary"), "uint8", "or", BLOOM_BITS // 8)
-    sets = rows.select("text").mapInArrow(_wanted_sets(share((counts, bits))), "node long, toks binary")
-    # Not shuffled: one row for each task that met the set. Sets move only to where they are compared, copies merge there.
-    sets = stored(sets, "candidates")
+    nodes = blocks.select("node").distinct()
     comp = stored(nodes.join(own.groupBy("node").agg(F.min("n").cast("int").alias("n")), "node").select("node", "n", F.col("node").alias("comp")), "comp")
-    turn = 0
-    while True:
-        b = blocks.join(comp, "node")
-        live = b.groupBy("tok").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("size"), *[F.min_by(F.struct("node", "n", "comp"), F.xxhash64("node", F.lit(turn * LEADERS + i))).alias(f"lead{i}") for i in range(LEADERS)]).where("x < y").drop("x", "y")
-        b = released(stored(b.join(live, "tok"), "round"))
-        if b.isEmpty():
+    sets = None
+    while not blocks.isEmpty():
+        # Families of what is open; those of bounded size are settled whole. Their texts move, not their sets: they
+        # are smaller, and are hashed again where they arrive.
+        family = components(blocks.select(F.col("node").alias("a"), F.col("first").alias("b"))).withColumnRenamed("comp", "family")
+        member = stored(family.join(comp, "node"), "members")
+        large = member.groupBy("family").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("shingles")).where((F.col("k") > FAMILY) | (F.col("shingles") > 1000 * FAMILY)).select("family")
+        large = stored(large, "large")
+        small = member.join(large, "family", "left_anti").select("node", "family", "comp")
+        in_task = found(small, True).join(small, "node").select("family", "node", "comp", "text").repartition(partitions(spark), "family").sortWithinPartitions("family", "node")
+        links = released(stored(in_task.mapInArrow(_families(order), "a long, b long"), "settled"))
+        rest = stored(member.join(large, "family", "left_semi").select("node", "n", "comp"), "rest")
+        if rest.isEmpty():
+            comp = _relabelled(comp, links)
             break
-        # Families of what is still open; those of bounded size are settled whole.
-        family = components(b.select(F.col("node").alias("a"), F.col("lead0.node").alias("b"))).withColumnRenamed("comp", "family")
-        member = family.join(comp, "node")
-        small = member.groupBy("family").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("shingles")).where((F.col("k") <= FAMILY) & (F.col("shingles") <= 1000 * FAMILY)).select("family")
-        small = stored(small, "small")
-        member = stored(member.join(small, "family").select("family", "node", "comp"), "members")
-        in_task = sets.join(member, "node").select("family", "node", "comp", "toks").repartition(partitions(spark), "family").sortWithinPartitions("family", "node")
-        settled = released(stored(in_task.mapInArrow(_families, "a long, b long"), "settled"))
-        b = b.join(family.join(small, "family", "left_anti").select("node"), "node", "left_semi")
+        if sets is None:
+            sets = stored(found(rest, False), "candidates")
+        b = blocks.select("tok", "node").join(rest, "node")
+        size = [F.count(F.lit(1)).alias("size"), *[F.min_by(F.struct("node", "n", "comp"), F.xxhash64("node", F.lit(i))).alias(f"lead{i}") for i in range(LEADERS)]]
+        b = released(stored(b.join(b.groupBy("tok").agg(*size), "tok"), "round"))
         fits = "4 * least(a.n, b.n) >= 3 * greatest(a.n, b.n)"
         few = b.where(F.col("size") <= SMALL).select("tok", "node", "n", "comp")
         pairs = few.alias("a").join(few.alias("b"), (F.col("a.tok") == F.col("b.tok")) & (F.col("a.comp") < F.col("b.comp"))).where(fits).select(F.col("a.node").alias("lead"), F.col("b.node").alias("node"))
         many = b.where(F.col("size") > SMALL)
         lead = many.select("tok", "node", "n", "comp", F.explode(F.array_distinct(F.array(*[f"lead{i}" for i in range(LEADERS)]))).alias("l"))
         pairs = pairs.unionByName(lead.where("comp <> l.comp and 4 * least(n, l.n) >= 3 * greatest(n, l.n)").select(F.col("l.node").alias("lead"), "node")).select(F.least("lead", "node").alias("x"), F.greatest("lead", "node").alias("y")).distinct()
-        links = released(stored(_held_against(stored(pairs.select(F.col("x").alias("lead"), F.col("y").alias("node")), "pairs"), sets), "links"))
-        # What stays open: large families without the leaders, whose pairs are settled.
-        blocks = stored(many.where(" and ".join(f"node <> lead{i}.node" for i in range(LEADERS))).select("tok", "node"), "blocks")
-        linked = links.unionByName(settled).join(comp.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a").join(comp.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
-        joined = components(linked).withColumnRenamed("node", "old").withColumnRenamed("comp", "new")
-        comp = stored(comp.join(joined, comp["comp"] == joined["old"], "left").select("node", "n", F.coalesce("new", "comp").alias("comp")), "comp")
-        turn += 1
+        tested = released(stored(_held_against(stored(pairs.select(F.col("x").alias("lead"), F.col("y").alias("node")), "pairs"), sets), "links"))
+        comp = _relabelled(comp, links.unionByName(tested))
+        # What stays open: blocks of large families without the leaders, whose pairs are settled.
+        left = many.where(" and ".join(f"node <> lead{i}.node" for i in range(LEADERS))).select("tok", "node").join(comp, "node")
+        live = left.groupBy("tok").agg(F.min("node").alias("first"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("tok", "first")
+        blocks = released(stored(left.select("tok", "node").join(live, "tok"), "blocks"))
 
     known = own.join(comp.select("node", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = known.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("least"))
