@@ -1,8 +1,10 @@
 """Information-theoretic sanitisation of personal data (operator 5). DataFrame operations only.
 
-Base spans come from four patterns. Then words near protected values are weighed: over the whole corpus, a term
-reveals an entity as far as knowing the term raises the entity's probability (pointwise mutual information, in
-bits). Terms beyond the disclosure threshold become spans of kind ``term`` beside that entity, wherever it occurs.
+Base spans come from four patterns. Then the words of all texts with a protected value are weighed: over the whole
+corpus, a term reveals an entity as far as knowing the term raises the entity's probability (pointwise mutual
+information, in bits). Entities are literal values and, behind them, their kinds; the probability of a value given a
+term is smoothed by that of its kind, and that by the kind's share of texts. Terms beyond the disclosure threshold
+become spans of kind ``term`` wherever they stand, in every text.
 
 Positions come from ``split`` and ``regexp_extract_all`` with one pattern: the pieces between the matches and the
 matches themselves, whose lengths add up. Patterns are possessive and anchored at the start of a run, which changes
@@ -25,10 +27,12 @@ KINDS = {
 }
 #: What a text must hold for the pattern to have a chance; saves most scans.
 GUARD = {"email": "@", "ip": ".", "card": None, "phone": "+"}
-REACH = 40  # code points on either side of a span
-MIN_TEXTS = 3  # distinct texts that show the pair
-MIN_SHARE = 0.5  # of the rows with the term
+WORD = r"\p{L}{3,}+"
+PRIOR = 1.0  # texts that the back-off weighs
+MIN_SHARE = 0.5  # smoothed probability of the entity given the term
 MIN_BITS = 4.0
+#: Bytes of the filter of disclosing terms that scans carry. As it fills more rows are shuffled, results stay exact.
+FILTER_CELLS = 1 << 20
 
 
 def _luhn(digits: Column) -> Column:
@@ -47,62 +51,90 @@ def _valid(kind: str, value: Column) -> Column:
     return {"email": F.lit(True), "ip": value.rlike(rf"^{part}(?:\.{part}){{3}}$"), "card": _luhn(digits), "phone": F.length(digits).between(9, 15)}[kind]
 
 
-def _cut(rows: DataFrame, source: str, pattern: str, name: str, guard: Column) -> DataFrame:
-    """Adds ``name``: array of (start, end, value, left, right) of the matches in a column, with the text around."""
+def _cut(rows: DataFrame, source: str, pattern: Column, name: str, guard: Column) -> DataFrame:
+    """Adds ``name``: array of (start, end, value) of the matches in a column."""
     none = F.array().cast("array<string>")
-    rows = rows.withColumns({"_m": F.when(guard, F.regexp_extract_all(source, F.lit(pattern), 0)).otherwise(none), "_p": F.when(guard, F.split(source, pattern, -1)).otherwise(none)})
-    empty = F.array().cast("array<struct<start:int,end:int,value:string,left:string,right:string>>")
+    rows = rows.withColumns({"_m": F.when(guard, F.regexp_extract_all(source, pattern, F.lit(0))).otherwise(none), "_p": F.when(guard, F.split(source, pattern, -1)).otherwise(none)})
+    empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
 
-    def add(acc, i):
-        m, p = F.get("_m", i), F.get("_p", i)
-        start = acc["at"] + F.length(p)
-        end = start + F.length(m)
-        span = F.struct(start.alias("start"), end.alias("end"), m.alias("value"), F.substring(p, -REACH, REACH).alias("left"), F.substring(F.get("_p", i + 1), 1, REACH).alias("right"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+    def add(acc, x):
+        start = acc["at"] + F.length(x["_p"])
+        end = start + F.length(x["_m"])
+        span = F.struct(start.alias("start"), end.alias("end"), x["_m"].alias("value"))
+        return F.when(x["_m"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out")))
 
-    walk = F.aggregate(F.sequence(F.lit(0), F.size("_m") - 1), F.struct(F.lit(0).alias("at"), empty.alias("out")), add)["out"]
-    return rows.withColumn(name, F.when(F.size("_m") > 0, walk).otherwise(empty)).drop("_m", "_p")
+    # Each array stands once, and outside the lambda: a projection merged into it would scan the text again and again.
+    walk = F.aggregate(F.arrays_zip("_p", "_m"), F.struct(F.lit(0).alias("at"), empty.alias("out")), add)["out"]
+    return rows.withColumn(name, walk).drop("_m", "_p")
 
 
-def base_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """rid, doc_id, text_key, spans: array of (start, kind order, kind, end, value, left, right), in order."""
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
-    rows = rows.withColumn("text_key", F.xxhash64("text"))
+def base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
+    """text_key, text, spans of each distinct text: array of (start, kind order, kind, end, value), in order."""
+    rows = docs.select(F.coalesce(text, F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text")).dropDuplicates(["text_key"])
     for kind, pattern in KINDS.items():
         guard = F.contains("text", F.lit(GUARD[kind])) if GUARD[kind] else F.col("text").rlike("[0-9][ -]?[0-9]")
-        rows = _cut(rows, "text", pattern, kind, guard)
+        rows = _cut(rows, "text", F.lit(pattern), kind, guard)
 
     def spans_of(order: int, kind: str) -> Column:
         right = F.filter(kind, lambda x: _valid(kind, x["value"]))
-        return F.transform(right, lambda x: F.struct(x["start"].alias("start"), F.lit(order).alias("k"), F.lit(kind).alias("kind"), x["end"].alias("end"), x["value"].alias("value"), x["left"].alias("left"), x["right"].alias("right")))
+        return F.transform(right, lambda x: F.struct(x["start"].alias("start"), F.lit(order).alias("k"), F.lit(kind).alias("kind"), x["end"].alias("end"), x["value"].alias("value")))
 
     parts = [spans_of(order, kind) for order, kind in enumerate(KINDS)]
-    return rows.select("rid", "doc_id", "text_key", F.array_sort(F.concat(*parts)).alias("spans"))
-
-
-def _near_terms(found: DataFrame) -> DataFrame:
-    """rid, text_key, entity, term, start, end: words of three letters or more within reach of a base span."""
-    s = found.where(F.size("spans") > 0).select("rid", "text_key", F.explode("spans").alias("s")).select("rid", "text_key", F.concat_ws(":", "s.kind", F.lower("s.value")).alias("entity"), "s.start", "s.end", "s.left", "s.right")
-    out = None
-    # A word cut off by the reach does not count: a non-letter must stand before it (left) or after it (right).
-    for side, pattern in (("left", r"(?<=\P{L})\p{L}{3,}+"), ("right", r"(?<!\p{L})\p{L}{3,}+(?=\P{L})")):
-        w = _cut(s, side, pattern, "w", F.lit(True)).select("rid", "text_key", "entity", F.explode("w").alias("w"), (F.col("start") - F.length("left") if side == "left" else F.col("end")).alias("base"))
-        w = w.select("rid", "text_key", "entity", F.lower("w.value").alias("term"), (F.col("base") + F.col("w.start")).alias("start"), (F.col("base") + F.col("w.end")).alias("end"))
-        out = w if out is None else out.unionByName(w)
-    return out
-
-
-def disclosing_terms(docs: DataFrame, near: DataFrame, text: str = "text", min_texts: int = MIN_TEXTS, min_share: float = MIN_SHARE, min_bits: float = MIN_BITS) -> DataFrame:
-    """(term, entity, bits) beyond the threshold. Counts are of rows and cover all of them; rows with a term are
-    counted by the map side first, and only words that could pass are joined."""
-    pairs = near.groupBy("term", "entity").agg(F.countDistinct("rid").alias("both"), F.countDistinct("text_key").alias("texts")).where(F.col("texts") >= min_texts)
-    entities = near.groupBy("entity").agg(F.countDistinct("rid").alias("rows_e"))
-    total = docs.agg(F.count(F.lit(1)).alias("n"))
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}{3,}+"), 0))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("rows_t"))
-    weighed = pairs.join(words, "term").join(entities, "entity").crossJoin(F.broadcast(total))
-    share = F.col("both") / F.col("rows_t")
-    bits = F.log2(share * F.col("n") / F.col("rows_e"))
-    return weighed.where((share >= min_share) & (bits >= min_bits)).select("term", "entity", bits.alias("bits"))
+    return rows.select("text_key", "text", F.array_sort(F.concat(*parts)).alias("spans"))
+
+
+def _words() -> Column:
+    return F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+
+
+def disclosing_terms(found: DataFrame, min_share: float = MIN_SHARE, min_bits: float = MIN_BITS) -> DataFrame:
+    """(term, entity, bits) beyond the threshold, from base_spans; an entity is ``kind:value`` or a kind alone.
+
+    All counts are of distinct texts and cover all of them. With N texts, for a value e of kind k and a term t:
+
+        p(k | t) = (texts with t and k + PRIOR * p(k)) / (texts with t + PRIOR)
+        p(e | t) = (texts with t and e + PRIOR * p(k | t) * p(e) / p(k)) / (texts with t + PRIOR)
+    """
+    terms = F.explode(F.array_distinct(F.transform(_words(), lambda w: F.lower(w)))).alias("term")
+    words = found.select(terms).groupBy("term").agg(F.count(F.lit(1)).alias("with_t"))
+    entity = F.array_distinct(F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), F.concat_ws(":", s["kind"], F.lower(s["value"])).alias("entity"))))
+    held = found.where(F.size("spans") > 0).withColumn("entities", entity)
+    kind = F.explode(F.array_distinct(F.transform("entities", lambda e: e["kind"]))).alias("kind")
+    value = F.explode("entities").alias("e")
+    total = found.agg(F.count(F.lit(1)).alias("n"))
+    kinds = held.select(kind).groupBy("kind").agg(F.count(F.lit(1)).alias("with_k")).crossJoin(F.broadcast(total))
+    values = held.select(value).groupBy("e.kind", "e.entity").agg(F.count(F.lit(1)).alias("with_e"))
+    given = F.col("with_t") + PRIOR
+    by_kind = held.select("entities", terms).select("term", kind).groupBy("term", "kind").agg(F.count(F.lit(1)).alias("both_k")).join(words, "term").join(F.broadcast(kinds), "kind")
+    by_kind = by_kind.withColumn("p_k", (F.col("both_k") + PRIOR * F.col("with_k") / F.col("n")) / given)
+    by_value = held.select("entities", terms).select("term", value).groupBy("term", "e.kind", "e.entity").agg(F.count(F.lit(1)).alias("both")).join(by_kind, ["term", "kind"])
+    # The back-off adds PRIOR at most: what falls short even so need not meet its entity.
+    by_value = by_value.where(F.col("both") + PRIOR >= min_share * given).join(values, ["kind", "entity"])
+    p = (F.col("both") + PRIOR * F.col("p_k") * F.col("with_e") / F.col("with_k")) / given
+    weighed = by_value.select("term", "entity", p.alias("p"), (F.col("with_e") / F.col("n")).alias("prior"))
+    weighed = weighed.unionByName(by_kind.select("term", F.col("kind").alias("entity"), F.col("p_k").alias("p"), (F.col("with_k") / F.col("n")).alias("prior")))
+    bits = F.log2(F.col("p") / F.col("prior"))
+    return weighed.where((F.col("p") >= min_share) & (bits >= min_bits)).select("term", "entity", bits.alias("bits"))
+
+
+def _cell(term: Column) -> Column:
+    return (F.xxhash64(term).bitwiseAND(F.lit(FILTER_CELLS - 1)) + 1).cast("int")
+
+
+def term_spans(found: DataFrame, terms: DataFrame) -> DataFrame:
+    """text_key, terms: array of (start, kind order, kind, end) of all occurrences of the terms (column term)."""
+    cells = bytearray(FILTER_CELLS)
+    for row in terms.select(_cell(F.col("term")).alias("at")).distinct().toLocalIterator():
+        cells[row["at"] - 1] = 1
+    cells = F.lit(bytes(cells))
+
+    def maybe(word: Column) -> Column:
+        return F.substring(cells, _cell(F.lower(word)), F.lit(1)) == F.lit(b"\1")
+
+    rows = found.select("text_key", "text", F.filter(F.array_distinct(_words()), maybe).alias("maybe")).where(F.size("maybe") > 0)
+    rows = _cut(rows, "text", F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join("maybe", "|"), F.lit(r")(?!\p{L})")), "w", F.lit(True))
+    rows = rows.select("text_key", F.explode("w").alias("w")).select("text_key", F.lower("w.value").alias("term"), "w.start", "w.end").join(terms, "term", "left_semi")
+    return rows.groupBy("text_key").agg(F.collect_list(F.struct("start", F.lit(len(KINDS)).alias("k"), F.lit("term").alias("kind"), "end")).alias("terms"))
 
 
 def _joined(spans: Column) -> Column:
@@ -114,12 +146,10 @@ def find_private(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 
     Null texts count as empty; a text without spans has the empty string and its hash. A term that overlaps a base
     span is dropped. Repeated rows repeat; an empty table gives an empty result."""
-    found = stored(base_spans(docs, text, doc_id), "private")
-    near = stored(_near_terms(found), "near-terms")
-    flagged = disclosing_terms(docs, near, text)
-    terms = near.join(flagged, ["term", "entity"]).groupBy("rid").agg(F.collect_set(F.struct("start", F.lit(len(KINDS)).alias("k"), F.lit("term").alias("kind"), "end")).alias("terms"))
+    found = stored(base_spans(docs, text), "private")
+    terms = stored(disclosing_terms(found).select("term").distinct(), "terms")
     base = F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["k"].alias("k"), x["kind"].alias("kind"), x["end"].alias("end")))
-    rows = found.withColumn("base", base).drop("spans").join(terms, "rid", "left")
+    rows = found.select("text_key", base.alias("base")).join(term_spans(found, terms), "text_key", "left")
     clear = F.filter(F.coalesce("terms", F.array().cast("array<struct<start:int,k:int,kind:string,end:int>>")), lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
     rows = rows.withColumn("clear", clear)
 
@@ -127,7 +157,9 @@ def find_private(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
         return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long")
 
     count = {f"n_{k}": number(k) for k in KINDS}
-    return rows.select("doc_id", *[c.alias(n) for n, c in count.items()], F.sha2(_joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), _joined(F.array_sort(F.concat("base", "clear"))).alias("spans"), F.size("clear").cast("long").alias("n_term"))
+    rows = rows.select("text_key", *[c.alias(n) for n, c in count.items()], F.sha2(_joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), _joined(F.array_sort(F.concat("base", "clear"))).alias("spans"), F.size("clear").cast("long").alias("n_term"))
+    ids = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_key"))
+    return ids.join(rows, "text_key").drop("text_key")
 
 
 def sanitised(text: Column, spans: Column) -> Column:

@@ -169,6 +169,26 @@ def test_private(docs, none, rows, spark):
     assert private.find_private(none).count() == 0
 
 
+def test_private_terms(spark):
+    """Terms beside a one-off address, at the edges of a text, far from it, and in texts without the address."""
+    r = random.Random(4)
+    common = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(40)]
+    fill = lambda n: " ".join(r.choice(common) for _ in range(n))
+    texts = [fill(200) for _ in range(60)]
+    texts += [fill(50) for _ in range(140)]
+    texts += [f"Xanthippe wrote {fill(60)} to one@corp.org {fill(60)} near Zebulon"]  # far beyond 40 characters, at both edges
+    texts += [f"{fill(60)} quorl {fill(60)} +1 415 555 {i:04d}" for i in range(8)] + [f"{fill(20)} Quorl alone"] * 2  # the kind, from values that stand once
+    texts += [f"{fill(30)} mira two@corp.org {i} mira" for i in range(3)] + [f"{fill(30)} Mira again"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x for x in private.find_private(docs).collect()}
+    marked = {i: [texts[i][int(a) : int(b)].lower() for k, a, b in (s.split(":") for s in x.spans.split(",") if s) if k == "term"] for i, x in got.items()}
+    assert len(got) == len(texts) and all(len(marked[i]) == x.n_term for i, x in got.items())
+    assert not any(marked[i] for i in range(200))
+    assert {"xanthippe", "zebulon", "near", "wrote"} <= set(marked[200]) and not set(marked[200]) & set(common)
+    assert all("quorl" in marked[i] for i in range(201, 211))
+    assert all(marked[i].count("mira") == 2 for i in (211, 212, 213)) and "mira" in marked[214]
+
+
 def test_language_and_quality(docs, none, rows, spark):
     got = {r.doc_id: r for r in language_id.language_id(docs).collect()}
     assert all(got[r[0]].lang_pred == r[2] for r in rows[:36])
