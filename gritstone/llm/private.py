@@ -32,7 +32,7 @@ PRIOR = 1.0  # texts that the back-off weighs
 MIN_SHARE = 0.5  # smoothed probability of the entity given the term
 MIN_BITS = 4.0
 #: Bytes of the filter of disclosing terms that scans carry. As it fills more rows are shuffled, results stay exact.
-FILTER_CELLS = 1 << 20
+FILTER_CELLS = 1 << 18
 
 
 def _luhn(digits: Column) -> Column:
@@ -126,12 +126,12 @@ def term_spans(found: DataFrame, terms: DataFrame) -> DataFrame:
     cells = bytearray(FILTER_CELLS)
     for row in terms.select(_cell(F.col("term")).alias("at")).distinct().toLocalIterator():
         cells[row["at"] - 1] = 1
-    cells = F.lit(bytes(cells))
+    cells = found.sparkSession.createDataFrame([(cells,)], "cells binary")  # a literal would fill every plan that is logged
 
     def maybe(word: Column) -> Column:
-        return F.substring(cells, _cell(F.lower(word)), F.lit(1)) == F.lit(b"\1")
+        return F.substring("cells", _cell(F.lower(word)), F.lit(1)) == F.lit(b"\1")
 
-    rows = found.select("text_key", "text", F.filter(F.array_distinct(_words()), maybe).alias("maybe")).where(F.size("maybe") > 0)
+    rows = found.select("text_key", "text").crossJoin(F.broadcast(cells)).select("text_key", "text", F.filter(F.array_distinct(_words()), maybe).alias("maybe")).where(F.size("maybe") > 0)
     rows = _cut(rows, "text", F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join("maybe", "|"), F.lit(r")(?!\p{L})")), "w", F.lit(True))
     rows = rows.select("text_key", F.explode("w").alias("w")).select("text_key", F.lower("w.value").alias("term"), "w.start", "w.end").join(terms, "term", "left_semi")
     return rows.groupBy("text_key").agg(F.collect_list(F.struct("start", F.lit(len(KINDS)).alias("k"), F.lit("term").alias("kind"), "end")).alias("terms"))
