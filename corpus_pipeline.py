@@ -10,34 +10,50 @@ from gritstone.llm.common import documents, stored
 Docs = DataFrame
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select(docs.columns)
+#: Names a row from the first stage to the last but one; ids may be null or repeat. Keys rise with the id, null last.
+KEY = "_row"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The rows with their key, written down, so that every later reading sees the same keys."""
+    if KEY in docs.columns:
+        return docs
+    by = docs.orderBy(F.asc_nulls_last("doc_id"), F.xxhash64("text"))
+    return stored(by.withColumn(KEY, F.monotonically_increasing_id()), "keyed")
+
+
+def _only(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    return docs.join(keys.select(KEY), KEY, "left_semi").select(docs.columns)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language (no letter, no text) go."""
     from gritstone.llm.language_id import language_id
 
-    return _only(docs, language_id(docs).where("lang_pred <> 'und'"))
+    docs = _keyed(docs)
+    return _only(docs, language_id(docs, key=KEY).where("lang_pred <> 'und'"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from gritstone.llm.exact_dedup import exact_dedup
 
-    return _only(docs, exact_dedup(docs).where("kept"))
+    docs = _keyed(docs)
+    return _only(docs, exact_dedup(docs, doc_id=KEY).where("kept").withColumnRenamed("doc_id", KEY))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the smallest id stays."""
+    """Of each group of near duplicates one row of the smallest id stays."""
     from gritstone.llm.ngram_join import near_duplicates
 
-    return _only(docs, near_duplicates(docs).where("doc_id = component_id"))
+    docs = _keyed(docs)
+    return _only(docs, near_duplicates(docs, doc_id=KEY).where("doc_id = component_id").withColumnRenamed("doc_id", KEY))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from gritstone.llm.mixing import mix
 
-    return _only(docs, mix(docs).where("kept"))
+    docs = _keyed(docs)
+    return _only(docs, mix(docs, key=KEY).where("kept"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -132,15 +132,18 @@ def infer(texts: list[str], langs: list[str], table: np.ndarray, largest_set: in
     return pred, score
 
 
-def language_id(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> DataFrame:
+def language_id(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", key: str | None = None) -> DataFrame:
     """One row per input row: doc_id, held_out, lang_pred, score (share of the predicted language's words).
 
     Learned from the text and non-null lang of rows whose crc32(doc_id) mod 3 is not 1. A null text, or one without
-    a letter, is ``und`` with score 0; so is everything if there is nothing to learn from. Repeated rows repeat."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"), held_out(doc_id, 3, 1).alias("held_out"))
+    a letter, is ``und`` with score 0; so is everything if there is nothing to learn from. Repeated rows repeat. ``key``, a long that names rows, is carried."""
+    own = [F.col(key).cast("long").alias(key)] if key else []
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"), held_out(doc_id, 3, 1).alias("held_out"), *own)
     langs, table = learn(rows.where(~F.col("held_out")), "text", "lang")
     shared = docs.sparkSession.sparkContext.broadcast((langs, table))
 
+    names = [key] if key else []
+
     def run(batches):
         langs, table = shared.value
         for batch in batches:
@@ -150,6 +153,6 @@ def language_id(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id:
                 p, s = infer(texts[lo:hi], langs, table)
                 pred += p
                 score += s
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(pred, pa.string()), pa.array(score, pa.float64()), *batch.columns[3:]], names=["doc_id", "held_out", "lang_pred", "score", *names])
 
-    return rows.select("doc_id", "held_out", "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.select("doc_id", "held_out", "text", *names).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double" + "".join(f", `{k}` long" for k in names))

@@ -45,12 +45,14 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS)
     return now
 
 
-def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, sweeps: int = SWEEPS, powers: dict[str, float] = POWERS) -> DataFrame:
+def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, sweeps: int = SWEEPS, powers: dict[str, float] = POWERS, key: str | None = None) -> DataFrame:
     """One row per input row: doc_id, source, lang, topic, tokens, weight, probability, kept, token_weight.
 
     Null sources and languages are a value of their own (''); null texts hold no token and are always kept, as are
     cells without tokens (weight 1). The draw is a hash of the id, so reruns agree and repeated ids share a fate.
-    Only cells are shuffled; documents meet their weight in a join on the cell, which Spark may split if skewed."""
+    Only cells are shuffled; documents meet their weight in a join on the cell, which Spark may split if skewed.
+    ``key``, a column that names rows, is carried."""
+    own = [key] if key else []
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -58,6 +60,7 @@ def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, sweeps: in
         F.coalesce("lang", F.lit("")).alias("lang"),
         topic_of(text).alias("topic"),
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("tokens"),
+        *own,
     )
     rows = stored(rows, "mix")
     dims = ["source", "lang", "topic"]
@@ -66,7 +69,7 @@ def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, sweeps: in
     weights = rake(cells, targets, sweeps).drop("tokens")
     draw = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296.0
     p = F.least(F.lit(1.0), F.col("weight"))
-    return rows.join(weights, dims).select("doc_id", *dims, "tokens", F.round("weight", 6).alias("weight"), F.round(p, 6).alias("probability"), (draw < p).alias("kept"), F.round(F.greatest(F.lit(1.0), F.col("weight")), 6).alias("token_weight"))
+    return rows.join(weights, dims).select("doc_id", *dims, "tokens", F.round("weight", 6).alias("weight"), F.round(p, 6).alias("probability"), (draw < p).alias("kept"), F.round(F.greatest(F.lit(1.0), F.col("weight")), 6).alias("token_weight"), *own)
 
 
 def oracle(sweeps: int = SWEEPS, powers: dict[str, float] = POWERS) -> str:

@@ -268,3 +268,18 @@ def test_pipeline(spark, tmp_path, rows):
     ids = {r.doc_id for r in out}
     assert len(out) == len(ids) and not ids & {i for i, r in enumerate(rows) if r[1] in (None, "", " \n\t ", "123 456")}
     assert len(ids & {36, 37, 38, 39, 40}) <= 1
+
+
+def test_pipeline_keeps_one_row_of_null_and_repeated_ids(spark, rows):
+    own = [*rows, (7, rows[8][1], *rows[7][2:]), (None, rows[9][1] + " more", *rows[-1][2:])]  # an id with two texts
+    docs = spark.createDataFrame(own, SCHEMA).select("doc_id", "text", "lang", "source", "n_chars").repartition(3)
+    out = corpus_pipeline.language(spark, docs, "").cache()
+    want = Counter((r[0], r[1]) for r in own if re.search(r"[^\W\d_]", r[1] or ""))
+    assert Counter((r.doc_id, r.text) for r in out.collect()) == want
+    out = corpus_pipeline.exact(spark, out, "").cache()
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    norm = lambda t: re.sub("[\x20\x09-\x0d]", "", t)
+    assert sorted(norm(t) for _, t in got) == sorted({norm(t) for _, t in want})
+    assert (7, rows[8][1]) in got and (8, rows[8][1]) not in got and (7, rows[7][1]) in got and (None, "a null id") in got
+    near = Counter(r.text for r in corpus_pipeline.near(spark, out, "").collect())
+    assert max(near.values()) == 1 and near["a null id"] == 1 and sum(t in near for t in (rows[36][1], rows[37][1], rows[38][1])) == 1
