@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import re
 import tempfile
 import uuid
@@ -40,12 +39,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def released(df: DataFrame) -> DataFrame:
-    """The same stored table, once the driver has collected garbage: Spark's cleaner then removes the shuffle files of
-    plans that are done, which would fill disks until the driver's heap does."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return df
+def dropped(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more: what came from them is stored itself."""
+    for df in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:

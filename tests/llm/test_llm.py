@@ -93,12 +93,96 @@ def test_ngram_join(docs, none, rows, monkeypatch):
         ids = [rows[j][0] for j in range(len(rows)) if comp[j] == comp[i] and rows[j][0] is not None]
         want[(r[0], len(sets[i]), min(ids) if sets[i] and ids else r[0])] += 1
     assert Counter(tuple(r) for r in ngram_join.near_duplicates(docs).collect()) == want
-    monkeypatch.setattr(ngram_join, "SMALL", 1)
-    monkeypatch.setattr(ngram_join, "FAMILY", 2)  # leaders' rounds to the end
+    monkeypatch.setattr(ngram_join, "FAMILY", 0)  # leaders' rounds to the end
     assert Counter(tuple(r) for r in ngram_join.near_duplicates(docs).collect()) == want
     assert ngram_join.near_duplicates(none).count() == 0
 
 
+def _linked(texts):
+    """(number of shingles, least place linked) of each text, by counting what each pair shares."""
+    sets, holders = [], {}
+    for i, t in enumerate(texts):
+        w = _words(t)
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) > 4 else {tuple(w)} if w else set())
+        for x in sets[-1]:
+            holders.setdefault(x, []).append(i)
+    comp = list(range(len(texts)))
+
+    def find(i):
+        while comp[i] != i:
+            i = comp[i]
+        return i
+
+    for i, own in enumerate(sets):
+        for j, n in Counter(j for x in own for j in holders[x] if j < i).items():
+            if 100 * n >= 75 * (len(own) + len(sets[j]) - n):
+                a, b = sorted((find(i), find(j)))
+                comp[b] = a
+    return [(len(x), find(i)) for i, x in enumerate(sets)]
+
+
+@pytest.mark.parametrize("family", [ngram_join.FAMILY, 30])
+def test_ngram_join_of_crowds(spark, monkeypatch, family):
+    """Copies with one word changed, unlike texts that share a passage or most of their words, a very long text."""
+    r = random.Random(9)
+    new = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    texts = []
+    for size, copies in ((60, 80), (200, 40), (12, 30)):
+        base = new(size)
+        for _ in range(copies):
+            own = list(base)
+            own[r.randrange(size)] = new(1)[0]
+            texts.append(own)
+    passage = new(40)
+    texts += [new(k := r.randrange(1, 60)) + passage + new(3 + k // 9) for _ in range(300)]
+    texts += [passage[: r.randrange(5, 40)] for _ in range(40)]
+    long = new(60_000)
+    texts += [long, long[:50_000] + new(9_000), long[:30_000], long]
+    texts = [" ".join(t) for t in texts]
+    monkeypatch.setattr(ngram_join, "FAMILY", family)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.near_duplicates(docs).collect()}
+    want = _linked(texts)
+    assert got == dict(enumerate(want)) and len(set(c for _, c in want)) < len(texts) - 100
+
+
+@pytest.mark.parametrize("few", [1, 3, 1000])
+def test_blocks_lose_no_pair(monkeypatch, few):
+    """What a whole block yields, pairs or the sweep's connections, connects all open pairs; counts are exact."""
+    import numpy as np
+
+    monkeypatch.setattr(ngram_join, "FEW", few)
+    g = np.random.default_rng(few)
+    for _ in range(40):
+        k = int(g.integers(2, 40))
+        n = np.sort(g.integers(4, 60, k))
+        pos = (g.random(k) * (n // 4 + 1)).astype(np.int64)
+        tok, node = np.sort(g.integers(0, 4, k)), g.permutation(k) + 100
+        order = np.lexsort((node, n, tok))
+        tok, n, pos, node = tok[order], n[order], pos[order], node[order]
+        up = {int(x): int(x) for x in node}
+
+        def find(x):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        named, large = Counter(), Counter()
+        for batch in ngram_join.settled_blocks(tok, n, pos, node, np.zeros(k, bool)):
+            for x in batch.to_pylist():
+                if x["kind"] == ngram_join.PAIR:
+                    named[x["node"], x["other"]] += x["shared"]
+                if x["kind"] == ngram_join.LARGE:
+                    large[x["node"]] += x["shared"]
+                elif x["kind"] == ngram_join.OPEN or x["tok"]:
+                    up[find(x["node"])] = find(x["other"])
+        for i in range(k):
+            for j in range(k):
+                if tok[i] == tok[j] and node[i] < node[j] and min(n[i] - pos[i], n[j] - pos[j]) * 7 >= 3 * (n[i] + n[j]):
+                    a, b = int(node[i]), int(node[j])
+                    assert find(a) == find(b) and (named[a, b] or min(large[a], large[b]))
+
+
 def test_components_agree(spark):
     from gritstone.llm.common import components
 
