@@ -1,4 +1,8 @@
-"""The corpus pipeline: language ID, exact dedup, near-duplicate join, mixing, byte-level BPE."""
+"""The corpus pipeline: language ID, exact dedup, near-duplicate join, mixing, byte-level BPE.
+
+Documents with null or repeated ids are rows like others, named by a key; null and blank texts go in the first stage,
+very long ones are read whole, repeated rows leave one, ties fall to the smallest id. No documents give no rows.
+Columns beyond those of documents are carried up to the last stage, which does not read them."""
 
 from __future__ import annotations
 
@@ -7,9 +11,6 @@ from pyspark.sql import functions as F
 
 from gritstone.llm.common import documents, stored
 
-Docs = DataFrame
-
-
 #: Names a row from the first stage to the last but one; ids may be null or repeat. Keys rise with the id, null last.
 KEY = "_row"
 
@@ -50,18 +51,24 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The sample; what its documents count beyond being kept is in ``token_weight``."""
     from gritstone.llm.mixing import mix
 
     docs = _keyed(docs)
-    return _only(docs, mix(docs, key=KEY).where("kept"))
+    kept = mix(docs, key=KEY).where("kept").select(KEY, "token_weight")
+    return docs.drop("token_weight").join(kept, KEY)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document, with digests of the ids and of the text they decode to."""
     import public_tokenizers
 
     from gritstone.llm.byte_bpe import bpe
 
-    return bpe(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    carry = ("token_weight",) if "token_weight" in docs.columns else ()
+    encoded = bpe(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, carry=carry)
+    digest = [F.sha2(c, 256).alias(f"{c}_sha256") for c in ("ids", "decoded")]
+    return encoded.select("doc_id", "n_tokens", "ids", *digest, *carry)
 
 
 STAGES = [("language_id", language), ("exact_dedup", exact), ("ngram_join", near), ("mixing", mixing), ("byte_bpe", encode)]

@@ -8,7 +8,6 @@ the neighbours at its position. Pieces are independent, so this equals encoding
 from __future__ import annotations
 
 import base64
-import hashlib
 import re
 from array import array
 from heapq import heapify, heappop, heappush
@@ -17,8 +16,8 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-_SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -190,23 +189,28 @@ def _batched(texts: list[str], chars: int):
         yield start, len(texts)
 
 
-def bpe(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row per input row: doc_id, n_tokens, ids_sha256, decoded_sha256; null texts count as empty (no tokens).
-    The rank table is of fixed size (read once on the driver, then broadcast). Repeated rows repeat; no shuffle."""
+def bpe(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", doc_id: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: doc_id, n_tokens, ids (little-endian unsigned 32-bit integers), decoded (the bytes that
+    the ids stand for), and the columns to ``carry``. No shuffle.
+
+    Null texts count as empty (no tokens); repeated rows repeat; no rows give no rows. A text is encoded whole: one
+    match of the pattern, however long, is one word of the replay and takes about 150 bytes a byte. Other columns are
+    not read. The rank table is of fixed size (read once on the driver, then broadcast)."""
     shared = docs.sparkSession.sparkContext.broadcast(load_ranks(ranks_path))
 
     def run(batches):
         enc = encoder(shared.value, pattern)
         for batch in batches:
             ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
-            n, a, b = [], [], []
-            for lo, hi in _batched(texts, 1_500_000):
-                for packed in enc.encode(texts[lo:hi]):
-                    n.append(len(packed) // 4)
-                    a.append(hashlib.sha256(packed).hexdigest())
-                    b.append(hashlib.sha256(enc.decode(packed)).hexdigest())
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            packed = [x for lo, hi in _batched(texts, 1_500_000) for x in enc.encode(texts[lo:hi])]
+            n = pa.array([len(x) // 4 for x in packed], pa.int64())
+            yield pa.RecordBatch.from_arrays([ids, n, pa.array(packed, pa.binary()), pa.array(map(enc.decode, packed), pa.binary()), *batch.columns[2:]], names=["doc_id", "n_tokens", "ids", "decoded", *carry])
+
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *carry)
+    kinds = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded binary" + kinds)
 
-    from pyspark.sql import functions as F
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, _SCHEMA)
+def digests(encoded: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of what ``bpe`` gives."""
+    return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -8,17 +8,16 @@ half the log of the word count per free proportion; the set that wins gives the
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import held_out
 
 BUCKETS = 1 << 16
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 #: Bytes that belong to words: ASCII letters and all of a multi-byte character; the rest are spaces.
 _KEEP = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 
@@ -48,6 +47,7 @@ def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return grams, word[use], np.searchsorted(ends, np.flatnonzero(begins), side="right")
 
 
+_SET = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
 _COUNTS = "lang string, bucket int, n long"
 
 
@@ -101,42 +101,47 @@ def _em(like: np.ndarray, starts: np.ndarray, size: np.ndarray, allowed: np.ndar
     return share, np.add.reduceat(np.log(mix), starts)
 
 
-def infer(texts: list[str], langs: list[str], table: np.ndarray, largest_set: int = 3, rounds: int = 6) -> tuple[list[str], list[float]]:
-    pred, score = ["und"] * len(texts), [0.0] * len(texts)
+def infer(texts: list[str], langs: list[str], table: np.ndarray, rounds: int = 6) -> tuple[list, list, list]:
+    """Of each text: the prediction, its share in the unrestricted mixture, and the chosen set as (language, share)
+    by falling share. Sets grow by one language, in order of the unrestricted shares, as long as the penalised
+    likelihood of some text grows."""
+    pred, score, sets = ["und"] * len(texts), [0.0] * len(texts), [[] for _ in texts]
     has = [i for i, t in enumerate(texts) if _LETTER.search(t)]
     if not has or not langs:
-        return pred, score
+        return pred, score, sets
     grams, word, text = ngrams([texts[i] for i in has])
     starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
     like = np.add.reduceat(table[grams], starts, axis=0)
     like = np.exp(np.maximum(like - like.max(axis=1, keepdims=True), -20))
     at = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
     size = np.diff(np.r_[at, len(text)])
-    everything = np.ones((len(at), len(langs)), np.float32)
-    full, _ = _em(like, at, size, everything, rounds)
-    order = np.argsort(-full, axis=1, kind="stable")
-    place = np.argsort(order, axis=1, kind="stable")
-    best, chosen = None, None
-    for k in range(1, min(largest_set, len(langs)) + 1):
-        share, fit = _em(like, at, size, (place < k).astype(np.float32), rounds if k > 1 else 0)
+    full, _ = _em(like, at, size, np.ones((len(at), len(langs)), np.float32), rounds)
+    place = np.argsort(np.argsort(-full, axis=1, kind="stable"), axis=1, kind="stable")
+    chosen, best = _em(like, at, size, (place < 1).astype(np.float32), 0)
+    for k in range(2, len(langs) + 1):
+        share, fit = _em(like, at, size, (place < k).astype(np.float32), rounds)
         fit = fit - 0.5 * (k - 1) * np.log(size + 1.0)
-        if best is None:
-            best, chosen = fit, share
-        else:
-            better = fit > best
-            best, chosen = np.where(better, fit, best), np.where(better[:, None], share, chosen)
+        better = fit > best
+        if not better.any():
+            break
+        best, chosen = np.where(better, fit, best), np.where(better[:, None], share, chosen)
     top = np.argmax(chosen, axis=1)
     for j, i in enumerate(text[at]):
         pred[has[i]] = langs[top[j]]
         score[has[i]] = float(min(1.0, max(0.0, full[j, top[j]])))
-    return pred, score
+        order = np.argsort(-chosen[j], kind="stable")
+        sets[has[i]] = [{"lang": langs[x], "share": float(chosen[j, x])} for x in order if chosen[j, x] > 0]
+    return pred, score, sets
 
 
 def language_id(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", key: str | None = None) -> DataFrame:
-    """One row per input row: doc_id, held_out, lang_pred, score (share of the predicted language's words).
+    """One row per input row: doc_id, held_out, lang_pred, score (share of the predicted language's words in the mixture
+    of all languages) and languages, the chosen set with its shares.
 
     Learned from the text and non-null lang of rows whose crc32(doc_id) mod 3 is not 1. A null text, or one without
-    a letter, is ``und`` with score 0; so is everything if there is nothing to learn from. Repeated rows repeat. ``key``, a long that names rows, is carried."""
+    a letter, is ``und`` with score 0 and no languages; so is everything if there is nothing to learn from. Very long
+    texts are read whole, repeated rows repeat, no rows give no rows, other columns are not read. ``key``, a long that
+    names rows, is carried."""
     own = [F.col(key).cast("long").alias(key)] if key else []
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"), held_out(doc_id, 3, 1).alias("held_out"), *own)
     langs, table = learn(rows.where(~F.col("held_out")), "text", "lang")
@@ -148,11 +153,12 @@ def language_id(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id:
         langs, table = shared.value
         for batch in batches:
             texts = [t or "" for t in batch.column(2).to_pylist()]
-            pred, score = [], []
+            pred, score, sets = [], [], []
             for lo, hi in _slices(texts, 1_000_000):
-                p, s = infer(texts[lo:hi], langs, table)
+                p, s, own = infer(texts[lo:hi], langs, table)
                 pred += p
                 score += s
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(pred, pa.string()), pa.array(score, pa.float64()), *batch.columns[3:]], names=["doc_id", "held_out", "lang_pred", "score", *names])
+                sets += own
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(sets, _SET), *batch.columns[3:]], names=["doc_id", "held_out", "lang_pred", "score", "languages", *names])
 
-    return rows.select("doc_id", "held_out", "text", *names).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double" + "".join(f", `{k}` long" for k in names))
+    return rows.select("doc_id", "held_out", "text", *names).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, languages array<struct<lang:string,share:double>>" + "".join(f", `{k}` long" for k in names))

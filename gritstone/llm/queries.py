@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from .common import documents
 
 
@@ -14,7 +16,8 @@ def op1_quality_classifier(spark, sf_dir):
 def op2_substring_dedup(spark, sf_dir):
     from .substring_dedup import substring_dedup
 
-    return substring_dedup(documents(spark, sf_dir))
+    kept = substring_dedup(documents(spark, sf_dir))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
 def op3_lm_scores(spark, sf_dir):
@@ -56,9 +59,9 @@ def op8_exact_dedup(spark, sf_dir):
 def op9_byte_bpe(spark, sf_dir):
     import public_tokenizers
 
-    from .byte_bpe import bpe
+    from .byte_bpe import bpe, digests
 
-    return bpe(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return digests(bpe(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
 
 
 def op10_order_minhash(spark, sf_dir):

@@ -17,7 +17,6 @@ only Bloom filters of fixed size are broadcast, and a false positive there costs
 
 from __future__ import annotations
 
-import hashlib
 
 import numpy as np
 import pyarrow as pa
@@ -253,7 +252,7 @@ def _shards(length: int):
 def _kept(length: int):
     def run(batches):
         for batch in batches:
-            n_words, n_removed, sha = [], [], []
+            n_words, n_removed, kept = [], [], []
             for t, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 words = split_words(t)
                 n_words.append(len(words))
@@ -272,17 +271,19 @@ def _kept(length: int):
                     words = [w for w, c in zip(words, covered.tolist()) if not c]
                 else:
                     n_removed.append(0)
-                sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+                kept.append(b" ".join(words).decode())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
     return run
 
 
 def substring_dedup(docs: DataFrame, length: int = 35, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row per input row: doc_id, n_words, n_removed, kept_sha256. ``length`` is 11 to 64 words.
+    """One row per input row: doc_id, n_words, n_removed, kept (the words that stay, joined by one space).
+    ``length`` is 11 to 64 words.
 
     Every word covered by a window that starts anywhere else too is removed; windows are judged on the input. Null
-    texts have no words; texts shorter than a window lose none. All copies lose what they share, repeated rows too."""
+    texts have no words; texts shorter than a window lose none. All copies lose what they share, repeated rows too.
+    Very long texts are read whole. No rows give no rows. Other columns are not read, whatever their names."""
     if not GRAM < length <= 64:
         raise ValueError("length must be from 11 to 64 words")
     spark = docs.sparkSession
@@ -307,4 +308,4 @@ def substring_dedup(docs: DataFrame, length: int = 35, text: str = "text", doc_i
     part = spans.join(masks, ["anchor", "segment"]).select("key", "key2", "at", "mask")
     by_text = whole.unionByName(part).groupBy("key", "key2").agg(F.collect_list(F.struct("at", "mask")).alias("spans"))
     joined = keyed.join(by_text.hint("shuffle_hash"), ["key", "key2"], "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(_kept(length), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return joined.mapInArrow(_kept(length), "doc_id long, n_words long, n_removed long, kept string")

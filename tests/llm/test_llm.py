@@ -52,7 +52,7 @@ def _words(t, lower=True):
 
 
 def test_substring_dedup(docs, none, rows):
-    got = Counter(tuple(r) for r in substring_dedup.substring_dedup(docs).collect())
+    got = Counter((r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in substring_dedup.substring_dedup(docs).collect())
     seen = Counter(tuple(w[i : i + 35]) for r in rows for w in [_words(r[1], False)] for i in range(len(w) - 34))
     want = Counter()
     for r in rows:
@@ -215,6 +215,35 @@ def test_lm(docs, none, rows):
     assert lm.lm_scores(none).count() == 0
 
 
+def test_lm_scores_equal_brute_force(docs, rows, spark):
+    """The score without codes: discounts by shard (the first bits of the left word's hash), all pairs kept."""
+    import math
+
+    import xxhash
+
+    name = lambda w: xxhash.xxh3_64_intdigest(b" end " if w is None else w)
+    seqs = [[None, *_words(r[1]), None] for r in rows if r[0] is None or zlib.crc32(str(r[0]).encode()) % 7 != 2]
+    pairs = Counter(p for s in seqs for p in zip(s, s[1:]))
+    left, count = Counter(), Counter()
+    for (u, w), n in pairs.items():
+        left[u] += n
+        count[w] += n
+    total = sum(count.values())
+    shard = lambda u: name(u) >> 60
+    ones = {k: Counter(shard(u) for (u, _), n in pairs.items() if n == k) for k in (1, 2)}
+    discount = lambda k: min(0.95, max(0.1, ones[1][k] / max(ones[1][k] + 2 * ones[2][k], 1)))
+    followers = Counter(u for u, _ in pairs)
+    got = {x.doc_id: x.score for x in lm.lm_scores(docs).collect()}
+    for r in rows:
+        want, s = 0.0, [None, *_words(r[1]), None]
+        for u, w in zip(s, s[1:]):
+            d = discount(shard(u))
+            back = followers[u] * d / left[u] if left[u] else 1.0
+            seen = (pairs[u, w] - d) / left[u] if pairs[u, w] else 0.0
+            want += math.log10(seen + back * (count[w] + 1) / (total + len(count) + 1))
+        assert abs(got[r[0]] - want) <= 0.02 * abs(want) + 0.02, (r[0], got[r[0]], want)
+
+
 def test_elias_fano():
     import numpy as np
 
@@ -273,6 +302,28 @@ def test_private_terms(spark):
     assert all(marked[i].count("mira") == 2 for i in (211, 212, 213)) and "mira" in marked[214]
 
 
+def test_sanitised(spark):
+    t = "mail a@b.co and 10.0.0.1 from Quorl, a@b.co"
+    rows = spark.createDataFrame([(t, "email:5:11,ip:16:24,term:30:35,email:37:43"), (t, ""), ("", ""), (t, "email:0:11,ip:5:24")], "t string, s string")
+    from pyspark.sql import functions as F
+
+    assert [r[0] for r in rows.select(private.sanitised(F.col("t"), F.col("s"))).collect()] == ["mail <email> and <ip> from <term>, <email>", t, "", "<email> and 10.0.0.1 from Quorl, a@b.co"]
+
+
+def test_language_sets():
+    """Two halves give two languages in the set, with their shares; signs that are no letters give none."""
+    import numpy as np
+
+    vocab = {"aa": ["abra", "casta", "mala"], "bb": ["pilit", "dirik", "silim"], "cc": ["hugu", "drumu", "stumu"], "dd": ["ponto", "gorro", "solon"]}
+    counts = np.stack([np.bincount(language_id.ngrams([" ".join(v) * 50])[0], minlength=language_id.BUCKETS) for v in vocab.values()], axis=1)
+    table = np.log((counts + 0.5) / (counts.sum(axis=0) + 0.5 * language_id.BUCKETS)).astype(np.float32)
+    four = " ".join(w for v in vocab.values() for w in v * 20)
+    pred, score, sets = language_id.infer(["abra casta mala " * 20 + "pilit dirik " * 20, "hugu drumu", four, "\u00bd \u00b2 \u2460 12", ""], list(vocab), table)
+    assert pred[:2] == ["aa", "cc"] and pred[3:] == ["und", "und"] and sets[3:] == [[], []]
+    assert {x["lang"] for x in sets[0]} == {"aa", "bb"} and abs(sets[0][0]["share"] - 0.6) < 0.1 and len(sets[1]) == 1 and len(sets[2]) == 4
+    assert all(0 <= s <= 1 for s in score)
+
+
 def test_language_and_quality(docs, none, rows, spark):
     got = {r.doc_id: r for r in language_id.language_id(docs).collect()}
     assert all(got[r[0]].lang_pred == r[2] for r in rows[:36])
@@ -326,7 +377,7 @@ def test_bpe(docs, none, rows):
         ids = enc.encode_ordinary(r[1] or "")
         want[(r[0], len(ids), hashlib.sha256(b"".join(i.to_bytes(4, "little") for i in ids)).hexdigest(), hashlib.sha256((r[1] or "").encode()).hexdigest())] += 1
     args = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    assert Counter(tuple(r) for r in byte_bpe.bpe(docs, *args).collect()) == want
+    assert Counter(tuple(r) for r in byte_bpe.digests(byte_bpe.bpe(docs, *args)).collect()) == want
     assert byte_bpe.bpe(none, *args).count() == 0
 
 
