@@ -7,7 +7,7 @@ lost k-mers and moved ones change the signature. One 64-bit value holds hash (hi
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import partitions
@@ -65,8 +65,9 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).otherwise(share)
 
 
-def with_next(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """Adds ``next_<column>`` of the next row by descending doc_id (then text), after the last the first.
+def with_next(rows: DataFrame, columns: list[str], derive) -> DataFrame:
+    """Adds what ``derive`` adds to rows (doc_id, text), and ``next_<column>`` of the next row by descending doc_id
+    (then text), after the last the first. The row that a range gets from the next is derived by itself.
 
     Ids are cut into ranges at approximate quantiles; each range is sorted by itself, and gets a copy of the first
     row of the range below as its last, so no task sees all rows. Null ids come last."""
@@ -78,7 +79,8 @@ def with_next(rows: DataFrame, columns: list[str]) -> DataFrame:
     firsts = {b: i for b, i in rows.groupBy("_bucket").agg(F.max("doc_id")).collect()}  # a row a range
     order = sorted(firsts, reverse=True)
     if not order:
-        return rows.select(*[c for c in rows.columns if c[0] != "_"], *[F.col(c).alias(f"next_{c}") for c in columns])
+        rows = derive(rows).drop("_bucket", "_ghost")
+        return rows.select("*", *[F.col(c).alias(f"next_{c}") for c in columns])
     ghosts = None
     for at, b in enumerate(order):
         nxt = order[(at + 1) % len(order)]
@@ -86,21 +88,21 @@ def with_next(rows: DataFrame, columns: list[str]) -> DataFrame:
         ghosts = [*(ghosts or []), one]
     wanted = rows.sparkSession.range(1).select(F.explode(F.array(*ghosts)).alias("g")).select("g.*")
     head = rows.join(F.broadcast(wanted), (rows["_bucket"] == wanted["b"]) & rows["doc_id"].eqNullSafe(wanted["i"]))
-    head = head.groupBy("to").agg(F.min(F.struct("text", *[c for c in columns if c != "text"])).alias("h"))
-    head = head.select(F.lit(None).cast("long").alias("doc_id"), *[(F.col(f"h.{c}") if c in columns else F.lit(None).cast(rows.schema[c].dataType)).alias(c) for c in rows.columns if c not in ("doc_id", "_bucket", "_ghost")], F.col("to").alias("_bucket"), F.lit(1).alias("_ghost"))
-    from pyspark.sql import Window
-
+    head = head.groupBy("to").agg(F.min("text").alias("text"))
+    head = head.select(F.lit(None).cast("long").alias("doc_id"), "text", F.col("to").alias("_bucket"), F.lit(1).alias("_ghost"))
     w = Window.partitionBy("_bucket").orderBy("_ghost", F.desc_nulls_last("doc_id"), "text")
-    out = rows.unionByName(head).withColumns({f"next_{c}": F.lead(c).over(w) for c in columns})
+    out = derive(rows).unionByName(derive(head)).withColumns({f"next_{c}": F.lead(c).over(w) for c in columns})
     return out.where("_ghost = 0").drop("_bucket", "_ghost")
 
 
 def order_minhash(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per input row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    Null texts count as empty, with a fingerprint of dashes. A lone row is its own next."""
+    Null texts count as empty, with a fingerprint of dashes. A lone row is its own next. Null ids come last, repeated
+    ids in order of their texts. Texts are read whole; beyond 8,388,607 pieces positions wrap around, which changes
+    the order within a bin and no more. No rows give no rows. Other columns are not read, whatever their names."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
-    rows = with_next(with_fingerprint(rows, "text", "fingerprint"), ["text", "fingerprint"])
+    rows = with_next(rows, ["text", "fingerprint"], lambda r: with_fingerprint(r, "text", "fingerprint"))
     n = F.length("text")
     cut = F.floor(n / 3).cast("int")
     rows = rows.select("doc_id", n.cast("long").alias("n_chars"), "fingerprint", "next_fingerprint", F.concat(F.substring("text", F.lit(1), n - cut), F.substring("next_text", F.lit(1), cut)).alias("edited"))
