@@ -137,7 +137,7 @@ DIRECTORY_BITS = 12
 DIRECTORY = 1 << DIRECTORY_BITS
 
 
-def pack_shard(u: np.ndarray, w: np.ndarray, c: np.ndarray, bits: int, min_count: int = 2) -> tuple[bytes, int, int]:
+def pack_shard(u: np.ndarray, w: np.ndarray, c: np.ndarray, bits: int, min_count: int = 1) -> tuple[bytes, int, int]:
     """(bytes, tokens, words) of a shard from its sorted distinct pairs and counts."""
     first = np.flatnonzero(np.r_[True, u[1:] != u[:-1]]) if len(u) else np.empty(0, np.int64)
     total = np.add.reduceat(c, first) if len(u) else np.empty(0, np.int64)
@@ -208,7 +208,7 @@ def _ranked(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Model:
     """All shards of one mapped file; ``offsets`` by shard, a shard being the top bits of a word's hash."""
 
-    def __init__(self, path: str, offsets: dict[int, int], bits: int, tokens: int, words: int, min_count: int = 2):
+    def __init__(self, path: str, offsets: dict[int, int], bits: int, tokens: int, words: int, min_count: int = 1):
         data = np.memmap(path, np.uint8, "r").view(np.ndarray) if offsets else None
         self.shards = {s: Shard(data, at, bits) for s, at in offsets.items()}
         self.shift, self.tokens, self.words, self.min_count = np.uint64(64 - bits), tokens, words, min_count
@@ -320,7 +320,7 @@ def _tries(bits: int, min_count: int):
     return run
 
 
-def train(rows: DataFrame, min_count: int = 2) -> tuple[str, dict[int, int], int, int, int]:
+def train(rows: DataFrame, min_count: int = 1) -> tuple[str, dict[int, int], int, int, int]:
     """(file, offset of each shard, bits of a shard's number, tokens, words) from a column of texts. The driver
     streams one trie at a time into the file; it stands in the shared folder if workers can map that, else it goes to
     the executors as a Spark file."""
@@ -357,7 +357,7 @@ def _slices(texts: list, chars: int):
         yield lo, len(texts)
 
 
-def lm_scores(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_count: int = 2) -> DataFrame:
+def lm_scores(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_count: int = 1) -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from every row whose crc32(doc_id) mod 7 is not 2. Null texts count as empty: one token, the end. Without
