@@ -6,16 +6,53 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Extension of a file to its document type.
-DOCUMENT_TYPES = {"pdf": "pdf", "md": "markdown", "txt": "text", "html": "web", "v": "rtl", "sv": "rtl", "svh": "rtl", "docx": "word", "csv": "table", "json": "data"}
+DOCUMENT_TYPES = {"pdf": "pdf", "txt": "text", "md": "markdown", "v": "rtl", "sv": "rtl", "vhd": "rtl", "vhdl": "rtl", "vh": "rtl", "svh": "rtl", "py": "code", "c": "code", "h": "code", "cpp": "code", "hpp": "code", "tcl": "script", "sdc": "constraint", "xdc": "constraint"}
+#: Sources that count; any other is an upload by hand.
+SOURCES = ["archive_md", "rtl_parsed", "codebeamer", "manual_upload", "system_generated"]
 #: Query classes in order, each with its words; the first class with a hit wins.
 QUERY_CLASSES = [
-    ("hierarchy_query", ["hierarchy", "instance", "parent", "child"]),
-    ("port_query", ["port", "input", "output", "signal"]),
-    ("clock_query", ["clock", "reset", "cdc"]),
-    ("claim_query", ["claim", "evidence", "verified"]),
+    ("port_query", ["포트", "port", "input", "output", "인터페이스", "axi", "apb", "clock", "reset", "clk"]),
+    ("hierarchy_query", ["인스턴스", "계층", "hierarchy", "instantiate", "모듈 트리", "instance", "sub-module"]),
+    ("config_query", ["파라미터", "parameter", "localparam", "설정", "크기", "size", "sizex", "sizey"]),
+    ("connectivity_query", ["연결", "topology", "ring", "chain", "routing", "generate", "feedthrough"]),
 ]
-#: Port classes in order, each with its pattern on the lower-cased name.
-PORT_CLASSES = [("clock", "clk|clock"), ("reset", "rst|reset"), ("interrupt", "irq|intr"), ("test", "scan|test|dft|jtag"), ("axi", "axi|aw|ar"), ("noc", "noc|flit"), ("config", "cfg|conf"), ("data", "data|dat")]
+#: Weight of claims, module records and sections by query class.
+BOOSTS = {
+    "port_query": (4.0, 0.5, 2.0),
+    "hierarchy_query": (1.5, 3.0, 2.0),
+    "config_query": (4.0, 1.0, 2.0),
+    "connectivity_query": (4.0, 1.0, 2.0),
+    "general_query": (3.0, 1.0, 2.0),
+}
+#: Port classes in order, each with its patterns, whatever the case; the first that matches wins.
+PORT_CLASSES = [
+    ("PRTN_Power", ["PRTNUN_", "ISO_EN", "TIEL_DFT", "power_good"]),
+    ("EDC_APB", ["edc_apb_", "edc_.*irq", "edc_reset", "i_edc_", "o_edc_"]),
+    ("AXI_Interface", ["npu_out_", "npu_in_", "axi_", "i_axi_clk"]),
+    ("APB_Register", ["i_reg_", "o_reg_", "reg_psel", "reg_paddr"]),
+    ("DM_Clock_Reset", ["i_dm_clk", "i_dm_core_reset", "i_dm_uncore_reset"]),
+    ("AI_Clock_Reset", ["i_ai_clk", "i_ai_reset"]),
+    ("NoC_Clock_Reset", ["i_noc_clk", "i_noc_reset"]),
+    ("Tensix_Reset", ["i_tensix_reset"]),
+    ("SFR_Memory_Config", ["SFR_", "sfr_"]),
+]
+#: Topics, each with the directories and the beginnings of module names that stand for it.
+TOPICS = {
+    "NoC": (["noc"], ["tt_noc_", "noc_"]),
+    "FPU": (["fpu"], ["tt_fpu_", "fpu_"]),
+    "SFPU": (["sfpu"], ["tt_sfpu", "sfpu_"]),
+    "TDMA": (["tdma"], ["tt_tdma_", "tdma_"]),
+    "Overlay": (["overlay"], ["tt_overlay_", "overlay_"]),
+    "EDC": (["edc"], ["tt_edc", "edc_"]),
+    "Dispatch": (["dispatch"], ["tt_dispatch_", "dispatch_"]),
+    "L1_Cache": (["l1", "cache"], ["tt_l1_", "l1_"]),
+    "Clock_Reset": (["clk", "reset"], ["tt_clk_", "clk_", "rst_"]),
+    "DFX": (["dfx"], ["tt_dfx_", "dfx_"]),
+    "NIU": (["niu"], ["tt_niu_", "niu_", "tt_noc2axi_"]),
+    "SMN": (["smn"], ["tt_smn_", "smn_"]),
+    "Power": (["power", "prtn"], ["tt_prtn_", "prtn_", "iso_en_"]),
+    "Memory": (["memory", "sram"], ["sfr_", "tt_mem_", "mem_"]),
+}
 UNKNOWN = "미확인"
 UNSUPPORTED_MARK = " [확실하지 않음]"
 
@@ -46,16 +83,26 @@ def document_type(path: Column) -> Column:
     return F.coalesce(F.element_at(table, extension(path)), F.lit("other"))
 
 
-def valid_source(source: Column, known: list[str]) -> Column:
+def valid_source(source: Column, known: list[str] = SOURCES) -> Column:
     """What isn't a known source counts as an upload by hand."""
     return F.when(source.isin(*known), source).otherwise("manual_upload")
 
 
-def topic_from_path(path: Column) -> Column:
-    """Directories and the bare name without _spec, _doc, _guide or _manual, joined by slashes."""
-    parts = F.split(F.regexp_replace(path, r"^[a-z0-9]+://", ""), "/")
-    name = F.regexp_replace(F.regexp_replace(F.element_at(parts, -1), r"\.[^.]*$", ""), "_(spec|doc|guide|manual)$", "")
-    return F.concat_ws("/", F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0))), name)
+def topic_from_path(path: Column, prefix: str = "documents/") -> Column:
+    """Below team, the directories and the bare name without its kind, joined by slashes; short paths have none."""
+    path = F.regexp_replace(path, f"^{prefix}", "")
+    parts = F.split(path, "/")
+    name = F.regexp_replace(F.regexp_replace(F.element_at(parts, -1), r"\.[^.]*$", ""), "(?i)[_-](spec|doc|guide|manual|readme|overview)$", "")
+    within = F.array_join(F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(1))), "/")
+    return F.when(F.size(parts) < 3, "").when(name == "", within).otherwise(F.concat(within, F.lit("/"), name))
+
+
+def topics_of(path: Column, module: Column) -> Column:
+    """All topics whose directory stands in the path or whose beginning the module's name has, sorted."""
+    path, module = F.lower(F.coalesce(path, F.lit(""))), F.lower(F.coalesce(module, F.lit("")))
+    found = [F.when(path.rlike(rf"[/\\](?:{'|'.join(dirs)})[/\\]") | module.rlike(f"^(?:{'|'.join(heads)})"), F.lit(t)) for t, (dirs, heads) in TOPICS.items()]
+    found = F.array_sort(F.array_compact(F.array(*found)))
+    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("unclassified")))
 
 
 def flatten_path(path: Column) -> Column:
@@ -63,17 +110,9 @@ def flatten_path(path: Column) -> Column:
     return F.replace(path, F.lit("/"), F.lit("_"))
 
 
-def first_class(c: Column, classes: list[tuple[str, str]], default: str) -> Column:
-    """Ordered patterns, the first that matches wins."""
-    out = F.lit(default)
-    for name, pattern in reversed(classes):
-        out = F.when(F.lower(c).rlike(pattern), F.lit(name)).otherwise(out)
-    return out
-
-
 def query_type(c: Column) -> Column:
     """Lower-case substrings, in order, else general."""
-    out = F.lit("general")
+    out = F.lit("general_query")
     for name, words in reversed(QUERY_CLASSES):
         hit = F.lit(False)
         for w in words:
@@ -82,9 +121,58 @@ def query_type(c: Column) -> Column:
     return out
 
 
+def boost_of(query_class: Column, analysis_type: Column) -> Column:
+    """The weight of a kind of record for a class of query; 1 for other kinds."""
+    kinds = ["claim", "module_parse", "hdd_section"]
+    table = F.create_map(*[F.lit(x) for q, w in BOOSTS.items() for kind, v in zip(kinds, w) for x in (f"{q}:{kind}", v)])
+    known = F.when(query_class.isin(*BOOSTS), query_class).otherwise("general_query")
+    return F.coalesce(F.element_at(table, F.concat_ws(":", known, analysis_type)), F.lit(1.0))
+
+
 def port_class(c: Column) -> Column:
     """P6."""
-    return first_class(c, PORT_CLASSES, "other")
+    out = F.lit("Other")
+    for name, patterns in reversed(PORT_CLASSES):
+        out = F.when(c.rlike(f"(?i){'|'.join(patterns)}"), F.lit(name)).otherwise(out)
+    return out
+
+
+def signals(ports: Column, kind: str) -> Column:
+    """The names of ports (``direction [range] name``) of one kind."""
+    pattern = {"clock": "(?i)clk|clock", "reset": "(?i)reset|rst"}[kind]
+    return F.filter(F.transform(ports, lambda p: F.element_at(F.split(F.trim(p), r"\s+"), -1)), lambda n: n.rlike(pattern))
+
+
+def memories(instances: Column) -> Column:
+    """Names of instances (``name: module``) that are memories."""
+    names = F.transform(instances, lambda i: F.trim(F.element_at(F.split(i, ": "), 1)))
+    return F.filter(names, lambda n: n.rlike("(?i)mem|sram|ram|rom|fifo|reg_bank|latch"))
+
+
+def summary_of(module: Column, params: Column, ports: Column, instances: Column) -> Column:
+    """A line each for what a module has."""
+    line = lambda name, c: F.when(F.size(c) > 0, F.concat(F.lit(f"{name}: "), F.array_join(c, ", ")))
+    return F.concat_ws("\n", F.concat(F.lit("module "), F.coalesce(module, F.lit("unknown"))), line("parameters", params), line("ports", ports), line("instances", instances))
+
+
+def clock_ports(ports: Column) -> dict[str, Column]:
+    """Clocks that come in and go out, by the declaration of each port."""
+    clocks = F.filter(F.transform(ports, F.lower), lambda p: p.rlike("clk|clock"))
+    out = F.size(F.filter(clocks, lambda p: p.startswith("output")))
+    return {"clock_in": F.size(clocks) - out, "clock_out": out}
+
+
+def needs_vision(page: Column, drawings: Column) -> Column:
+    """Few characters, or short lines beside many drawings. 100, 12 and 200."""
+    lines = F.filter(F.transform(F.split(page, r"\r\n|[\n\r]"), F.trim), lambda x: x != "")
+    mean = F.aggregate(lines, F.lit(0), lambda s, x: s + F.length(x)) / F.size(lines)
+    return (F.length(F.trim(page)) < 100) | (F.size(lines) == 0) | ((mean < 12) & (drawings >= 200))
+
+
+def section_type(topic: Column, children: Column) -> Column:
+    """R23."""
+    whole = F.coalesce(topic, F.lit("")) == ""
+    return F.when(whole | F.lower(topic).isin("all", "chip", "top"), "chip").when(children > 3, "subsystem").otherwise("block")
 
 
 def tokens(c: Column) -> Column:

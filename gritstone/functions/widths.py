@@ -11,6 +11,10 @@ class WidthError(ValueError):
     pass
 
 
+class _Form(WidthError):
+    """Not an expression."""
+
+
 def clog2(n: int) -> int:
     if n < 1:
         raise WidthError("clog2 of a number below 1")
@@ -18,14 +22,21 @@ def clog2(n: int) -> int:
 
 
 def evaluate(expr: str, params: dict[str, int] | None = None) -> int | str:
-    """The value, or the text itself where it names something unknown; a bad expression raises."""
+    """The value, or the text itself where it names something unknown or is no expression; what has no value raises."""
+    try:
+        return _evaluate(expr, params)
+    except _Form:
+        return expr.strip()
+
+
+def _evaluate(expr: str, params: dict[str, int] | None) -> int | str:
     params = params or {}
     tokens, at = [], 0
     expr = expr.strip()
     while at < len(expr):
         m = _TOKEN.match(expr, at)
         if not m:
-            raise WidthError(f"unexpected {expr[at]!r}")
+            raise _Form(f"unexpected {expr[at]!r}")
         tokens.append(m[1])
         at = m.end()
     unknown = [t for t in tokens if re.match(r"[A-Za-z_]", t) and t not in params]
@@ -42,20 +53,20 @@ def evaluate(expr: str, params: dict[str, int] | None = None) -> int | str:
     def atom() -> int:
         t = take()
         if t is None:
-            raise WidthError("the expression ends early")
+            raise _Form("the expression ends early")
         if t == "-":
             return -atom()
         if t == "(":
             v = shift()
             if take() != ")":
-                raise WidthError("a parenthesis stays open")
+                raise _Form("a parenthesis stays open")
             return v
         if t == "$clog2":
             if take() != "(":
-                raise WidthError("$clog2 needs an argument")
+                raise _Form("$clog2 needs an argument")
             v = shift()
             if take() != ")":
-                raise WidthError("a parenthesis stays open")
+                raise _Form("a parenthesis stays open")
             return clog2(v) if not unknown else 1
         if t in params:
             return int(params[t])
@@ -65,7 +76,7 @@ def evaluate(expr: str, params: dict[str, int] | None = None) -> int | str:
             return int(t, 0) if t[:2].lower() == "0x" else int(t)
         if re.match(r"[A-Za-z_]", t):
             return 1  # unknown: only the form is checked
-        raise WidthError(f"unexpected {t!r}")
+        raise _Form(f"unexpected {t!r}")
 
     def product() -> int:
         v = atom()
@@ -91,5 +102,5 @@ def evaluate(expr: str, params: dict[str, int] | None = None) -> int | str:
 
     v = shift()
     if place != len(tokens):
-        raise WidthError(f"unexpected {peek()!r}")
+        raise _Form(f"unexpected {peek()!r}")
     return expr if unknown else v

@@ -46,14 +46,24 @@ def update_status(claims: DataFrame, changes: DataFrame, clock: Column) -> DataF
 
 
 def pairs_alike(df: DataFrame, group: str, key: str, text: str, least: float) -> DataFrame:
-    """Pairs of one group at or above a Jaccard similarity of tokens. Candidates come from a prefix
-    filter (a shared word among the first n - ceil(least * n) + 1, rarest first by hash), so groups are not crossed."""
-    rows = df.select(group, key, T.tokens(F.col(text)).alias("t")).where(F.size("t") > 0)
-    rows = rows.withColumn("t", F.transform(F.array_sort(F.transform("t", lambda w: F.struct(F.xxhash64(w).alias("h"), w.alias("w")))), lambda s: s["w"]))
-    prefix = rows.select(group, key, "t", F.explode(F.slice("t", 1, (F.size("t") - F.ceil(F.lit(least) * F.size("t") - 1e-9) + 1).cast("int"))).alias("w"))
+    """Pairs of one group at or above a Jaccard similarity of tokens.
+
+    Words are 64-bit hashes. Those of a row are put rarest first, by how many rows of the group hold them; two rows
+    that reach the similarity share one of the first n - ceil(least * n) + 1, at places that leave enough to come.
+    Only these postings meet; the sets are fetched once for the pairs that are left."""
+    words = F.transform(T.tokens(F.col(text)), lambda w: F.xxhash64(w))
+    rows = df.select(group, key, F.explode(words).alias("w"))
+    often = rows.groupBy(group, "w").agg(F.count(F.lit(1)).alias("df"))
+    rows = rows.join(often, [group, "w"]).groupBy(group, key).agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("t"))
+    rows = rows.select(group, key, F.transform("t", lambda x: x["w"]).alias("t"), F.size("t").alias("n"))
+    head = F.slice("t", 1, (F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1).cast("int"))
+    prefix = rows.select(group, key, "n", F.posexplode(head).alias("pos", "w"))
     a, b = prefix.alias("a"), prefix.alias("b")
-    near = a.join(b, (F.col(f"a.{group}") == F.col(f"b.{group}")) & (F.col("a.w") == F.col("b.w")) & (F.col(f"a.{key}") < F.col(f"b.{key}"))).where((F.size("a.t") >= least * F.size("b.t")) & (F.size("b.t") >= least * F.size("a.t")))
-    near = near.select(F.col(f"a.{group}").alias(group), F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b"), F.col("a.t").alias("ta"), F.col("b.t").alias("tb")).dropDuplicates(["a", "b"])
+    left = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos"))
+    may = (F.col("a.n") >= least * F.col("b.n")) & (F.col("b.n") >= least * F.col("a.n")) & (left >= least / (1 + least) * (F.col("a.n") + F.col("b.n")) - 1e-6)
+    same = (F.col(f"a.{group}") == F.col(f"b.{group}")) & (F.col("a.w") == F.col("b.w")) & (F.col(f"a.{key}") < F.col(f"b.{key}"))
+    near = a.join(b, same & may).select(F.col(f"a.{group}").alias(group), F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b")).distinct()
+    near = near.join(rows.select(F.col(key).alias("a"), F.col("t").alias("ta")), "a").join(rows.select(F.col(key).alias("b"), F.col("t").alias("tb")), "b")
     return near.withColumn("score", T.jaccard(F.col("ta"), F.col("tb"))).where(F.col("score") >= least).select(group, "a", "b", F.round("score", 6).alias("score"))
 
 
@@ -73,7 +83,7 @@ def verdict(r: Column) -> Column:
 
 def rule_score(statement: Column, topic: Column, evidence_ok: Column) -> Column:
     """A third for each of length, topic form and evidence."""
-    return (F.length(statement).between(10, 500).cast("int") + topic.rlike("^[a-z0-9_]+/").cast("int") + evidence_ok.cast("int")) / 3
+    return (F.length(statement).between(10, 500).cast("int") + F.coalesce(topic.rlike(r"^[a-zA-Z0-9_\-]+(/[a-zA-Z0-9_\-]+)*$"), F.lit(False)).cast("int") + evidence_ok.cast("int")) / 3
 
 
 def publishable(df: DataFrame) -> DataFrame:
@@ -89,3 +99,67 @@ def publish_gate(df: DataFrame) -> DataFrame:
 def cascade(claims: DataFrame, deprecated: DataFrame) -> DataFrame:
     """Ids of claims derived from deprecated ones, one level."""
     return claims.where("status <> 'deprecated'").select("claim_id", F.explode("derived_from").alias("claim")).join(deprecated.select(F.col("claim_id").alias("claim")), "claim", "left_semi").select("claim_id").distinct()
+
+
+def reviewed(claims: DataFrame, decisions: DataFrame, clock: Column) -> DataFrame:
+    """A new version of each verified claim that is approved or rejected (claim_id, decision). A rejected one
+    goes back to draft. Other claims give none."""
+    now = latest(claims).where("status = 'verified'").join(decisions, "claim_id")
+    yes = F.col("decision") == "approved"
+    return now.withColumns({"version": F.col("version") + 1, "status": F.when(yes, F.col("status")).otherwise("draft"), "approval_status": F.when(yes, "approved").otherwise("rejected"), "updated_at": clock}).select(claims.columns)
+
+
+def approved_from_parser(parsed: DataFrame) -> DataFrame:
+    """Claims of parsers count as verified and approved, in their first version."""
+    return parsed.withColumns({"version": F.lit(1).cast("long"), "status": F.lit("verified"), "approval_status": F.lit("approved")})
+
+
+def of_variant(claims: DataFrame, topic: str, variant: str) -> DataFrame:
+    """By the key topic#variant."""
+    return claims.where((F.col("topic") == topic) & (F.coalesce("variant", F.lit("default")) == variant))
+
+
+def evidence_of(claims: DataFrame) -> DataFrame:
+    """The evidence of the newest version of each claim, and how much there is."""
+    return latest(claims).select("claim_id", "evidence", F.size("evidence").alias("evidence_count"))
+
+
+def verified_of(claims: DataFrame, topic: Column | None = None) -> DataFrame:
+    """Verified newest versions, of one topic if given."""
+    now = latest(claims).where("status = 'verified'")
+    now = now if topic is None else now.where(F.col("topic") == topic)
+    return now.select("claim_id", "version", "topic", "statement", "confidence", F.size("evidence").alias("evidence_count"))
+
+
+def topics(claims: DataFrame) -> DataFrame:
+    """L18."""
+    return claims.where("topic is not null").select("topic").distinct()
+
+
+def superseded(docs: DataFrame, by: list[str], key: str, at: str) -> DataFrame:
+    """Adds ``superseded_by``, the key of the next document of the same topic and variant."""
+    return docs.withColumn("superseded_by", F.lead(key).over(Window.partitionBy(*by).orderBy(at, key)))
+
+
+#: Beginnings of functional blocks, and what names of register wrappers hold.
+FUNCTIONAL = ["tt_edc1_biu_", "tt_cluster_ctrl_", "tt_fds_", "tt_dispatch_", "tt_overlay_reg_xbar_"]
+REGISTERS = ["_reg_inner", "_reg_top"]
+
+
+def claim_targets(modules: DataFrame, by: str, name: str = "module_name", fewest: int = 10) -> DataFrame:
+    """modules of the data path by topic; register wrappers too where there are fewer than ten of those."""
+    low = F.lower(F.coalesce(name, F.lit("")))
+    register = low.rlike("|".join(REGISTERS)) & ~low.rlike("^(?:" + "|".join(FUNCTIONAL) + ")")
+    few = modules.groupBy(by).agg(F.count_if(~register).alias("_n"))
+    return modules.join(few, by).where(~register | (F.col("_n") < fewest)).drop("_n")
+
+
+def clean_hits(hits: DataFrame, pipeline: str = "tool-guide", types: tuple[str, ...] = ("command", "option")) -> DataFrame:
+    """hits of the active types; a hit of another pipeline raises."""
+    ok = F.when(F.col("pipeline_id") == pipeline, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("hit of pipeline "), F.coalesce("pipeline_id", F.lit("null"))).cast("string")).cast("boolean"))
+    return hits.where(ok & F.col("object_type").isin(*types))
+
+
+def length_ok(query: Column, most: int = 256) -> Column:
+    """from 1 to so many characters, never beyond 32,768."""
+    return F.coalesce(F.length(F.trim(query)).between(1, min(most, 32_768)), F.lit(False))

@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 
 
 def percentiles(df: DataFrame, group: list[str], value: str) -> DataFrame:
-    """Nearest rank; no rows give no group."""
-    n, rank = F.count(F.lit(1)).over(Window.partitionBy(*group)), F.row_number().over(Window.partitionBy(*group).orderBy(value))
-    ranked = df.where(F.col(value).isNotNull()).withColumns({"_n": n, "_r": rank})
-    pick = lambda p: F.max(F.when(F.col("_r") == F.greatest(F.lit(1), F.ceil(F.lit(p) * F.col("_n"))), F.col(value)))
-    return ranked.groupBy(*group).agg(pick(0.5).alias("p50"), pick(0.95).alias("p95"), pick(0.99).alias("p99"), F.max("_n").cast("long").alias("n"))
+    """Nearest rank; no rows give no group. Values are counted on the map side, so a large group is not sorted in
+    one task."""
+    pick = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {value})")
+    return df.where(F.col(value).isNotNull()).groupBy(*group).agg(pick(0.5).alias("p50"), pick(0.95).alias("p95"), pick(0.99).alias("p99"), F.count(F.lit(1)).alias("n"))
 
 
 def rolling(df: DataFrame, group: str, ts: str, value: str, key: str) -> DataFrame:
@@ -76,3 +75,26 @@ def innermost(blocks: DataFrame, group: str, key: str, start: str, end: str) ->
     inside = (F.col(f"a.{group}") == F.col(f"b.{group}")) & (F.col(f"b.{start}") <= F.col(f"a.{start}")) & (F.col(f"b.{end}") >= F.col(f"a.{end}")) & (F.col(f"a.{key}") != F.col(f"b.{key}")) & ((F.col(f"b.{start}") < F.col(f"a.{start}")) | (F.col(f"b.{end}") > F.col(f"a.{end}")))
     found = a.join(b, inside).groupBy(F.col(f"a.{key}").alias(key)).agg(F.min(F.struct((F.col(f"b.{end}") - F.col(f"b.{start}")).alias("span"), F.col(f"b.{key}").alias("parent"))).alias("m"))
     return blocks.select(key).join(found, key, "left").select(key, F.col("m.parent").alias("parent"))
+
+
+def batch_outcome(df: DataFrame, ok: Column) -> DataFrame:
+    """Successes, errors and the status code of a batch: 200 if all went well, else 207."""
+    n, good = F.count(F.lit(1)), F.count_if(ok)
+    return df.agg(n.alias("total"), good.alias("success"), (n - good).alias("errors"), F.when(n == good, 200).otherwise(207).alias("status"))
+
+
+def named_events(df: DataFrame, name: Column, pattern: str) -> DataFrame:
+    """How many events a log pattern names."""
+    return df.agg(F.count_if(name == pattern).alias("n"))
+
+
+def cost(usage: DataFrame, service: str, volume: str, unit_price: str) -> DataFrame:
+    """Price times volume by service, cut to two decimals."""
+    amount = F.sum(F.col(volume).cast("decimal(20,4)") * F.col(unit_price).cast("decimal(12,6)"))
+    return usage.groupBy(service).agg((F.floor(amount * 100) / 100).cast("decimal(20,2)").alias("cost"))
+
+
+def skip_check(df: DataFrame, skipped: Column, parsed: Column, nodes: Column) -> DataFrame:
+    """Too many records skipped (over 0.30), and modules parsed of which no node was made."""
+    ratio = share(F.count_if(skipped), F.count(F.lit(1)))
+    return df.agg(ratio.alias("skip_ratio"), (ratio > 0.30).alias("too_many"), ((F.sum(parsed) > 0) & (F.sum(nodes) == 0)).alias("mismatch"))

@@ -14,7 +14,7 @@ from ..functions.widths import WidthError, evaluate
 _COMMENT = (re.compile(r"//[^\n]*"), re.compile(r"/\*.*?\*/", re.S))
 _MODULE = re.compile(r"\bmodule\s+(\w+)")
 _PARAM = re.compile(r"\b(?:parameter|localparam)\s+(?:\w+\s+)?(?:\[[^\]]*\]\s*)?(\w+)\s*=\s*([^,;)\n]+)")
-_PORT = re.compile(r"\b(input|output|inout)\s+(?:wire\s+|reg\s+|logic\s+)?(\[[^\]]+\])?\s*(\w+)")
+_PORT = re.compile(r"\b(input|output|inout)\s+(?:(?:wire|reg|logic)\b)?\s*((?:\[[^\]]+\]\s*)*)(\w+)")
 _ASSIGN = re.compile(r"\bassign\s+([\w.\[\]]+)\s*=\s*([^;]+);")
 _POSEDGE = re.compile(r"always(?:_ff)?\s*@\s*\(\s*posedge\s+(\w+)")
 _WIRE = re.compile(r"\b(?:wire|logic)\s+(?:(\w+)\s+)?(\w+)((?:\s*\[[^\]]+\])+)\s*;")
@@ -91,15 +91,18 @@ def instances(body: str) -> list[dict]:
 
 
 def width(text: str | None, params: dict[str, int]) -> tuple[int | None, str]:
-    """Bits of [hi:lo]; unresolved stays text."""
-    if not text:
-        return 1, ""
-    hi, _, lo = text.strip("[] ").partition(":")
-    try:
-        a, b = evaluate(hi, params), evaluate(lo or "0", params)
-    except WidthError:
-        return None, text
-    return (abs(a - b) + 1, text) if isinstance(a, int) and isinstance(b, int) else (None, text)
+    """Bits of [hi:lo], of several ranges their product; unresolved stays text."""
+    bits, text = 1, (text or "").strip()
+    for one in re.findall(r"\[([^\]]+)\]", text):
+        hi, _, lo = one.partition(":")
+        try:
+            a, b = evaluate(hi, params), evaluate(lo or "0", params)
+        except WidthError:
+            return None, text
+        if not isinstance(a, int) or not isinstance(b, int):
+            return None, text
+        bits *= abs(a - b) + 1
+    return bits, text
 
 
 def enum_values(body: str) -> list[dict]:
@@ -148,8 +151,11 @@ def parse(text: str) -> list[dict]:
                     known[k] = x
             except WidthError:
                 pass
-        ports = []
+        ports, named = [], set()
         for p in _PORT.finditer(body):
+            if p[3] in named:
+                continue
+            named.add(p[3])
             w, t = width(p[2], known)
             ports.append({"direction": p[1], "name": p[3], "width": w, "range": t})
         head = body.find(";")
@@ -215,17 +221,70 @@ def signal_edges(modules: DataFrame) -> DataFrame:
     return e.withColumn("edge_id", claim_id_of("path", "type", "src", "dst")).withColumn("class", port_class(F.concat_ws(" ", "src", "dst"))).dropDuplicates(["edge_id"])
 
 
-def memory_type(name: Column) -> Column:
-    """ROM before register file before SRAM."""
-    n = F.lower(name)
-    return F.when(n.rlike("rom"), "ROM").when(n.rlike("(^|_)rf(_|$)|regfile"), "RF").when(n.rlike("sram|ram|mem"), "SRAM")
+def _columns(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
+def widths(rows: DataFrame, expr: str, value: str) -> DataFrame:
+    """Adds ``width``, the value of an expression with W given by a column, and ``unresolved``, its text if it
+    has none."""
+    kinds = f"{_columns(rows)}, width long, unresolved string"
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for e, w in zip(batch.column(batch.schema.names.index(expr)).to_pylist(), batch.column(batch.schema.names.index(value)).to_pylist()):
+                try:
+                    out.append(evaluate(e or "", {"W": w}))
+                except WidthError:
+                    out.append(e)
+            known = [v if isinstance(v, int) else None for v in out]
+            text = ["" if isinstance(v, int) else v for v in out]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(known, pa.int64()), pa.array(text, pa.string())], names=[*batch.schema.names, "width", "unresolved"])
+
+    return rows.mapInArrow(run, kinds)
+
+
+def memory_type(instance: Column, module: Column) -> Column:
+    """Null if neither name is that of a memory; ROM before register file before SRAM."""
+    n = F.lower(F.concat_ws("_", instance, module))
+    return F.when(n.rlike("sram|ram|rf_|reg_file|rom|memory|mem_"), F.when(F.contains(n, F.lit("rom")), "ROM").when(n.rlike("rf_|reg_file"), "RF").otherwise("SRAM"))
+
+
+def subsystem(path: Column, topic: Column) -> Column:
+    """By the hierarchy path, then the topic."""
+    p = F.lower(path)
+    known = F.when(p.rlike("tensix|fpu|sfpu"), "Tensix").when(p.contains("overlay"), "Overlay").when(p.rlike("noc|niu"), "NoC").when(p.contains("edc"), "EDC").when(p.contains("dispatch"), "Dispatch")
+    return known.when((topic != "") & (topic != "unclassified"), topic).otherwise("Other")
 
 
 def sram_inventory(modules: DataFrame) -> DataFrame:
-    """Memory instances, once by (instance, parent), with depth and width from the name."""
+    """Memory instances, once by (instance, parent), with depth and width from the instance's name."""
     i = modules.select(F.col("module").alias("parent"), F.explode("instances").alias("i")).select("parent", F.col("i.name").alias("instance"), F.col("i.module").alias("cell"))
-    i = i.withColumn("type", memory_type(F.concat_ws(" ", "instance", "cell"))).where("type is not null").dropDuplicates(["instance", "parent"])
-    return i.withColumns({"depth": F.regexp_extract("cell", r"(\d+)x(\d+)", 1).try_cast("long"), "width": F.regexp_extract("cell", r"(\d+)x(\d+)", 2).try_cast("long")})
+    i = i.withColumn("type", memory_type(F.col("instance"), F.col("cell"))).where("type is not null").dropDuplicates(["instance", "parent"])
+    size = r"(?i)(\d+)\s*x\s*(\d+)"
+    return i.withColumns({"depth": F.regexp_extract("instance", size, 1).try_cast("long"), "width": F.regexp_extract("instance", size, 2).try_cast("long")})
+
+
+def sram_summary(inventory: DataFrame) -> DataFrame:
+    """Memories in all, by type and by subsystem."""
+    of = subsystem(F.col("parent"), F.lit(""))
+    rows = inventory.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("value")) for k, v in (("total", F.lit("")), ("type", F.col("type")), ("subsystem", of))])).alias("r"))
+    return rows.groupBy("r.kind", "r.value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def port_claims(modules: DataFrame, pipeline: str, fewest: int = 10) -> DataFrame:
+    """Of modules with ten ports or more a claim for each class of ports, and one for all of them."""
+    rows = modules.where(F.size("ports") >= fewest).select("path", "module", F.size("ports").alias("all"), F.posexplode("ports").alias("at", "p")).select("path", "module", "all", "at", F.col("p.name").alias("port"))
+    by = rows.withColumn("category", port_class(F.col("port"))).groupBy("path", "module", "all", "category").agg(F.min("at").alias("at"), F.array_sort(F.collect_list(F.struct("at", "port"))).alias("p"))
+    names = F.array_join(F.transform("p", lambda x: x["port"]), ", ")
+    of = F.concat(F.lit("Module '"), F.col("module"), F.lit("' has "))
+    one = by.where("category <> 'Other'").select("path", "module", "category", F.concat(of, F.size("p").cast("string"), F.lit(" "), "category", F.lit(" ports: "), names).alias("claim_text"))
+    rank = F.when(F.col("category") == "Other", F.lit(1 << 30)).otherwise(F.col("at"))
+    parts = by.groupBy("path", "module", "all").agg(F.array_sort(F.collect_list(F.struct(rank.alias("r"), F.concat("category", F.lit("("), F.size("p").cast("string"), F.lit(")")).alias("t")))).alias("s"))
+    every = parts.select("path", "module", F.lit("PortSummary").alias("category"), F.concat(of, F.col("all").cast("string"), F.lit(" total ports: "), F.array_join(F.transform("s", lambda x: x["t"]), ", ")).alias("claim_text"))
+    key = F.concat_ws(":", F.lit(pipeline), "path", F.lit("port"), "category", F.substring("claim_text", 1, 80))
+    return one.unionByName(every).withColumns({"claim_id": F.substring(F.sha2(key, 256), 1, 16), "claim_type": F.lit("structural"), "topic": F.lit("TopLevelPorts")})
 
 
 def endpoint_grid(spark, size_x: int, size_y: int) -> DataFrame:

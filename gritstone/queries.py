@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import chunk, claims, graph, metrics, policy, rtl, search, verify
+from .operators import chunk, claims, graph, metrics, policy, records, rtl, search, verify
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -51,13 +51,30 @@ def search_boost_dedup(spark, d):
     return search.first_by(s, ["label", "lang"], order).orderBy(*order).limit(20).select("vec_id", "label", "lang", "flagged", "boosted")
 
 
-def _case(expr: str, classes, default: str) -> str:
-    return "CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower({expr}), '{w}')" for w in words) + f" THEN '{name}'" for name, words in classes) + f" ELSE '{default}' END"
+#: Questions with their class, by literals; the second column is what each must give.
+_QUESTIONS = [
+    ("which input has the AXI bus", "port_query"), ("reset of the block", "port_query"), ("모듈 트리 보기", "hierarchy_query"), ("every instance of x", "hierarchy_query"), ("SizeX of the grid", "config_query"),
+    ("localparam list", "config_query"), ("ring between routers", "connectivity_query"), ("데이터 연결", "connectivity_query"), ("what is this", "general_query"), ("", "general_query"),
+]
+_QUESTION_SQL = ", ".join(f"({i}, '{q}', '{c}')" for i, (q, c) in enumerate(_QUESTIONS))
 
 
-@query(f"SELECT conv_id, turn, {_case('text', T.QUERY_CLASSES, 'general')} AS query_type FROM conversations")
+@query(f"""WITH t AS (SELECT conv_id, turn, id, lower(concat_ws(' ', q, text)) AS t FROM conversations, (VALUES {_QUESTION_SQL}) v(id, q, c) WHERE (conv_id + turn) % {len(_QUESTIONS)} = id)
+SELECT conv_id, turn, id, CASE WHEN regexp_matches(t, '포트|port|input|output|인터페이스|axi|apb|clock|reset|clk') THEN 'port_query' WHEN regexp_matches(t, '인스턴스|계층|hierarchy|instantiate|모듈 트리|instance|sub-module') THEN 'hierarchy_query'
+WHEN regexp_matches(t, '파라미터|parameter|localparam|설정|크기|size') THEN 'config_query' WHEN regexp_matches(t, '연결|topology|ring|chain|routing|generate|feedthrough') THEN 'connectivity_query' ELSE 'general_query' END AS query_type FROM t""")
 def query_type_classify(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", T.query_type(F.col("text")).alias("query_type"))
+    """Each turn of the conversations, with a question of known class before it."""
+    known = spark.createDataFrame([(i, q) for i, (q, _) in enumerate(_QUESTIONS)], "id int, q string")
+    c = table(spark, d, "conversations").withColumn("id", F.pmod(F.col("conv_id") + F.col("turn"), F.lit(len(_QUESTIONS))).cast("int"))
+    return c.join(F.broadcast(known), "id").select("conv_id", "turn", "id", T.query_type(F.concat_ws(" ", "q", "text")).alias("query_type"))
+
+
+@query("""SELECT q || '/' || k AS of, w AS boost FROM (VALUES ('port_query', 4.0, 0.5, 2.0), ('hierarchy_query', 1.5, 3.0, 2.0), ('config_query', 4.0, 1.0, 2.0), ('connectivity_query', 4.0, 1.0, 2.0), ('general_query', 3.0, 1.0, 2.0), ('other', 3.0, 1.0, 2.0)) v(q, c, m, h),
+unnest(['claim', 'module_parse', 'hdd_section', 'x']) a(k), LATERAL (SELECT (CASE k WHEN 'claim' THEN c WHEN 'module_parse' THEN m WHEN 'hdd_section' THEN h ELSE 1.0 END)::DOUBLE AS w) l""")
+def dynamic_boost(spark, d):
+    kinds = F.explode(F.array(*[F.lit(k) for k in ("claim", "module_parse", "hdd_section", "x")])).alias("k")
+    of = spark.createDataFrame([(q,) for q in (*T.BOOSTS, "other")], "q string").select("q", kinds)
+    return of.select(F.concat_ws("/", "q", "k").alias("of"), T.boost_of(F.col("q"), F.col("k")).alias("boost"))
 
 
 _TOK = "list_distinct(list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\x0b\\f\\r]+'), lambda w: w <> ''))"
@@ -104,9 +121,10 @@ def cross_check_risk(spark, d):
     return j.select("doc_id", r.alias("risk"), claims.verdict(r).alias("verdict"))
 
 
-@query("""SELECT doc_id, array_to_string(list_filter([CASE WHEN n_chars % 5 < 1 THEN 'evidence' END, CASE WHEN NOT (n_chars / 1000.0 BETWEEN 0 AND 1) THEN 'confidence' END, CASE WHEN NOT contains(source, '/') THEN 'topic' END, CASE WHEN NOT (length(text) BETWEEN 10 AND 500) THEN 'statement' END], lambda x: x IS NOT NULL), ',') AS errors FROM documents""")
+@query("""SELECT doc_id, array_to_string(list_filter([CASE WHEN n_chars % 5 < 1 THEN 'evidence' END, CASE WHEN NOT (n_chars / 1000.0 BETWEEN 0 AND 1) THEN 'confidence' END, CASE WHEN doc_id % 3 = 0 THEN 'topic' END, CASE WHEN NOT (length(text) BETWEEN 10 AND 500) THEN 'statement' END], lambda x: x IS NOT NULL), ',') AS errors FROM documents""")
 def claim_validation(spark, d):
-    e = claims.errors(F.col("text"), F.col("source"), F.col("n_chars") / 1000.0, F.col("n_chars") % 5)
+    topic = F.when(F.col("doc_id") % 3 == 0, F.col("source")).otherwise(F.concat_ws("/", "source", "lang"))
+    e = claims.errors(F.col("text"), topic, F.col("n_chars") / 1000.0, F.col("n_chars") % 5)
     return table(spark, d, "documents").select("doc_id", F.array_join(e, ",").alias("errors"))
 
 
@@ -188,13 +206,13 @@ def roots_anti_join(spark, d):
     return graph.roots(table(spark, d, "nation"), table(spark, d, "supplier").where("s_acctbal > 5000"), "n_nationkey", "s_nationkey")
 
 
-_EDGES = """SELECT DISTINCT 'p' || l_partkey AS src, 'o' || l_orderkey AS dst FROM lineitem WHERE l_quantity = 50
+_EDGES = """SELECT DISTINCT 'p' || l_partkey AS src, 'o' || l_orderkey AS dst FROM lineitem
 UNION ALL SELECT 'o' || o_orderkey, 'c' || o_custkey FROM orders UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer"""
 
 
 @query(f"""WITH e AS ({_EDGES}) SELECT a.src AS root, c.dst AS at, 3::BIGINT AS depth, count(*) AS n FROM e a JOIN e b ON a.dst = b.src JOIN e c ON b.dst = c.src WHERE a.src LIKE 'p%' GROUP BY ALL""")
 def signal_trace(spark, d):
-    li, o, c = table(spark, d, "lineitem").where("l_quantity = 50"), table(spark, d, "orders"), table(spark, d, "customer")
+    li, o, c = table(spark, d, "lineitem"), table(spark, d, "orders"), table(spark, d, "customer")
     name = lambda k, col: F.concat(F.lit(k), F.col(col).cast("string"))
     parts = li.select(name("p", "l_partkey").alias("src"), name("o", "l_orderkey").alias("dst")).distinct()
     e = parts.unionByName(o.select(name("o", "o_orderkey").alias("src"), name("c", "o_custkey").alias("dst"))).unionByName(c.select(name("c", "c_custkey").alias("src"), name("n", "c_nationkey").alias("dst")))
@@ -233,13 +251,13 @@ def variant_delta(spark, d):
 
 
 @query("""WITH RECURSIVE e AS (SELECT 'c' || c_custkey AS id, 'n' || c_nationkey AS parent FROM customer UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation),
-u AS (SELECT id, 0 AS level FROM e WHERE id LIKE 'c%' AND substr(id, 2)::INT % 10 = 0 UNION SELECT e.parent, level + 1 FROM u JOIN e ON e.id = u.id WHERE level < 5)
+u AS (SELECT id, 0 AS level FROM e WHERE id LIKE 'c%' UNION SELECT e.parent, level + 1 FROM u JOIN e ON e.id = u.id WHERE level < 5)
 SELECT id, min(level)::BIGINT AS level FROM u WHERE level > 0 GROUP BY 1""")
 def stale_propagation(spark, d):
     c, n = table(spark, d, "customer"), table(spark, d, "nation")
     name = lambda k, col: F.concat(F.lit(k), F.col(col).cast("string"))
     e = c.select(name("c", "c_custkey").alias("id"), name("n", "c_nationkey").alias("parent")).unionByName(n.select(name("n", "n_nationkey").alias("id"), name("r", "n_regionkey").alias("parent")))
-    return graph.ancestors(c.where("c_custkey % 10 = 0").select(name("c", "c_custkey").alias("id")), e)
+    return graph.ancestors(c.select(name("c", "c_custkey").alias("id")), e)
 
 
 @query("""WITH s AS (SELECT user_id, ts, max(value) AS value FROM events WHERE event_type = (SELECT min(event_type) FROM events) GROUP BY 1, 2)
@@ -273,33 +291,54 @@ def innermost_interval(spark, d):
     return metrics.innermost(b, "o_custkey", "o_orderkey", "lo", "hi")
 
 
-@query("""WITH p AS (SELECT page_id, regexp_replace(url, '^[a-z0-9]+://', '') AS u FROM pages), q AS (SELECT page_id, string_split(u, '/') AS s FROM p)
-SELECT page_id, array_to_string(list_concat(s[2:greatest(len(s) - 1, 1)], [regexp_replace(regexp_replace(s[-1], '\\.[^.]*$', ''), '_(spec|doc|guide|manual)$', '')]), '/') AS topic FROM q""")
+_PATHS = """SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN 'documents/soc/ucie/phy_spec.md' WHEN 1 THEN 'documents/soc/' || p_brand || '/sub/Top-OVERVIEW.v' WHEN 2 THEN 'x.md' WHEN 3 THEN 'a/b/_guide.pdf'
+WHEN 4 THEN 'rtl/noc/' || p_size || '/tt_edc_top.svh' WHEN 5 THEN 'rtl\\fpu\\mem_' || p_size || '.vhd' WHEN 6 THEN 'team/kind/plain.name.tcl' ELSE 'team/' || p_type END AS path FROM part"""
+
+
+def _paths(spark, d) -> DataFrame:
+    k, kind = F.col("p_partkey"), F.col("p_partkey") % 8
+    cases = [F.lit("documents/soc/ucie/phy_spec.md"), F.concat(F.lit("documents/soc/"), "p_brand", F.lit("/sub/Top-OVERVIEW.v")), F.lit("x.md"), F.lit("a/b/_guide.pdf"), F.concat(F.lit("rtl/noc/"), F.col("p_size").cast("string"), F.lit("/tt_edc_top.svh")), F.concat(F.lit("rtl\\fpu\\mem_"), F.col("p_size").cast("string"), F.lit(".vhd")), F.lit("team/kind/plain.name.tcl")]
+    path = F.concat(F.lit("team/"), "p_type")
+    for i, c in enumerate(cases):
+        path = F.when(kind == i, c).otherwise(path)
+    return table(spark, d, "part").select(k, path.alias("path"))
+
+
+@query(f"""WITH p AS ({_PATHS}) SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN 'ucie/phy' WHEN 1 THEN string_split(path, '/')[3] || '/sub/Top' WHEN 2 THEN '' WHEN 3 THEN 'b' WHEN 4 THEN 'noc/' || string_split(path, '/')[3] || '/tt_edc_top' WHEN 5 THEN '' WHEN 6 THEN 'kind/plain.name' ELSE '' END AS topic FROM p""")
 def topic_from_path(spark, d):
-    return table(spark, d, "pages").select("page_id", T.topic_from_path(F.col("url")).alias("topic"))
+    return _paths(spark, d).select("p_partkey", T.topic_from_path(F.col("path")).alias("topic"))
 
 
-@query("""WITH n AS (SELECT page_id, string_split(url, '/')[-1] AS f FROM pages), e AS (SELECT page_id, CASE WHEN contains(f, '.') THEN lower(string_split(f, '.')[-1]) ELSE '' END AS x FROM n)
-SELECT page_id, CASE x """ + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in T.DOCUMENT_TYPES.items()) + " ELSE 'other' END AS document_type FROM e")
+@query(f"""WITH p AS ({_PATHS}) SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN 'markdown' WHEN 1 THEN 'rtl' WHEN 2 THEN 'markdown' WHEN 3 THEN 'pdf' WHEN 4 THEN 'rtl' WHEN 5 THEN 'rtl' WHEN 6 THEN 'script' ELSE 'other' END AS document_type FROM p""")
 def document_type_map(spark, d):
-    return table(spark, d, "pages").select("page_id", T.document_type(F.col("url")).alias("document_type"))
+    return _paths(spark, d).select("p_partkey", T.document_type(F.col("path")).alias("document_type"))
+
+
+@query(f"""WITH p AS ({_PATHS}) SELECT p_partkey, CASE p_partkey % 8 WHEN 4 THEN 'EDC,NoC' WHEN 5 THEN 'FPU,Memory' ELSE 'unclassified' END AS topics FROM p""")
+def topic_classify(spark, d):
+    name = F.regexp_extract("path", r"([^/\\\\]+)\.[^.]*$", 1)
+    return _paths(spark, d).select("p_partkey", F.array_join(T.topics_of(F.col("path"), name), ",").alias("topics"))
+
+
+_CELLS = ["sram_macro", "boot_rom", "rf_macro", "alu"]
+_INST = "'u_' || s_suppkey || '_' || (s_suppkey % 64 + 1) || 'x' || (s_suppkey % 8 + 1)"
 
 
 def rendered(spark, d) -> DataFrame:
     """Verilog made from the tables: a module a nation, with a parameter, ports, and an instance a supplier."""
     n, s = table(spark, d, "nation"), table(spark, d, "supplier")
-    inst = s.groupBy("s_nationkey").agg(F.array_sort(F.collect_list(F.format_string("  sram_%dx%d #(.DEPTH(%d)) u_mem_%d (.i_ai_clk(i_clk), .i_data({a, b}), .o_q(q[%d]));", F.col("s_suppkey") % 64 + 1, F.col("s_suppkey") % 8 + 1, F.col("s_suppkey"), F.col("s_suppkey"), F.col("s_suppkey")))).alias("i"))
+    inst = s.groupBy("s_nationkey").agg(F.array_sort(F.collect_list(F.format_string("  %s #(.DEPTH(%d)) u_%d_%dx%d (.i_ai_clk(i_ai_clk), .i_data({a, b}), .o_q(q[%d]));", F.element_at(F.array(*[F.lit(c) for c in _CELLS]), (F.col("s_suppkey") % 4 + 1).cast("int")), F.col("s_suppkey"), F.col("s_suppkey"), F.col("s_suppkey") % 64 + 1, F.col("s_suppkey") % 8 + 1, F.col("s_suppkey")))).alias("i"))
     j = n.join(inst, n.n_nationkey == inst.s_nationkey, "left")
-    head = F.format_string("// nation %d\nmodule m_%d #(parameter WIDTH = %d, parameter TWICE = WIDTH*2) (\n  input wire i_clk,\n  input i_rst_n,\n  input [WIDTH-1:0] i_data,\n  output [TWICE-1:0] o_noc_flit\n);\n", F.col("n_nationkey"), F.col("n_nationkey"), F.col("n_nationkey") + 1)
-    return j.select(F.format_string("rtl-sources/n1_20260101/m_%d.v", F.col("n_nationkey")).alias("path"), F.concat(head, F.array_join(F.coalesce("i", F.array()), "\n"), F.lit("\n  assign o_noc_flit = i_data; /* end */\nendmodule\n")).alias("content"))
+    head = F.format_string("// nation %d\nmodule m_%d #(parameter WIDTH = %d, parameter TWICE = WIDTH*2) (\n  input wire i_ai_clk,\n  input i_noc_reset_n,\n  input wire [WIDTH-1:0][1:0] i_reg_data,\n  output [TWICE-1:0] o_edc_flit,\n  inout io_pad\n);\n", F.col("n_nationkey"), F.col("n_nationkey"), F.col("n_nationkey") + 1)
+    return j.select(F.format_string("rtl-sources/n1_20260101/m_%d.v", F.col("n_nationkey")).alias("path"), F.concat(head, F.array_join(F.coalesce("i", F.array()), "\n"), F.lit("\n  assign o_edc_flit = i_reg_data; /* end */\nendmodule\n")).alias("content"))
 
 
-@query("SELECT 'm_' || n_nationkey AS module, 4::BIGINT AS ports, 2::BIGINT AS params, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS instances FROM nation")
+@query("SELECT 'm_' || n_nationkey AS module, 5::BIGINT AS ports, 2::BIGINT AS params, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS instances FROM nation")
 def rtl_parse_modules(spark, d):
     return rtl.parsed(rendered(spark, d)).select("module", *[F.size(c).cast("long").alias(c) for c in ("ports", "params", "instances")])
 
 
-@query("SELECT 'm_' || s_nationkey AS src, 'sram_' || (s_suppkey % 64 + 1) || 'x' || (s_suppkey % 8 + 1) AS dst, 'u_mem_' || s_suppkey AS instance FROM supplier")
+@query("SELECT 'm_' || s_nationkey AS src, ['sram_macro', 'boot_rom', 'rf_macro', 'alu'][s_suppkey % 4 + 1] AS dst, " + _INST + " AS instance FROM supplier")
 def rtl_instances(spark, d):
     return rtl.hierarchy_edges(rtl.parsed(rendered(spark, d)))
 
@@ -309,17 +348,17 @@ def rtl_params(spark, d):
     return rtl.parsed(rendered(spark, d)).select("module", F.explode("params").alias("p")).select("module", "p.name", "p.value")
 
 
-@query("""SELECT 'm_' || n_nationkey AS module, unnest(['i_clk', 'i_rst_n', 'i_data', 'o_noc_flit']) AS port, unnest(['input', 'input', 'input', 'output']) AS direction, unnest([1, 1, n_nationkey + 1, 2 * (n_nationkey + 1)])::BIGINT AS width, unnest(['clock', 'reset', 'data', 'noc']) AS class FROM nation""")
+@query("""SELECT 'm_' || n_nationkey AS module, unnest(['i_ai_clk', 'i_noc_reset_n', 'i_reg_data', 'o_edc_flit', 'io_pad']) AS port, unnest(['input', 'input', 'input', 'output', 'inout']) AS direction, unnest([1, 1, 2 * (n_nationkey + 1), 2 * (n_nationkey + 1), 1])::BIGINT AS width, unnest(['AI_Clock_Reset', 'NoC_Clock_Reset', 'APB_Register', 'EDC_APB', 'Other']) AS class FROM nation""")
 def port_classify(spark, d):
     return rtl.ports(rtl.parsed(rendered(spark, d))).drop("path")
 
 
-@query("""SELECT 'm_' || s_nationkey AS module, 'u_mem_' || s_suppkey AS instance, unnest(['i_ai_clk', 'i_data', 'o_q']) AS port, unnest(['i_clk', '{a, b}', 'q[' || s_suppkey || ']']) AS expr, unnest(['simple', 'concatenation', 'simple']) AS kind FROM supplier""")
+@query(f"""SELECT 'm_' || s_nationkey AS module, {_INST} AS instance, unnest(['i_ai_clk', 'i_data', 'o_q']) AS port, unnest(['i_ai_clk', '{{a, b}}', 'q[' || s_suppkey || ']']) AS expr, unnest(['simple', 'concatenation', 'simple']) AS kind FROM supplier""")
 def port_bindings(spark, d):
     return rtl.port_bindings(rtl.parsed(rendered(spark, d))).drop("path", "target")
 
 
-@query("SELECT 'm_' || s_nationkey AS parent, 'u_mem_' || s_suppkey AS instance, s_suppkey % 64 + 1 AS depth, s_suppkey % 8 + 1 AS width, 'SRAM' AS type FROM supplier")
+@query(f"SELECT 'm_' || s_nationkey AS parent, {_INST} AS instance, s_suppkey % 64 + 1 AS depth, s_suppkey % 8 + 1 AS width, ['SRAM', 'ROM', 'RF'][s_suppkey % 4 + 1] AS type FROM supplier WHERE s_suppkey % 4 < 3")
 def sram_inventory(spark, d):
     return rtl.sram_inventory(rtl.parsed(rendered(spark, d))).drop("cell")
 
@@ -334,10 +373,13 @@ def endpoint_grid(spark, d):
     return rtl.endpoint_grid(spark, 4, 5)
 
 
-@query("SELECT n, c FROM (VALUES (1, 0), (2, 1), (3, 2), (5, 3), (12, 4), (100, 7), (1024, 10)) v(n, c)")
+@query("""SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN (p_size + 3) * 2 - 1 WHEN 1 THEN ceil(log2(p_size))::BIGINT WHEN 2 THEN p_size << 2 WHEN 3 THEN NULL ELSE p_size // 2 + 16 END AS width,
+CASE p_partkey % 5 WHEN 3 THEN 'SizeX-' || p_size ELSE '' END AS unresolved FROM part""")
 def bitwidth_eval(spark, d):
-    rows = spark.createDataFrame([(n,) for n in (1, 2, 3, 5, 12, 100, 1024)], "n int")
-    return rows.select("n", T.clog2(F.col("n")).cast("int").alias("c"))
+    """Width expressions in text, evaluated with W = p_size."""
+    form = F.element_at(F.array(*[F.lit(x) for x in ("(W+3)*2-1", "$clog2(W)", "W << 2", "SizeX-%d", "W/2 + 8'h10")]), (F.col("p_partkey") % 5 + 1).cast("int"))
+    rows = table(spark, d, "part").select("p_partkey", "p_size", F.replace(form, F.lit("%d"), F.col("p_size").cast("string")).alias("expr"))
+    return rtl.widths(rows, "expr", "p_size").select("p_partkey", "width", "unresolved")
 
 
 @query("""WITH d AS (SELECT DISTINCT s_nationkey AS g, 'k' || s_suppkey % 4 AS d FROM supplier) SELECT a.g, a.d AS a, b.d AS b FROM d a JOIN d b ON a.g = b.g AND a.d < b.d""")
@@ -372,9 +414,12 @@ def claim_diversity(spark, d):
     return metrics.diversity(table(spark, d, "documents"), "source", "lang")
 
 
-@query("SELECT page_id, regexp_matches(coalesce(url, ''), '^(rag|rtl|graph|claim|job|index)://\\S+$') AS valid FROM pages")
+@query("SELECT page_id, page_id % 9 < 6 AS valid FROM pages")
 def uri_valid(spark, d):
-    return table(spark, d, "pages").select("page_id", T.valid_uri(F.col("url")).alias("valid"))
+    """Each of the six schemes, then an unknown one, one without an id and one with a space."""
+    form = F.element_at(F.array(*[F.lit(x) for x in ("rag://", "rtl://", "graph://", "claim://", "job://", "index://", "ftp://", "rag://", "rtl://a ")]), (F.col("page_id") % 9 + 1).cast("int"))
+    uri = F.when(F.col("page_id") % 9 == 7, form).otherwise(F.concat(form, F.col("page_id").cast("string")))
+    return table(spark, d, "pages").select("page_id", T.valid_uri(uri).alias("valid"))
 
 
 @query("SELECT doc_id, contains(lower(text), 'token') AS hit, regexp_matches(text, '(?i)\\blatest\\b') AS latest FROM documents WHERE contains(lower(text), 'token') OR contains(lower(source), 'token')")
@@ -405,3 +450,139 @@ def chunk_rtl(spark, d):
 @query()
 def chunk_spec(spark, d):
     return chunk.chunks(table(spark, d, "documents"), chunk.by_spec)
+
+
+@query("""SELECT 'total' AS kind, '' AS value, count(*) AS n FROM supplier WHERE s_suppkey % 4 < 3
+UNION ALL SELECT 'type', ['SRAM', 'ROM', 'RF'][s_suppkey % 4 + 1], count(*) FROM supplier WHERE s_suppkey % 4 < 3 GROUP BY 2 UNION ALL SELECT 'subsystem', 'Other', count(*) FROM supplier WHERE s_suppkey % 4 < 3""")
+def sram_summary(spark, d):
+    return rtl.sram_summary(rtl.sram_inventory(rtl.parsed(rendered(spark, d))))
+
+
+_PORTS = ["i_ai_clk", "i_ai_reset_n", "o_edc_apb_sel", "npu_in_data", "NPU_OUT_data", "i_reg_psel", "ISO_EN", "SFR_ctl", "io_a", "io_b", "i_tensix_reset"]
+
+
+@query("""WITH c AS (SELECT n_nationkey AS k, unnest(['AI_Clock_Reset', 'EDC_APB', 'AXI_Interface', 'APB_Register', 'PRTN_Power', 'SFR_Memory_Config', 'Tensix_Reset', 'PortSummary']) AS category,
+unnest(['2 AI_Clock_Reset ports: i_ai_clk, i_ai_reset_n', '1 EDC_APB ports: o_edc_apb_sel', '2 AXI_Interface ports: npu_in_data, NPU_OUT_data', '1 APB_Register ports: i_reg_psel', '1 PRTN_Power ports: ISO_EN', '1 SFR_Memory_Config ports: SFR_ctl', '1 Tensix_Reset ports: i_tensix_reset',
+'11 total ports: AI_Clock_Reset(2), EDC_APB(1), AXI_Interface(2), APB_Register(1), PRTN_Power(1), SFR_Memory_Config(1), Tensix_Reset(1), Other(2)']) AS t FROM nation),
+f AS (SELECT 'top_' || k AS module, category, 'Module ' || chr(39) || 'top_' || k || chr(39) || ' has ' || t AS claim_text FROM c)
+SELECT *, substr(sha256('p1:' || module || '.v:port:' || category || ':' || substr(claim_text, 1, 80)), 1, 16) AS claim_id FROM f""")
+def port_claims(spark, d):
+    name = F.format_string("top_%d", F.col("n_nationkey"))
+    body = ",\n".join(f"  input {p}" for p in _PORTS)
+    files = table(spark, d, "nation").select(F.concat(name, F.lit(".v")).alias("path"), F.concat(F.lit("module "), name, F.lit(f" (\n{body}\n);\nendmodule\n")).alias("content"))
+    small = files.select(F.concat(F.lit("few_"), "path").alias("path"), F.lit("module few (input i_ai_clk);\nendmodule\n").alias("content"))
+    return rtl.port_claims(rtl.parsed(files.unionByName(small)), "p1").select("module", "category", "claim_text", "claim_id")
+
+
+def _records(spark, d) -> DataFrame:
+    """A module record a nation, with two ports and an instance a supplier; a binding and a clock claim a customer."""
+    n, s, c = (table(spark, d, x) for x in ("nation", "supplier", "customer"))
+    mod, none = (lambda k: F.concat(F.lit("m_"), F.col(k).cast("string"))), (lambda kind: F.lit(None).cast(kind))
+    inst = s.groupBy("s_nationkey").agg(F.collect_list(F.struct(F.concat(F.lit("u_"), F.col("s_suppkey").cast("string")).alias("instance_name"), F.lit("sub").alias("module_type"), none("string").alias("generate_scope"), none("string").alias("hier_path"))).alias("instance_list"))
+    port = lambda name, way: F.struct(F.lit(name).alias("name"), F.lit(way).alias("direction"), F.lit("").alias("bit_width"))
+    modules = n.join(inst, n.n_nationkey == inst.s_nationkey, "left").select(F.lit("module_parse").alias("analysis_type"), F.lit("p").alias("pipeline_id"), mod("n_nationkey").alias("module_name"), F.array(port("i_flit", "input"), port("o_flit", "output")).alias("port_list"), "instance_list")
+    way = F.element_at(F.array(*[F.lit(x) for x in ("input", "output", "inout", "")]), (F.col("c_custkey") % 4 + 1).cast("int"))
+    base = [F.lit("claim").alias("analysis_type"), F.lit("p").alias("pipeline_id"), mod("c_nationkey").alias("module_name")]
+    signal = F.when(F.col("c_custkey") % 10 > 0, F.concat(F.lit("s_"), (F.col("c_custkey") % 50).cast("string")))
+    binds = c.select(*base, F.lit("PortBinding").alias("topic"), F.concat(F.lit("p_"), (F.col("c_custkey") % 7).cast("string")).alias("port_name"), signal.alias("signal_name"), way.alias("direction"))
+    clocks = c.where("c_custkey % 3 = 0").select(*base, F.lit("ClockDomain").alias("topic"), signal.alias("signal_name"), F.concat(F.lit("k_"), (F.col("c_custkey") % 2).cast("string")).alias("clock_domain"))
+    out = modules
+    for df in (binds, clocks, spark.createDataFrame([], records.RECORD)):
+        out = out.unionByName(df, allowMissingColumns=True)
+    return out
+
+
+_RECORDS = """WITH m AS (SELECT 'm_' || n_nationkey AS m FROM nation), p AS (SELECT m, unnest(['i_flit', 'o_flit']) AS p FROM m), i AS (SELECT 'm_' || s_nationkey AS m, 'u_' || s_suppkey AS u FROM supplier),
+b AS (SELECT 'm_' || c_nationkey AS m, 'p_' || c_custkey % 7 AS p, 's_' || c_custkey % 50 AS s, ['input', 'output', 'inout', ''][c_custkey % 4 + 1] AS way FROM customer WHERE c_custkey % 10 > 0),
+k AS (SELECT 'm_' || c_nationkey AS m, 's_' || c_custkey % 50 AS s, 'k_' || c_custkey % 2 AS k FROM customer WHERE c_custkey % 10 > 0 AND c_custkey % 3 = 0)"""
+
+
+@query(_RECORDS + """ SELECT label, key FROM (SELECT 'ModuleDef' AS label, m AS key FROM m UNION SELECT 'PortDef', m || '/' || p FROM p UNION SELECT 'PortInstance', m || '/' || p FROM p UNION SELECT 'Instance', m || '/' || u FROM i
+UNION SELECT 'PortInstance', m || '/' || p FROM b UNION SELECT 'Signal', m || '/' || s FROM b UNION SELECT 'Signal', m || '/' || s FROM k UNION SELECT 'ClockDomain', k FROM k)""")
+def graph_nodes(spark, d):
+    return records.nodes(_records(spark, d)).select("label", "key")
+
+
+@query(_RECORDS + """ SELECT type, src, dst, count(*) AS n FROM (SELECT 'DEFINES' AS type, m AS src, m || '/' || p AS dst FROM p UNION ALL SELECT 'HAS_PORT', m, m || '/' || p FROM p UNION ALL SELECT 'INSTANCE_OF', m || '/' || u, 'sub' FROM i
+UNION ALL SELECT 'BINDS_TO', m || '/' || p, m || '/' || s FROM b UNION ALL SELECT 'DRIVES', m || '/' || p, m || '/' || s FROM b WHERE way IN ('output', 'inout') UNION ALL SELECT 'READS', m || '/' || s, m || '/' || p FROM b WHERE way IN ('input', 'inout')
+UNION ALL SELECT 'BELONGS_TO', m || '/' || s, k FROM k) GROUP BY ALL""")
+def graph_edges(spark, d):
+    return records.edges(_records(spark, d)).groupBy("type", "src", "dst").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(_RECORDS + """ SELECT t AS type, CASE t WHEN 'DEFINES' THEN (SELECT count(*) FROM p) WHEN 'BINDS_TO' THEN (SELECT count(*) FROM b) ELSE 0 END AS n, t = 'NO_SUCH' AS missing FROM unnest(['DEFINES', 'BINDS_TO', 'NO_SUCH']) x(t)""")
+def graph_export_check(spark, d):
+    return records.export_check(records.edges(_records(spark, d)), ["DEFINES", "BINDS_TO", "NO_SUCH"])
+
+
+def _versions(spark, d) -> DataFrame:
+    """Orders as versions of claims by customer."""
+    status = F.when(F.col("o_orderstatus") == "O", "draft").when(F.col("o_orderstatus") == "F", "verified").otherwise("conflicted")
+    v = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).cast("long")
+    evidence = F.slice(F.array(F.lit("a"), F.lit("b"), F.lit("c")), 1, (F.col("o_orderkey") % 4).cast("int"))
+    return table(spark, d, "orders").select(F.col("o_custkey").alias("claim_id"), v.alias("version"), F.concat(F.lit("t/"), F.col("o_orderpriority")).alias("topic"), status.alias("status"), F.lit("pending_review").alias("approval_status"), F.col("o_orderkey").cast("string").alias("statement"), (F.col("o_orderkey") % 100 / 100).alias("confidence"), evidence.alias("evidence"), F.col("o_orderdate").alias("updated_at"))
+
+
+_VERSIONS = "WITH o AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS v, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS back FROM orders)"
+
+
+@query(_VERSIONS + " SELECT o_custkey AS claim_id, v AS version, 't/' || o_orderpriority AS topic, o_orderkey::VARCHAR AS statement, (o_orderkey % 100) / 100.0::DOUBLE AS confidence, least(o_orderkey % 4, 3)::INT AS evidence_count FROM o WHERE back = 1 AND o_orderstatus = 'F'")
+def verified_claims(spark, d):
+    return claims.verified_of(_versions(spark, d))
+
+
+@query(_VERSIONS + " SELECT o_custkey AS claim_id, v + 1 AS version, CASE WHEN o_custkey % 2 = 0 THEN 'verified' ELSE 'draft' END AS status, CASE WHEN o_custkey % 2 = 0 THEN 'approved' ELSE 'rejected' END AS approval_status FROM o WHERE back = 1 AND o_orderstatus = 'F'")
+def claim_review(spark, d):
+    v = _versions(spark, d)
+    decided = table(spark, d, "customer").select(F.col("c_custkey").alias("claim_id"), F.when(F.col("c_custkey") % 2 == 0, "approved").otherwise("rejected").alias("decision"))
+    return claims.reviewed(v, decided, F.expr("TIMESTAMP_NTZ '2026-01-01 00:00:00'")).select("claim_id", "version", "status", "approval_status")
+
+
+@query("SELECT DISTINCT 't/' || o_orderpriority AS topic FROM orders")
+def claim_topics(spark, d):
+    return claims.topics(_versions(spark, d))
+
+
+@query("SELECT o_orderkey, lead(o_orderkey) OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate, o_orderkey) AS superseded_by FROM orders")
+def supersession(spark, d):
+    return claims.superseded(table(spark, d, "orders"), ["o_custkey", "o_orderpriority"], "o_orderkey", "o_orderdate").select("o_orderkey", "superseded_by")
+
+
+@query("""WITH m AS (SELECT p_partkey, p_brand, CASE WHEN p_partkey % 3 = 0 THEN 'tt_fds_' || p_partkey || '_reg_top' WHEN p_partkey % 3 = 1 THEN 'x_reg_inner_' || p_partkey ELSE 'core_' || p_partkey END AS name FROM part),
+f AS (SELECT *, p_partkey % 3 = 1 AS reg, count(*) FILTER (p_partkey % 3 <> 1) OVER (PARTITION BY p_brand) AS n FROM m) SELECT p_partkey, name FROM f WHERE NOT reg OR n < 60""")
+def claim_targets(spark, d):
+    k = F.col("p_partkey").cast("string")
+    name = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("tt_fds_"), k, F.lit("_reg_top"))).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("x_reg_inner_"), k)).otherwise(F.concat(F.lit("core_"), k))
+    return claims.claim_targets(table(spark, d, "part").select("p_partkey", "p_brand", name.alias("name")), "p_brand", "name", 60).select("p_partkey", "name")
+
+
+@query("""SELECT page_id, CASE page_id % 4 WHEN 0 THEN true WHEN 1 THEN page_id % 2 = 1 AND (page_id % 300) >= 200 WHEN 2 THEN false ELSE true END AS vision FROM pages""")
+def diagram_pages(spark, d):
+    """A sparse page, short labels, prose and a blank page, beside page_id % 300 drawings."""
+    page = F.element_at(F.array(F.lit("few signs"), F.lit("\n".join(["label " + str(i) for i in range(40)])), F.lit("\n".join(["a line of prose that is long enough"] * 9)), F.lit(" \n \n")), (F.col("page_id") % 4 + 1).cast("int"))
+    return table(spark, d, "pages").select("page_id", T.needs_vision(page, F.col("page_id") % 300).alias("vision"))
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (o_orderstatus <> 'P') AS success, count(*) FILTER (o_orderstatus = 'P') AS errors, CASE WHEN count(*) FILTER (o_orderstatus = 'P') = 0 THEN 200 ELSE 207 END AS status FROM orders")
+def batch_outcome(spark, d):
+    return metrics.batch_outcome(table(spark, d, "orders"), F.col("o_orderstatus") != "P")
+
+
+@query("SELECT l_returnflag, (floor(sum(l_quantity::DECIMAL(20,4) * l_tax::DECIMAL(12,6)) * 100) / 100)::DECIMAL(20,2) AS cost FROM lineitem GROUP BY 1")
+def service_cost(spark, d):
+    return metrics.cost(table(spark, d, "lineitem"), "l_returnflag", "l_quantity", "l_tax")
+
+
+@query("""SELECT n_nationkey, CASE WHEN n_name IS NULL THEN 'chip' WHEN c > 3 THEN 'subsystem' ELSE 'block' END AS kind FROM nation LEFT JOIN (SELECT s_nationkey, count(*) AS c FROM supplier GROUP BY 1) ON s_nationkey = n_nationkey""")
+def section_type(spark, d):
+    c = table(spark, d, "supplier").groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("c"))
+    n = table(spark, d, "nation")
+    return n.join(c, n.n_nationkey == c.s_nationkey, "left").select("n_nationkey", T.section_type(F.col("n_name"), F.coalesce("c", F.lit(0))).alias("kind"))
+
+
+@query("SELECT 'm_' || n_nationkey AS module, 'module m_' || n_nationkey || chr(10) || 'parameters: WIDTH, TWICE' || chr(10) || 'ports: input i_ai_clk, output o_scan_clk, input rst_n' AS summary, 'i_ai_clk,o_scan_clk' AS clocks, 'rst_n' AS resets, 'u_sram,u_fifo' AS memories, 1 AS clock_in, 1 AS clock_out FROM nation")
+def module_summary(spark, d):
+    arr = lambda *v: F.array(*[F.lit(x) for x in v])
+    m = table(spark, d, "nation").select(F.format_string("m_%d", F.col("n_nationkey")).alias("module"), arr("WIDTH", "TWICE").alias("params"), arr("input i_ai_clk", "output o_scan_clk", "input rst_n").alias("ports"), arr("u_sram: x", "u_core: y", "u_fifo: z").alias("inst"))
+    join = lambda c: F.array_join(c, ",")
+    return m.select("module", T.summary_of(F.col("module"), F.col("params"), F.col("ports"), F.array().cast("array<string>")).alias("summary"), join(T.signals(F.col("ports"), "clock")).alias("clocks"), join(T.signals(F.col("ports"), "reset")).alias("resets"), join(T.memories(F.col("inst"))).alias("memories"), *[c.alias(n) for n, c in T.clock_ports(F.col("ports")).items()])

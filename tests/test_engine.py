@@ -18,7 +18,8 @@ def test_clog2_and_width_grammar():
     assert [clog2(n) for n in (1, 2, 3, 5, 12, 100, 1024)] == [0, 1, 2, 3, 4, 7, 10]
     assert evaluate("W*2-1", {"W": 8}) == 15 and evaluate("$clog2(12)<<1") == 8 and evaluate("-(3)+1") == -2
     assert evaluate("SizeX-1") == "SizeX-1"
-    for bad in ("1+", "__import__('os')", "1/0", "$clog2(0)", "(1"):
+    assert [evaluate(x) for x in ("1+", " (1", "__import__('os')")] == ["1+", "(1", "__import__('os')"]
+    for bad in ("1/0", "$clog2(0)", "$clog2(0-3)"):
         with pytest.raises(WidthError):
             evaluate(bad)
 
@@ -126,3 +127,24 @@ def test_policy_and_replies(spark):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_fixed_tables(spark):
+    from gritstone.queries import _QUESTIONS
+
+    rows = spark.createDataFrame(_QUESTIONS, "q string, want string")
+    assert [r.got for r in rows.select(T.query_type(F.col("q")).alias("got")).collect()] == [w for _, w in _QUESTIONS]
+    names = ["i_ai_clk", "o_EDC_x", "edc_err_irq", "npu_in_a", "reg_psel", "i_dm_clk", "i_noc_reset_n", "i_tensix_reset", "sfr_a", "iso_en", "data"]
+    got = spark.createDataFrame([(n,) for n in names], "n string").select(T.port_class(F.col("n"))).collect()
+    assert [r[0] for r in got] == ["AI_Clock_Reset", "EDC_APB", "EDC_APB", "AXI_Interface", "APB_Register", "DM_Clock_Reset", "NoC_Clock_Reset", "Tensix_Reset", "SFR_Memory_Config", "PRTN_Power", "Other"]
+    p = rtl.parse("module m (input wire [7:0][3:0] i_d, output logic o, input reg_a, input wire [7:0] i_d); endmodule")[0]["ports"]
+    assert [(x["name"], x["width"]) for x in p] == [("i_d", 32), ("o", 1), ("reg_a", 1)]
+
+
+def test_hits_of_another_pipeline_raise(spark):
+    hits = spark.createDataFrame([("tool-guide", "command"), ("tool-guide", "example"), ("other", "option")], "pipeline_id string, object_type string")
+    assert claims.clean_hits(hits.where("pipeline_id = 'tool-guide'")).count() == 1
+    with pytest.raises(Exception, match="hit of pipeline other"):
+        claims.clean_hits(hits).collect()
+    got = spark.createDataFrame([("",), (" a ",), ("x" * 257,), (None,)], "q string").select(claims.length_ok(F.col("q"))).collect()
+    assert [r[0] for r in got] == [False, True, False, False]
