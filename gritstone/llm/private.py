@@ -31,8 +31,9 @@ WORD = r"\p{L}{3,}+"
 PRIOR = 1.0  # texts that the back-off weighs
 MIN_SHARE = 0.5  # smoothed probability of the entity given the term
 MIN_BITS = 4.0
-#: Bytes of the filter of disclosing terms that scans carry. As it fills more rows are shuffled, results stay exact.
-FILTER_CELLS = 1 << 18
+#: Most bytes of the filter of disclosing terms that scans carry, eight a term below that. As it fills more rows are
+#: shuffled, results stay exact.
+FILTER_CELLS = 1 << 23
 
 
 def _luhn(digits: Column) -> Column:
@@ -88,7 +89,8 @@ def _words() -> Column:
 
 
 def disclosing_terms(found: DataFrame, min_share: float = MIN_SHARE, min_bits: float = MIN_BITS) -> DataFrame:
-    """(term, entity, bits) beyond the threshold, from base_spans; an entity is ``kind:value`` or a kind alone.
+    """(term, entity, bits, outside) beyond the threshold, from base_spans; an entity is ``kind:value`` or a kind alone.
+    ``outside``: the term also stands in texts without any protected value.
 
     All counts are of distinct texts and cover all of them. With N texts, for a value e of kind k and a term t:
 
@@ -99,37 +101,40 @@ def disclosing_terms(found: DataFrame, min_share: float = MIN_SHARE, min_bits: f
     words = found.select(terms).groupBy("term").agg(F.count(F.lit(1)).alias("with_t"))
     entity = F.array_distinct(F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), F.concat_ws(":", s["kind"], F.lower(s["value"])).alias("entity"))))
     held = found.where(F.size("spans") > 0).withColumn("entities", entity)
+    inside = held.select(terms).groupBy("term").agg(F.count(F.lit(1)).alias("with_h"))
     kind = F.explode(F.array_distinct(F.transform("entities", lambda e: e["kind"]))).alias("kind")
     value = F.explode("entities").alias("e")
     total = found.agg(F.count(F.lit(1)).alias("n"))
     kinds = held.select(kind).groupBy("kind").agg(F.count(F.lit(1)).alias("with_k")).crossJoin(F.broadcast(total))
     values = held.select(value).groupBy("e.kind", "e.entity").agg(F.count(F.lit(1)).alias("with_e"))
     given = F.col("with_t") + PRIOR
-    by_kind = held.select("entities", terms).select("term", kind).groupBy("term", "kind").agg(F.count(F.lit(1)).alias("both_k")).join(words, "term").join(F.broadcast(kinds), "kind")
+    by_kind = held.select("entities", terms).select("term", kind).groupBy("term", "kind").agg(F.count(F.lit(1)).alias("both_k")).join(words, "term").join(inside, "term").join(F.broadcast(kinds), "kind")
     by_kind = by_kind.withColumn("p_k", (F.col("both_k") + PRIOR * F.col("with_k") / F.col("n")) / given)
     by_value = held.select("entities", terms).select("term", value).groupBy("term", "e.kind", "e.entity").agg(F.count(F.lit(1)).alias("both")).join(by_kind, ["term", "kind"])
     # The back-off adds PRIOR at most: what falls short even so need not meet its entity.
     by_value = by_value.where(F.col("both") + PRIOR >= min_share * given).join(values, ["kind", "entity"])
     p = (F.col("both") + PRIOR * F.col("p_k") * F.col("with_e") / F.col("with_k")) / given
-    weighed = by_value.select("term", "entity", p.alias("p"), (F.col("with_e") / F.col("n")).alias("prior"))
-    weighed = weighed.unionByName(by_kind.select("term", F.col("kind").alias("entity"), F.col("p_k").alias("p"), (F.col("with_k") / F.col("n")).alias("prior")))
+    outside = (F.col("with_t") > F.col("with_h")).alias("outside")
+    weighed = by_value.select("term", "entity", p.alias("p"), (F.col("with_e") / F.col("n")).alias("prior"), outside)
+    weighed = weighed.unionByName(by_kind.select("term", F.col("kind").alias("entity"), F.col("p_k").alias("p"), (F.col("with_k") / F.col("n")).alias("prior"), outside))
     bits = F.log2(F.col("p") / F.col("prior"))
-    return weighed.where((F.col("p") >= min_share) & (bits >= min_bits)).select("term", "entity", bits.alias("bits"))
+    return weighed.where((F.col("p") >= min_share) & (bits >= min_bits)).select("term", "entity", bits.alias("bits"), "outside")
 
 
-def _cell(term: Column) -> Column:
-    return (F.xxhash64(term).bitwiseAND(F.lit(FILTER_CELLS - 1)) + 1).cast("int")
+def _cell(term: Column, size: int) -> Column:
+    return (F.xxhash64(term).bitwiseAND(F.lit(size - 1)) + 1).cast("int")
 
 
 def term_spans(found: DataFrame, terms: DataFrame) -> DataFrame:
     """text_key, terms: array of (start, kind order, kind, end) of all occurrences of the terms (column term)."""
-    cells = bytearray(FILTER_CELLS)
-    for row in terms.select(_cell(F.col("term")).alias("at")).distinct().toLocalIterator():
+    size = min(FILTER_CELLS, 1 << max(16, (8 * terms.count()).bit_length()))
+    cells = bytearray(size)
+    for row in terms.select(_cell(F.col("term"), size).alias("at")).distinct().toLocalIterator():
         cells[row["at"] - 1] = 1
     cells = found.sparkSession.createDataFrame([(cells,)], "cells binary")  # a literal would fill every plan that is logged
 
     def maybe(word: Column) -> Column:
-        return F.substring("cells", _cell(F.lower(word)), F.lit(1)) == F.lit(b"\1")
+        return F.substring("cells", _cell(F.lower(word), size), F.lit(1)) == F.lit(b"\1")
 
     rows = found.select("text_key", "text").crossJoin(F.broadcast(cells)).select("text_key", "text", F.filter(F.array_distinct(_words()), maybe).alias("maybe")).where(F.size("maybe") > 0)
     rows = _cut(rows, "text", F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join("maybe", "|"), F.lit(r")(?!\p{L})")), "w", F.lit(True))
@@ -145,11 +150,15 @@ def find_private(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     """One row per input row: doc_id, counts by kind, base_sha256, spans, n_term.
 
     Null texts count as empty; a text without spans has the empty string and its hash. A term that overlaps a base
-    span is dropped. Repeated rows repeat; an empty table gives an empty result."""
+    span is dropped. Repeated rows repeat; an empty table gives an empty result. Very long texts are read whole.
+    Other columns are not read, whatever their names."""
     found = stored(base_spans(docs, text), "private")
-    terms = stored(disclosing_terms(found).select("term").distinct(), "terms")
+    terms = stored(disclosing_terms(found).select("term", "outside").distinct(), "terms")
+    # Most terms stand in no text without a protected value, so those texts are searched for the others alone.
+    held = F.size("spans") > 0
+    marked = term_spans(found.where(held), terms).unionByName(term_spans(found.where(~held), terms.where("outside")))
     base = F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["k"].alias("k"), x["kind"].alias("kind"), x["end"].alias("end")))
-    rows = found.select("text_key", base.alias("base")).join(term_spans(found, terms), "text_key", "left")
+    rows = found.select("text_key", base.alias("base")).join(marked, "text_key", "left")
     clear = F.filter(F.coalesce("terms", F.array().cast("array<struct<start:int,k:int,kind:string,end:int>>")), lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
     rows = rows.withColumn("clear", clear)
 
