@@ -52,8 +52,8 @@ def _valid(kind: str, value: Column) -> Column:
     return {"email": F.lit(True), "ip": value.rlike(rf"^{part}(?:\.{part}){{3}}$"), "card": _luhn(digits), "phone": F.length(digits).between(9, 15)}[kind]
 
 
-def _cut(rows: DataFrame, source: str, pattern: Column, name: str, guard: Column) -> DataFrame:
-    """Adds ``name``: array of (start, end, value) of the matches in a column."""
+def _cut(rows: DataFrame, source: str, pattern: Column, name: str, guard: Column, keep=lambda value: F.lit(True)) -> DataFrame:
+    """Adds ``name``: array of (start, end, value) of the matches in a column that are to be kept."""
     none = F.array().cast("array<string>")
     rows = rows.withColumns({"_m": F.when(guard, F.regexp_extract_all(source, pattern, F.lit(0))).otherwise(none), "_p": F.when(guard, F.split(source, pattern, -1)).otherwise(none)})
     empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
@@ -62,7 +62,8 @@ def _cut(rows: DataFrame, source: str, pattern: Column, name: str, guard: Column
         start = acc["at"] + F.length(x["_p"])
         end = start + F.length(x["_m"])
         span = F.struct(start.alias("start"), end.alias("end"), x["_m"].alias("value"))
-        return F.when(x["_m"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out")))
+        out = F.when(keep(x["_m"]), F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
+        return F.when(x["_m"].isNull(), acc).otherwise(F.struct(end.alias("at"), out.alias("out")))
 
     # Each array stands once, and outside the lambda: a projection merged into it would scan the text again and again.
     walk = F.aggregate(F.arrays_zip("_p", "_m"), F.struct(F.lit(0).alias("at"), empty.alias("out")), add)["out"]
@@ -136,8 +137,8 @@ def term_spans(found: DataFrame, terms: DataFrame) -> DataFrame:
     def maybe(word: Column) -> Column:
         return F.substring("cells", _cell(F.lower(word), size), F.lit(1)) == F.lit(b"\1")
 
-    rows = found.select("text_key", "text").crossJoin(F.broadcast(cells)).select("text_key", "text", F.filter(F.array_distinct(_words()), maybe).alias("maybe")).where(F.size("maybe") > 0)
-    rows = _cut(rows, "text", F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join("maybe", "|"), F.lit(r")(?!\p{L})")), "w", F.lit(True))
+    rows = found.select("text_key", "text").crossJoin(F.broadcast(cells)).where(F.exists(F.array_distinct(_words()), maybe))
+    rows = _cut(rows, "text", F.lit(WORD), "w", F.lit(True), maybe)
     rows = rows.select("text_key", F.explode("w").alias("w")).select("text_key", F.lower("w.value").alias("term"), "w.start", "w.end").join(terms, "term", "left_semi")
     return rows.groupBy("text_key").agg(F.collect_list(F.struct("start", F.lit(len(KINDS)).alias("k"), F.lit("term").alias("kind"), "end")).alias("terms"))
 
