@@ -31,9 +31,9 @@ WORD = r"\p{L}{3,}+"
 PRIOR = 1.0  # texts that the back-off weighs
 MIN_SHARE = 0.5  # smoothed probability of the entity given the term
 MIN_BITS = 4.0
-#: Most bytes of the filter of disclosing terms that scans carry, eight a term below that. As it fills more rows are
+#: Most bytes of the filter of disclosing terms that rows carry, eight a term below that. As it fills more rows are
 #: shuffled, results stay exact.
-FILTER_CELLS = 1 << 23
+FILTER_CELLS = 1 << 18
 
 
 def _luhn(digits: Column) -> Column:
@@ -123,19 +123,20 @@ def disclosing_terms(found: DataFrame, min_share: float = MIN_SHARE, min_bits: f
 
 
 def _cell(term: Column, size: int) -> Column:
-    return (F.xxhash64(term).bitwiseAND(F.lit(size - 1)) + 1).cast("int")
+    return (F.xxhash64(term).bitwiseAND(F.lit(size - 1))).cast("int")
 
 
 def term_spans(found: DataFrame, terms: DataFrame) -> DataFrame:
     """text_key, terms: array of (start, kind order, kind, end) of all occurrences of the terms (column term)."""
-    size = min(FILTER_CELLS, 1 << max(16, (8 * terms.count()).bit_length()))
-    cells = bytearray(size)
+    size = min(FILTER_CELLS, 1 << max(12, (8 * terms.count()).bit_length()))
+    cells = [0] * size
     for row in terms.select(_cell(F.col("term"), size).alias("at")).distinct().toLocalIterator():
-        cells[row["at"] - 1] = 1
-    cells = found.sparkSession.createDataFrame([(cells,)], "cells binary")  # a literal would fill every plan that is logged
+        cells[row["at"]] = 1
+    # An array is read in place; a binary would be copied for each word, a literal would fill every plan that is logged.
+    cells = found.sparkSession.createDataFrame([(cells,)], "cells array<tinyint>")
 
     def maybe(word: Column) -> Column:
-        return F.substring("cells", _cell(F.lower(word), size), F.lit(1)) == F.lit(b"\1")
+        return F.get("cells", _cell(F.lower(word), size)) == 1
 
     rows = found.select("text_key", "text").crossJoin(F.broadcast(cells)).where(F.exists(F.array_distinct(_words()), maybe))
     rows = _cut(rows, "text", F.lit(WORD), "w", F.lit(True), maybe)
