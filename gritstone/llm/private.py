@@ -13,7 +13,7 @@ no match and keeps them linear on very long runs.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -26,7 +26,7 @@ KINDS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: What a text must hold for the pattern to have a chance; saves most scans.
-GUARD = {"email": "@", "ip": ".", "card": None, "phone": "+"}
+GUARD = {"email": "@", "ip": "[0-9][.][0-9]", "card": "(?:[0-9][ -]?){11}[0-9]", "phone": "[+][0-9]"}
 WORD = r"\p{L}{3,}+"
 PRIOR = 1.0  # texts that the back-off weighs
 MIN_SHARE = 0.5  # smoothed probability of the entity given the term
@@ -34,6 +34,8 @@ MIN_BITS = 4.0
 #: Most bytes of the filter of disclosing terms that rows carry, eight a term below that. As it fills more rows are
 #: shuffled, results stay exact.
 FILTER_CELLS = 1 << 18
+#: Stands around words while a text is cut; where a text has it itself a space stands instead, no letter either.
+MARK = "\x01"
 
 
 def _luhn(digits: Column) -> Column:
@@ -74,12 +76,11 @@ def base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     """text_key, text, spans of each distinct text: array of (start, kind order, kind, end, value), in order."""
     rows = docs.select(F.coalesce(text, F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text")).dropDuplicates(["text_key"])
     for kind, pattern in KINDS.items():
-        guard = F.contains("text", F.lit(GUARD[kind])) if GUARD[kind] else F.col("text").rlike("[0-9][ -]?[0-9]")
-        rows = _cut(rows, "text", F.lit(pattern), kind, guard)
+        guard = F.col("text").rlike(GUARD[kind]) if len(GUARD[kind]) > 1 else F.contains("text", F.lit(GUARD[kind]))
+        rows = _cut(rows, "text", F.lit(pattern), kind, guard, lambda value, kind=kind: _valid(kind, value))
 
     def spans_of(order: int, kind: str) -> Column:
-        right = F.filter(kind, lambda x: _valid(kind, x["value"]))
-        return F.transform(right, lambda x: F.struct(x["start"].alias("start"), F.lit(order).alias("k"), F.lit(kind).alias("kind"), x["end"].alias("end"), x["value"].alias("value")))
+        return F.transform(kind, lambda x: F.struct(x["start"].alias("start"), F.lit(order).alias("k"), F.lit(kind).alias("kind"), x["end"].alias("end"), x["value"].alias("value")))
 
     parts = [spans_of(order, kind) for order, kind in enumerate(KINDS)]
     return rows.select("text_key", "text", F.array_sort(F.concat(*parts)).alias("spans"))
@@ -103,15 +104,19 @@ def disclosing_terms(found: DataFrame, min_share: float = MIN_SHARE, min_bits: f
     entity = F.array_distinct(F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), F.concat_ws(":", s["kind"], F.lower(s["value"])).alias("entity"))))
     held = found.where(F.size("spans") > 0).withColumn("entities", entity)
     inside = held.select(terms).groupBy("term").agg(F.count(F.lit(1)).alias("with_h"))
+    given = F.col("with_t") + PRIOR
+    # No pair has more texts than the term has texts with a protected value: common words go before they meet entities.
+    able = stored(inside.join(words, "term").where(F.col("with_h") + PRIOR >= min_share * given), "able")
+    pairs = held.select("entities", terms).join(able, "term")
+    of_term = ["term", "with_t", "with_h"]
     kind = F.explode(F.array_distinct(F.transform("entities", lambda e: e["kind"]))).alias("kind")
     value = F.explode("entities").alias("e")
     total = found.agg(F.count(F.lit(1)).alias("n"))
     kinds = held.select(kind).groupBy("kind").agg(F.count(F.lit(1)).alias("with_k")).crossJoin(F.broadcast(total))
     values = held.select(value).groupBy("e.kind", "e.entity").agg(F.count(F.lit(1)).alias("with_e"))
-    given = F.col("with_t") + PRIOR
-    by_kind = held.select("entities", terms).select("term", kind).groupBy("term", "kind").agg(F.count(F.lit(1)).alias("both_k")).join(words, "term").join(inside, "term").join(F.broadcast(kinds), "kind")
+    by_kind = pairs.select(*of_term, kind).groupBy(*of_term, "kind").agg(F.count(F.lit(1)).alias("both_k")).join(F.broadcast(kinds), "kind")
     by_kind = by_kind.withColumn("p_k", (F.col("both_k") + PRIOR * F.col("with_k") / F.col("n")) / given)
-    by_value = held.select("entities", terms).select("term", value).groupBy("term", "e.kind", "e.entity").agg(F.count(F.lit(1)).alias("both")).join(by_kind, ["term", "kind"])
+    by_value = pairs.select("term", value).groupBy("term", "e.kind", "e.entity").agg(F.count(F.lit(1)).alias("both")).join(by_kind, ["term", "kind"])
     # The back-off adds PRIOR at most: what falls short even so need not meet its entity.
     by_value = by_value.where(F.col("both") + PRIOR >= min_share * given).join(values, ["kind", "entity"])
     p = (F.col("both") + PRIOR * F.col("p_k") * F.col("with_e") / F.col("with_k")) / given
@@ -138,9 +143,18 @@ def term_spans(found: DataFrame, terms: DataFrame) -> DataFrame:
     def maybe(word: Column) -> Column:
         return F.get("cells", _cell(F.lower(word), size)) == 1
 
-    rows = found.select("text_key", "text").crossJoin(F.broadcast(cells)).where(F.exists(F.array_distinct(_words()), maybe))
-    rows = _cut(rows, "text", F.lit(WORD), "w", F.lit(True), maybe)
-    rows = rows.select("text_key", F.explode("w").alias("w")).select("text_key", F.lower("w.value").alias("term"), "w.start", "w.end").join(terms, "term", "left_semi")
+    rows = found.select("text_key", "text").crossJoin(F.broadcast(cells))
+    likely = F.explode(F.filter(F.array_distinct(F.transform(_words(), lambda w: F.lower(w))), maybe)).alias("term")
+    hits = rows.select("text_key", likely).join(terms, "term", "left_semi").select("text_key").distinct()
+    # Words stand between marks, so at odd places of the split; those that may be terms are cut out, all else is gaps.
+    # Places add up in a window: an array that grows in an aggregate would be copied at each word.
+    words = F.split(F.regexp_replace(F.replace("text", F.lit(MARK), F.lit(" ")), WORD, f"{MARK}$0{MARK}"), MARK, -1)
+    cut = F.array_join(F.transform(words, lambda x, i: F.when((i % 2 == 1) & maybe(x), F.concat(F.lit(MARK), x, F.lit(MARK))).otherwise(x)), "")
+    pieces = F.transform(F.split(cut, MARK, -1), lambda x, i: F.struct(F.length(x).alias("n"), F.when(i % 2 == 1, F.lower(x)).alias("term")))
+    rows = rows.join(hits, "text_key", "left_semi").select("text_key", F.posexplode(pieces).alias("pos", "x"))
+    so_far = Window.partitionBy("text_key").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.select("text_key", "x.n", "x.term", F.sum("x.n").over(so_far).cast("int").alias("end"))
+    rows = rows.where("term is not null").select("text_key", "term", (F.col("end") - F.col("n")).alias("start"), "end").join(terms, "term", "left_semi")
     return rows.groupBy("text_key").agg(F.collect_list(F.struct("start", F.lit(len(KINDS)).alias("k"), F.lit("term").alias("kind"), "end")).alias("terms"))
 
 
