@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import chunk, claims, graph, metrics, policy, records, rtl, search, verify
+from .operators import analyses, chunk, claims, graph, metrics, policy, records, rtl, search, verify
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -586,3 +586,122 @@ def module_summary(spark, d):
     m = table(spark, d, "nation").select(F.format_string("m_%d", F.col("n_nationkey")).alias("module"), arr("WIDTH", "TWICE").alias("params"), arr("input i_ai_clk", "output o_scan_clk", "input rst_n").alias("ports"), arr("u_sram: x", "u_core: y", "u_fifo: z").alias("inst"))
     join = lambda c: F.array_join(c, ",")
     return m.select("module", T.summary_of(F.col("module"), F.col("params"), F.col("ports"), F.array().cast("array<string>")).alias("summary"), join(T.signals(F.col("ports"), "clock")).alias("clocks"), join(T.signals(F.col("ports"), "reset")).alias("resets"), join(T.memories(F.col("inst"))).alias("memories"), *[c.alias(n) for n, c in T.clock_ports(F.col("ports")).items()])
+
+
+@query("""WITH f AS (SELECT 'o' || l_orderkey || ['_flit_t', '_header_t', '_payload_t', '_t'][l_orderkey % 4 + 1] AS struct, l_linenumber AS o, 'f' || l_linenumber AS name, CASE WHEN l_linenumber % 3 = 0 THEN 0 ELSE 8 END AS w, l_partkey % 5 * 8 + 7 AS msb, l_partkey % 5 * 8 AS lsb, l_linenumber % 2 = 0 AS ref, l_orderkey FROM lineitem),
+t AS (SELECT *, CASE WHEN w > 0 THEN name || '[' || msb || ':' || lsb || ']' WHEN ref THEN name || '(x_t)' ELSE name || '(unknown width)' END AS t FROM f WHERE l_orderkey % 4 < 3)
+SELECT struct, 'Flit structure ''' || struct || ''' layout: ' || string_agg(t, ', ' ORDER BY w = 0, CASE WHEN w > 0 THEN -msb END, o, t) AS layout FROM t GROUP BY struct""")
+def flit_layout(spark, d):
+    """A struct an order, a field a line of it; a quarter of the structs are no flits."""
+    ends = F.element_at(F.array(*[F.lit(x) for x in ("_flit_t", "_header_t", "_payload_t", "_t")]), (F.col("l_orderkey") % 4 + 1).cast("int"))
+    odd = F.col("l_linenumber") % 3 == 0
+    f = table(spark, d, "lineitem").select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string"), ends).alias("struct"), F.col("l_linenumber").alias("ordinal"), F.format_string("f%d", "l_linenumber").alias("name"), F.when(odd, 0).otherwise(8).alias("bit_width"), (F.col("l_partkey") % 5 * 8 + 7).alias("msb"), (F.col("l_partkey") % 5 * 8).alias("lsb"), F.when(F.col("l_linenumber") % 2 == 0, "x_t").alias("ref_type"))
+    return analyses.flit_layouts(f)
+
+
+@query("""SELECT 'r_' || n_regionkey AS struct, 'f_' || n_nationkey AS name, 'n_' || n_nationkey AS ref_type, false AS truncated FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier)
+UNION ALL SELECT 'n_' || s_nationkey, 'f_' || s_suppkey, 's_' || s_suppkey, false FROM supplier UNION ALL SELECT 's_' || s_suppkey, 'tail', 'leaf', true FROM supplier UNION ALL SELECT 'leaf', 'last', 'end', false""")
+def struct_nesting(spark, d):
+    """Regions hold nations, nations suppliers, every supplier one struct that holds another, all as structs."""
+    n, s = table(spark, d, "nation"), table(spark, d, "supplier")
+    of = lambda p, c: F.concat(F.lit(p + "_"), F.col(c).cast("string"))
+    f = n.select(of("r", "n_regionkey").alias("struct"), of("f", "n_nationkey").alias("name"), of("n", "n_nationkey").alias("ref_type"))
+    f = f.unionByName(s.select(of("n", "s_nationkey").alias("struct"), of("f", "s_suppkey").alias("name"), of("s", "s_suppkey").alias("ref_type")))
+    f = f.unionByName(s.select(of("s", "s_suppkey").alias("struct"), F.lit("tail").alias("name"), F.lit("leaf").alias("ref_type")))
+    return analyses.nested_structs(f.unionByName(spark.createDataFrame([("leaf", "last", "end"), ("end", "bit", "logic")], "struct string, name string, ref_type string")))
+
+
+#: Parameters with what each must give: kept as a setting of the chip, its axis, of the processors, of the cache.
+_PARAMS = [("SizeX", "4", True, "x"), ("SizeY", "0x10", True, "y"), ("MODE", "1", False, None), ("NUM_CORES", "0X1f", True, None), ("ECC_TYPE", '"secded"', False, None), ("BANK_WIDTH", "010", True, None), ("ISA_EXTENSIONS", "'rv64'", False, None)]
+
+
+def _params(spark, d) -> DataFrame:
+    known = spark.createDataFrame([(i, n, v) for i, (n, v, *_) in enumerate(_PARAMS)], "id int, name string, value string")
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("module"), (F.col("p_partkey") % len(_PARAMS)).cast("int").alias("id"))
+    return p.join(F.broadcast(known), "id").select("module", "name", "value")
+
+
+@query("SELECT p_partkey AS module, name, value, axis FROM part, (VALUES " + ", ".join(f"({i}, '{n}', '{v.replace(chr(39), chr(39) * 2)}', {'NULL' if a is None else repr(a)})" for i, (n, v, k, a) in enumerate(_PARAMS) if k) + f") v(id, name, value, axis) WHERE p_partkey % {len(_PARAMS)} = id")
+def chip_config(spark, d):
+    return analyses.chip_config(_params(spark, d))
+
+
+@query(f"SELECT p_partkey AS module, k AS kind, number, t AS text FROM part, (VALUES (3, 'cpu', 31, NULL), (6, 'cpu', NULL, 'rv64'), (4, 'l1', NULL, 'secded'), (5, 'l1', NULL, '010')) v(id, k, number, t) WHERE p_partkey % {len(_PARAMS)} = id")
+def overlay_settings(spark, d):
+    p = _params(spark, d)
+    both = [analyses.settings(p, words).withColumn("kind", F.lit(kind)) for kind, words in (("cpu", analyses.CPU_WORDS), ("l1", analyses.L1_WORDS))]
+    return both[0].unionByName(both[1]).select("module", "kind", F.col("number").cast("int").alias("number"), "text")
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'idma' WHEN 1 THEN 'fds' WHEN 2 THEN 'noc_interface' ELSE NULL END AS role FROM part""")
+def module_roles(spark, d):
+    """A whole name, two that go on, one that only holds a known name, one unknown."""
+    name = F.element_at(F.array(*[F.lit(x) for x in ("tt_idma_wrapper", "tt_fds_wrapper_", "tt_overlay_noc_wrapper", "my_tt_rocc_accel", "tt_overlay")]), (F.col("p_partkey") % 5 + 1).cast("int"))
+    name = F.when(F.col("p_partkey") % 5 == 1, F.concat(name, F.col("p_partkey").cast("string"))).otherwise(name)
+    return table(spark, d, "part").select("p_partkey", analyses.role_of(name).alias("role"))
+
+
+@query("""SELECT event_type, round(count(*) FILTER (value < 20) / count(*)::DOUBLE, 6) AS ratio, count(*) FILTER (value < 20) / count(*)::DOUBLE > 0.30 AS warn, false AS mismatch FROM events GROUP BY 1
+UNION ALL SELECT 'none', 1.0, true, true""")
+def skip_ratios(spark, d):
+    """Events under a value are skipped; the kind ``none`` has one event and no node."""
+    e = table(spark, d, "events").select("event_type", "value", F.lit(1).alias("nodes")).unionByName(spark.createDataFrame([("none", 0.0, 0)], "event_type string, value double, nodes int"))
+    return analyses.skip_ratio(e, "event_type", F.col("value") < 20, F.col("nodes"))
+
+
+_LINES = """l AS (SELECT doc_id, generate_subscripts(s, 1) AS i, unnest(s) AS raw FROM (SELECT doc_id, string_split(t, chr(10)) AS s FROM t)),
+p AS (SELECT *, coalesce(sum(length(raw) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM l)"""
+
+
+@query(f"""WITH t AS (SELECT doc_id, '## Part ' || doc_id || '  ' || chr(10) || replace(text, '. ', '.' || chr(10)) || chr(10) || '####### no' || chr(10) || '#no' || chr(10) || '# last' || chr(13) AS t FROM documents), {_LINES}
+SELECT doc_id, start, regexp_extract(rtrim(raw, chr(13)), '(?s)^#{{1,6}}[ \\t]+(\\S.*?)[ \\t]*\\z', 1) AS title FROM p WHERE regexp_matches(rtrim(raw, chr(13)), '(?s)^#{{1,6}}[ \\t]+\\S')""")
+def markdown_sections(spark, d):
+    text = F.concat(F.lit("## Part "), F.col("doc_id").cast("string"), F.lit("  \n"), F.replace("text", F.lit(". "), F.lit(".\n")), F.lit("\n####### no\n#no\n# last\r"))
+    return analyses.sections(table(spark, d, "documents").select("doc_id", text.alias("text")), "markdown")
+
+
+@query(f"""WITH t AS (SELECT doc_id, '4.2 Part ' || doc_id || chr(10) || chr(12) || 'Appendix A ' || chr(10) || replace(text, '. ', '.' || chr(10)) || chr(10) || '4.2.' || chr(10) || 'sections x' || chr(10) || ' 7  last ' AS t FROM documents), {_LINES}, c AS (SELECT doc_id, start, trim(raw, chr(12)) AS line FROM p)
+SELECT doc_id, start, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS title FROM c WHERE regexp_matches(line, '(?s)^[ \\t]*[0-9]+(\\.[0-9]+)*[ \\t]+\\S') OR regexp_matches(line, '(?is)^[ \\t]*(chapter|section|appendix)\\b')""")
+def pdf_sections(spark, d):
+    text = F.concat(F.lit("4.2 Part "), F.col("doc_id").cast("string"), F.lit("\n\fAppendix A \n"), F.replace("text", F.lit(". "), F.lit(".\n")), F.lit("\n4.2.\nsections x\n 7  last "))
+    return analyses.sections(table(spark, d, "documents").select("doc_id", text.alias("text")), "pdf")
+
+
+@query("""WITH e AS (SELECT upper(p_type) || '_' || p_partkey AS source, 'HAS_BRAND' AS relationship, p_brand AS target FROM part), t AS (SELECT DISTINCT lower(p_type) AS t FROM part ORDER BY 1 LIMIT 2)
+SELECT 'part/' || t AS topic, source, relationship, target FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY source, relationship, target) AS n FROM e JOIN t ON contains(source, upper(t))) WHERE n <= 20""")
+def topic_neighbourhood(spark, d):
+    """Two topics, after the first two types of parts."""
+    p = table(spark, d, "part")
+    topics = [f"part/{r[0]}" for r in p.select(F.lower("p_type").alias("t")).distinct().orderBy("t").limit(2).collect()]
+    e = p.select(F.concat(F.upper("p_type"), F.lit("_"), F.col("p_partkey").cast("string")).alias("source"), F.lit("HAS_BRAND").alias("relationship"), F.col("p_brand").alias("target"))
+    return analyses.topic_neighbourhood(e, topics).select("topic", "source", "relationship", "target")
+
+
+@query("""SELECT 3 AS hops, 's_' || s_suppkey || ' -BINDS_TO-> n_' || n_nationkey || ' -READS-> r_' || n_regionkey || ' -DRIVES-> out_' || n_regionkey AS path FROM supplier JOIN nation ON n_nationkey = s_nationkey ORDER BY path LIMIT 10""")
+def connectivity_path(spark, d):
+    """From suppliers over nations and regions to their ends."""
+    n = table(spark, d, "nation")
+    of = lambda p, c: F.concat(F.lit(p + "_"), F.col(c).cast("string"))
+    e = table(spark, d, "supplier").select(of("s", "s_suppkey").alias("src"), F.lit("BINDS_TO").alias("type"), of("n", "s_nationkey").alias("dst"))
+    e = e.unionByName(n.select(of("n", "n_nationkey").alias("src"), F.lit("READS").alias("type"), of("r", "n_regionkey").alias("dst")))
+    e = e.unionByName(n.select(of("r", "n_regionkey").alias("src"), F.lit("DRIVES").alias("type"), of("out", "n_regionkey").alias("dst")))
+    return analyses.connectivity(e, "s_", "out_")
+
+
+@query("""WITH e AS (SELECT c_nationkey AS m, c_name AS s, c_mktsegment AS g, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_name, c_mktsegment, c_custkey) AS n, count(*) OVER (PARTITION BY c_nationkey) AS c FROM customer),
+b AS (SELECT m, any_value(c) AS c, string_agg('  - ' || s || ' -> ' || g || ' (input)', chr(10) ORDER BY n) AS t FROM e WHERE n <= 10 GROUP BY m),
+k AS (SELECT s_nationkey AS m, s_name AS p, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_name) AS n, least(10, count(*) OVER (PARTITION BY s_nationkey)) AS c FROM supplier),
+h AS (SELECT m, '- Hierarchy (' || any_value(c) || ' paths):' || chr(10) || string_agg('  - top / ' || p, chr(10) ORDER BY n) AS t FROM k WHERE n <= 5 GROUP BY m)
+SELECT coalesce(b.m, h.m) AS module, '[GRAPH EVIDENCE — noc Section]' || coalesce(chr(10) || '- Summary: ' || c || ' bindings' || chr(10) || b.t, '') || coalesce(chr(10) || h.t, '') AS evidence FROM b FULL JOIN h ON b.m = h.m""")
+def graph_evidence(spark, d):
+    e = table(spark, d, "customer").select(F.col("c_nationkey").alias("module"), F.col("c_name").alias("src"), F.col("c_mktsegment").alias("dst"), F.lit("input").alias("direction"))
+    k = table(spark, d, "supplier").select(F.col("s_nationkey").alias("module"), F.concat(F.lit("top / "), F.col("s_name")).alias("path"))
+    return analyses.evidence_text(e, k, "noc")
+
+
+@query("""SELECT n_regionkey AS root, string_agg('s_' || s_suppkey || '.v', ',' ORDER BY n_name, s_name) AS files FROM supplier JOIN nation ON n_nationkey = s_nationkey GROUP BY 1""")
+def hierarchy_sources(spark, d):
+    j = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    leaves = j.select(F.col("n_regionkey").alias("root"), F.array("n_name", "s_name").alias("path"), F.format_string("s_%d.v", "s_suppkey").alias("file"))
+    inner = table(spark, d, "nation").select(F.col("n_regionkey").alias("root"), F.array("n_name").alias("path"), F.lit("").alias("file"))
+    return analyses.source_files(leaves.unionByName(inner)).select("root", F.array_join("files", ",").alias("files"))
