@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import analyses, chunk, claims, graph, metrics, policy, records, rtl, search, verify
+from .operators import analyses, chunk, claims, generate, graph, metrics, policy, records, rtl, search, verify
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -705,3 +705,32 @@ def hierarchy_sources(spark, d):
     leaves = j.select(F.col("n_regionkey").alias("root"), F.array("n_name", "s_name").alias("path"), F.format_string("s_%d.v", "s_suppkey").alias("file"))
     inner = table(spark, d, "nation").select(F.col("n_regionkey").alias("root"), F.array("n_name").alias("path"), F.lit("").alias("file"))
     return analyses.source_files(leaves.unionByName(inner)).select("root", F.array_join("files", ",").alias("files"))
+
+
+@query("""SELECT s_suppkey, unnest([2, 4, 5, 6, 7]) AS line, unnest(['x=0..' || s_suppkey || ':g_x@2'] || list_transform([1, 2, 3], lambda i: 'x=0..' || s_suppkey || ':g_x@2 y=1..5:@4') || ['x=0..' || s_suppkey || ':g_x@2']) AS loops FROM supplier
+UNION ALL SELECT s_suppkey, unnest([9, 10]), unnest(['z=0..2:@9', 'z=0..2:@9']) FROM supplier WHERE s_suppkey % 2 = 0""")
+def generate_contexts(spark, d):
+    """Two nested loops with a blank line, then in every other file a loop that nothing closes."""
+    tail = F.when(F.col("s_suppkey") % 2 == 0, F.lit("end\nfor (z = 0; z < 2; z++) begin\n q[z] = 1;")).otherwise("endmodule")
+    head = F.format_string("module m;\nfor (genvar x = 0; x < %d; x++) begin : g_x\n \n  for (int y = 1; y < 5; y += 2) begin\n    assign a[x][y] = b;\n  end\nend\n", "s_suppkey")
+    f = table(spark, d, "supplier").select("s_suppkey", F.concat(head, tail).alias("content"))
+    shown = F.transform("loops", lambda x: F.concat(x["variable"], F.lit("="), x["lower_bound"], F.lit(".."), x["upper_bound"], F.lit(":"), x["label"], F.lit("@"), x["start_line"].cast("string")))
+    return generate.active_loops(f, "s_suppkey").select("s_suppkey", "line", F.array_join(shown, " ").alias("loops"))
+
+
+#: Bodies of blocks with loop variables y and x (x missing where marked so), and what each must give.
+_BODIES = [("assign de[y] = (y == 0) ? src : de[y-1];", 1, "feedthrough", "de"), ("assign nxt[N-1] = a; assign b = nxt[0];", 1, "ring", "nxt"), ("assign c[x][y+1] = c[x][y];", 1, "daisy-chain", "c"), (".o(bus[x][y + 1]), .i(bus[x][y])", 1, "daisy-chain", "bus"), ("assign f[x][y] = 1;", 1, "2D array", "f"), ("assign f[x][y] = 1;", 0, "unknown", "unknown_signal"), ("u (.d(g[ y ][ x ].v))", 1, "2D array", "g"), ("assign h[y] = 1;", 0, "unknown", "h"), ("", 0, "unknown", "unknown_signal")]
+
+
+@query("SELECT p_partkey, pattern, signal FROM part, (VALUES " + ", ".join(f"({i}, '{p}', '{s}')" for i, (_, _, p, s) in enumerate(_BODIES)) + f") v(id, pattern, signal) WHERE p_partkey % {len(_BODIES)} = id")
+def generate_topology(spark, d):
+    known = spark.createDataFrame([(i, b, "x" if two else None) for i, (b, two, *_) in enumerate(_BODIES)], "id int, body string, second string")
+    p = table(spark, d, "part").select("p_partkey", (F.col("p_partkey") % len(_BODIES)).cast("int").alias("id")).join(F.broadcast(known), "id")
+    return p.select("p_partkey", *[c.alias(n) for n, c in generate.topology(F.col("body"), F.lit("y"), F.col("second")).items()])
+
+
+@query("""SELECT 'm_' || s_nationkey AS module, CASE s_suppkey % 3 WHEN 0 THEN 'tt_edc1_serial_bus_mux' ELSE 'TT_EDC1_serial_bus_demux' END AS bypass_module, CASE s_suppkey % 3 WHEN 0 THEN 'mux_bypass' ELSE 'demux_bypass' END AS type, count(*) AS n FROM supplier WHERE s_suppkey % 3 < 2 GROUP BY ALL""")
+def harvest_bypass(spark, d):
+    of = F.element_at(F.array(F.lit("u_a: tt_edc1_serial_bus_mux"), F.lit("u_b: TT_EDC1_serial_bus_demux_x"), F.lit("alu")), (F.col("s_suppkey") % 3 + 1).cast("int"))
+    i = table(spark, d, "supplier").select(F.format_string("m_%d", "s_nationkey").alias("module"), of.alias("of"))
+    return generate.harvest_bypasses(i).groupBy("module", "bypass_module", "type").agg(F.count(F.lit(1)).alias("n"))
