@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import analyses, chunk, claims, generate, graph, metrics, policy, records, rtl, search, verify
+from .operators import analyses, archive, chunk, claims, generate, graph, metrics, policy, records, rtl, search, verify
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -734,3 +734,45 @@ def harvest_bypass(spark, d):
     of = F.element_at(F.array(F.lit("u_a: tt_edc1_serial_bus_mux"), F.lit("u_b: TT_EDC1_serial_bus_demux_x"), F.lit("alu")), (F.col("s_suppkey") % 3 + 1).cast("int"))
     i = table(spark, d, "supplier").select(F.format_string("m_%d", "s_nationkey").alias("module"), of.alias("of"))
     return generate.harvest_bypasses(i).groupBy("module", "bypass_module", "type").agg(F.count(F.lit(1)).alias("n"))
+
+
+_OBJECTS = "(SELECT 'documents/' || ['soc', 'ai'][p_partkey % 2 + 1] || '/' || CASE p_partkey % 3 WHEN 0 THEN 'spec/' WHEN 1 THEN 'code/a/' ELSE '' END || CASE WHEN p_partkey % 7 = 0 THEN '' ELSE p_partkey || '.md' END AS key FROM part)"
+
+
+@query(f"""WITH k AS (SELECT key FROM {_OBJECTS} WHERE starts_with(key, 'documents/soc/') ORDER BY key LIMIT 100), p AS (SELECT key, string_split(substr(key, 11), '/') AS s FROM k WHERE NOT ends_with(key, '/'))
+SELECT key, CASE len(s) WHEN 1 THEN s[1] WHEN 2 THEN s[2] ELSE array_to_string(s[3:], '/') END AS filename, CASE WHEN len(s) >= 3 THEN s[1] ELSE '' END AS team, CASE WHEN len(s) >= 3 THEN s[2] ELSE '' END AS category FROM p""")
+def archive_listing(spark, d):
+    k = F.col("p_partkey")
+    team = F.when(k % 2 == 0, "soc/").otherwise("ai/")
+    kind = F.when(k % 3 == 0, "spec/").when(k % 3 == 1, "code/a/").otherwise("")
+    name = F.when(k % 7 == 0, "").otherwise(F.concat(k.cast("string"), F.lit(".md")))
+    return archive.listing(table(spark, d, "part").select(F.concat(F.lit("documents/"), team, kind, name).alias("key")), "soc")
+
+
+@query("""SELECT 'd/' || doc_id AS uri, round(n_chars / 7.0::DOUBLE, 6) AS score FROM documents WHERE lang = 'en' ORDER BY score DESC, uri LIMIT 20""")
+def archive_search(spark, d):
+    h = table(spark, d, "documents").select(F.concat(F.lit("d/"), F.col("doc_id").cast("string")).alias("uri"), F.col("lang").alias("topic"), F.lit(T.SOURCES[0]).alias("source"), F.round(F.col("n_chars") / 7, 6).alias("score"))
+    return archive.search(h, "en", T.SOURCES[0]).select("uri", "score")
+
+
+@query("""SELECT CASE page_id % 3 WHEN 0 THEN 'v' || page_id WHEN 1 THEN 'old' ELSE 'unknown' END AS index_version, CASE WHEN page_id % 2 = 0 THEN url END AS last_updated_at, 'unknown' AS embedding_model, count(*) AS n FROM pages GROUP BY ALL""")
+def index_status(spark, d):
+    k = F.col("page_id")
+    r = table(spark, d, "pages").select(F.when(k % 3 == 0, F.concat(F.lit("v"), k.cast("string"))).otherwise("").alias("index_version"), F.when(k % 3 == 1, "old").alias("version"), F.when(k % 2 == 0, F.col("url")).alias("updated_at"), F.lit("").alias("model"))
+    return archive.index_status(r).groupBy("index_version", "last_updated_at", "embedding_model").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT o_orderkey, coalesce(string_agg('l' || l_linenumber, ',' ORDER BY l_linenumber, l_partkey) FILTER (l_quantity < 25), '') AS uris, count(*) FILTER (l_quantity < 25) AS citation_count, count(*) FILTER (l_quantity < 25) = 0 AS no_citation, any_value(o_totalprice) > 30000 AS slow
+FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey""")
+def cited_answers(spark, d):
+    """A reply an order, a citation a line of it, whose reference is there for small quantities."""
+    ref = F.when(F.col("l_quantity") < 25, F.array(F.struct(F.format_string("l%d", "l_linenumber").alias("uri"))))
+    c = table(spark, d, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey", F.lit("t").alias("text"), ref.alias("references")).alias("c")).groupBy("l_orderkey").agg(F.array_sort(F.collect_list("c")).alias("citations"))
+    r = table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").alias("response_time_ms")).join(c, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    return archive.answers(r, "o_orderkey").withColumn("uris", F.coalesce(F.array_join("uris", ","), F.lit("")))
+
+
+@query("SELECT count(*) AS total_files, count(*) FILTER (o_orderstatus = 'F') AS success_count, count(*) FILTER (o_orderstatus = 'O') AS skipped_count, count(*) FILTER (o_orderstatus = 'P') AS error_count FROM orders")
+def extraction_outcome(spark, d):
+    s = F.when(F.col("o_orderstatus") == "F", "success").when(F.col("o_orderstatus") == "O", "skipped").when(F.col("o_orderstatus") == "P", "error")
+    return archive.extraction_outcome(table(spark, d, "orders").select(s.alias("status")))
