@@ -145,7 +145,8 @@ def term_spans(found: DataFrame, terms: DataFrame) -> DataFrame:
 
     rows = found.select("text_key", "text").crossJoin(F.broadcast(cells))
     likely = F.explode(F.filter(F.array_distinct(F.transform(_words(), lambda w: F.lower(w))), maybe)).alias("term")
-    hits = rows.select("text_key", likely).join(terms, "term", "left_semi").select("text_key").distinct()
+    # Stored, so that its true size decides whether it goes to the texts or the texts are shuffled.
+    hits = stored(rows.select("text_key", likely).join(terms, "term", "left_semi").select("text_key").distinct(), "hits")
     # Words stand between marks, so at odd places of the split; those that may be terms are cut out, all else is gaps.
     # Places add up in a window: an array that grows in an aggregate would be copied at each word.
     words = F.split(F.regexp_replace(F.replace("text", F.lit(MARK), F.lit(" ")), WORD, f"{MARK}$0{MARK}"), MARK, -1)
