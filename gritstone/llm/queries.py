@@ -70,12 +70,36 @@ def op10_order_minhash(spark, sf_dir):
     return order_minhash(documents(spark, sf_dir))
 
 
+def _embeddings(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
+def op11_itq(spark, sf_dir):
+    from .itq import near_vectors
+
+    return near_vectors(_embeddings(spark, sf_dir))
+
+
+def op12_whitening(spark, sf_dir):
+    from .whitening import whiten
+
+    return whiten(_embeddings(spark, sf_dir))
+
+
+def op13_hard_negatives(spark, sf_dir):
+    from .hard_negatives import hard_negatives
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(_embeddings(spark, sf_dir), label=label, anchors=F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
     from .exact_dedup import ORACLE as exact
+    from .hard_negatives import ORACLE as negatives
     from .mixing import oracle as mixing
 
-    return {"op4_mixing": mixing(), "op8_exact_dedup": exact}
+    return {"op4_mixing": mixing(), "op8_exact_dedup": exact, "op13_hard_negatives": negatives}
