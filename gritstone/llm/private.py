@@ -3,8 +3,8 @@
 Base spans come from four patterns. Then the words of all texts with a protected value are weighed: over the whole
 corpus, a term reveals an entity as far as knowing the term raises the entity's probability (pointwise mutual
 information, in bits). Entities are literal values and, behind them, their kinds; the probability of a value given a
-term is smoothed by that of its kind, and that by the kind's share of texts. Terms beyond the disclosure threshold
-become spans of kind ``term`` wherever they stand, in every text.
+term is smoothed by that of its kind, and that by how often words as rare as the term stand beside the kind at all.
+Terms (words of three letters or more) beyond the disclosure threshold become spans of kind ``term`` wherever they stand, in every text.
 
 Positions come from ``split`` and ``regexp_extract_all`` with one pattern: the pieces between the matches and the
 matches themselves, whose lengths add up. Patterns are possessive and anchored at the start of a run, which changes
@@ -28,7 +28,7 @@ KINDS = {
 #: What a text must hold for the pattern to have a chance; saves most scans.
 GUARD = {"email": "@", "ip": "[0-9][.][0-9]", "card": "(?:[0-9][ -]?){11}[0-9]", "phone": "[+][0-9]"}
 WORD = r"\p{L}{3,}+"
-PRIOR = 1.0  # texts that the back-off weighs
+PRIOR = 3.0  # texts that the back-off weighs
 MIN_SHARE = 0.5  # smoothed probability of the entity given the term
 MIN_BITS = 4.0
 #: Most bytes of the filter of disclosing terms that rows carry, eight a term below that. As it fills more rows are
@@ -72,9 +72,14 @@ def _cut(rows: DataFrame, source: str, pattern: Column, name: str, guard: Column
     return rows.withColumn(name, walk).drop("_m", "_p")
 
 
+def _key(text: Column) -> Column:
+    """128 bits that name a text."""
+    return F.unhex(F.md5(text.cast("binary")))
+
+
 def base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     """text_key, text, spans of each distinct text: array of (start, kind order, kind, end, value), in order."""
-    rows = docs.select(F.coalesce(text, F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text")).dropDuplicates(["text_key"])
+    rows = docs.select(F.coalesce(text, F.lit("")).alias("text")).withColumn("text_key", _key(F.col("text"))).dropDuplicates(["text_key"])
     for kind, pattern in KINDS.items():
         guard = F.col("text").rlike(GUARD[kind]) if len(GUARD[kind]) > 1 else F.contains("text", F.lit(GUARD[kind]))
         rows = _cut(rows, "text", F.lit(pattern), kind, guard, lambda value, kind=kind: _valid(kind, value))
@@ -94,35 +99,46 @@ def disclosing_terms(found: DataFrame, min_share: float = MIN_SHARE, min_bits: f
     """(term, entity, bits, outside) beyond the threshold, from base_spans; an entity is ``kind:value`` or a kind alone.
     ``outside``: the term also stands in texts without any protected value.
 
-    All counts are of distinct texts and cover all of them. With N texts, for a value e of kind k and a term t:
+    All counts are of distinct texts and cover all of them. With N texts, for a value e of kind k and a term t that
+    stands in as many texts as the other terms of its frequency class c (by the power of two):
 
-        p(k | t) = (texts with t and k + PRIOR * p(k)) / (texts with t + PRIOR)
+        p(k | c) = share of the texts of the terms of c that hold k
+        p(k | t) = (texts with t and k + PRIOR * p(k | c)) / (texts with t + PRIOR)
         p(e | t) = (texts with t and e + PRIOR * p(k | t) * p(e) / p(k)) / (texts with t + PRIOR)
-    """
+
+    So a word that stands once, beside a value, is taken for what other words that stand once are: chance."""
     terms = F.explode(F.array_distinct(F.transform(_words(), lambda w: F.lower(w)))).alias("term")
-    words = found.select(terms).groupBy("term").agg(F.count(F.lit(1)).alias("with_t"))
+    words = stored(found.select(terms).groupBy("term").agg(F.count(F.lit(1)).alias("with_t")), "words")
+    level = F.floor(F.log2("with_t")).cast("int").alias("level")
     entity = F.array_distinct(F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), F.concat_ws(":", s["kind"], F.lower(s["value"])).alias("entity"))))
     held = found.where(F.size("spans") > 0).withColumn("entities", entity)
-    inside = held.select(terms).groupBy("term").agg(F.count(F.lit(1)).alias("with_h"))
-    given = F.col("with_t") + PRIOR
-    # No pair has more texts than the term has texts with a protected value: common words go before they meet entities.
-    able = stored(inside.join(words, "term").where(F.col("with_h") + PRIOR >= min_share * given), "able")
-    pairs = held.select("entities", terms).join(able, "term")
-    of_term = ["term", "with_t", "with_h"]
-    kind = F.explode(F.array_distinct(F.transform("entities", lambda e: e["kind"]))).alias("kind")
-    value = F.explode("entities").alias("e")
+    flags = [F.array_contains(F.transform("spans", lambda s: s["kind"]), kind).cast("int").alias(f"with_{kind}") for kind in KINDS]
+    sums = [F.sum(f"with_{kind}").alias(f"with_{kind}") for kind in KINDS]
+    inside = held.select(terms, *flags).groupBy("term").agg(F.count(F.lit(1)).alias("with_h"), *sums)
+    inside = stored(inside.join(words, "term").withColumn("level", level), "inside")
+
+    # One row a frequency class, 64 at most, and one a kind.
+    levels = words.select(level, "with_t").groupBy("level").agg(F.sum("with_t").alias("all_t"))
+    levels = inside.groupBy("level").agg(*sums).join(levels, "level").select("level", F.map_from_arrays(F.array(*map(F.lit, KINDS)), F.array(*[F.col(f"with_{k}") / F.col("all_t") for k in KINDS])).alias("by_chance"))
+    values = held.select(F.explode("entities").alias("e")).groupBy("e.kind", "e.entity").agg(F.count(F.lit(1)).alias("with_e"))
     total = found.agg(F.count(F.lit(1)).alias("n"))
-    kinds = held.select(kind).groupBy("kind").agg(F.count(F.lit(1)).alias("with_k")).crossJoin(F.broadcast(total))
-    values = held.select(value).groupBy("e.kind", "e.entity").agg(F.count(F.lit(1)).alias("with_e"))
-    by_kind = pairs.select(*of_term, kind).groupBy(*of_term, "kind").agg(F.count(F.lit(1)).alias("both_k")).join(F.broadcast(kinds), "kind")
-    by_kind = by_kind.withColumn("p_k", (F.col("both_k") + PRIOR * F.col("with_k") / F.col("n")) / given)
-    by_value = pairs.select("term", value).groupBy("term", "e.kind", "e.entity").agg(F.count(F.lit(1)).alias("both")).join(by_kind, ["term", "kind"])
-    # The back-off adds PRIOR at most: what falls short even so need not meet its entity.
+    kinds = held.select(F.explode(F.array_distinct(F.transform("entities", lambda e: e["kind"]))).alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("with_k")).crossJoin(F.broadcast(total))
+    kinds = kinds.join(values.groupBy("kind").agg(F.max("with_e").alias("most_e")), "kind")
+
+    given = F.col("with_t") + PRIOR
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"with_{k}").alias("both_k")) for k in KINDS])).alias("x")
+    by_kind = inside.join(F.broadcast(levels), "level").select("term", "with_t", "with_h", "by_chance", each).where("x.both_k > 0")
+    p_k = (F.col("x.both_k") + PRIOR * F.col("by_chance")[F.col("x.kind")]) / given
+    by_kind = by_kind.select("term", "with_t", "with_h", F.col("x.kind").alias("kind"), F.col("x.both_k").alias("both_k"), p_k.alias("p_k")).join(F.broadcast(kinds), "kind")
+    # What falls short even if all its texts hold the kind's most common value need not meet its entities.
+    able = stored(by_kind.where(F.col("both_k") + PRIOR * F.greatest(F.lit(0.0), F.col("p_k") * F.col("most_e") / F.col("with_k")) >= min_share * given).unionByName(by_kind.where(F.col("p_k") >= min_share)).distinct(), "able")
+    pairs = held.select("entities", terms).join(able.select("term").distinct(), "term").select("term", F.explode("entities").alias("e"))
+    by_value = pairs.groupBy("term", "e.kind", "e.entity").agg(F.count(F.lit(1)).alias("both")).join(able, ["term", "kind"])
     by_value = by_value.where(F.col("both") + PRIOR >= min_share * given).join(values, ["kind", "entity"])
     p = (F.col("both") + PRIOR * F.col("p_k") * F.col("with_e") / F.col("with_k")) / given
     outside = (F.col("with_t") > F.col("with_h")).alias("outside")
     weighed = by_value.select("term", "entity", p.alias("p"), (F.col("with_e") / F.col("n")).alias("prior"), outside)
-    weighed = weighed.unionByName(by_kind.select("term", F.col("kind").alias("entity"), F.col("p_k").alias("p"), (F.col("with_k") / F.col("n")).alias("prior"), outside))
+    weighed = weighed.unionByName(able.select("term", F.col("kind").alias("entity"), F.col("p_k").alias("p"), (F.col("with_k") / F.col("n")).alias("prior"), outside))
     bits = F.log2(F.col("p") / F.col("prior"))
     return weighed.where((F.col("p") >= min_share) & (bits >= min_bits)).select("term", "entity", bits.alias("bits"), "outside")
 
@@ -184,7 +200,7 @@ def find_private(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 
     count = {f"n_{k}": number(k) for k in KINDS}
     rows = rows.select("text_key", *[c.alias(n) for n, c in count.items()], F.sha2(_joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), _joined(F.array_sort(F.concat("base", "clear"))).alias("spans"), F.size("clear").cast("long").alias("n_term"))
-    ids = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_key"))
+    ids = docs.select(F.col(doc_id).cast("long").alias("doc_id"), _key(F.coalesce(text, F.lit(""))).alias("text_key"))
     return ids.join(rows, "text_key").drop("text_key")
 
 
