@@ -291,6 +291,7 @@ def test_private_terms(spark):
     fill = lambda n: " ".join(r.choice(common) for _ in range(n))
     texts = [fill(200) for _ in range(60)]
     texts += [fill(50) for _ in range(140)]
+    texts = [t + " " + "".join(r.choice("klmnopqrst") for _ in range(9)) for t in texts]  # words that stand once, beside no value
     texts += [f"Xanthippe once {fill(60)} to one@corp.org {fill(60)} near Zebulon"]
     texts += [f"{fill(60)} quorl {fill(60)} +1 415 555 {i:04d}" for i in range(8)] + [f"{fill(20)} Quorl alone"] * 2  # the kind, from values that stand once
     texts += [f"{fill(30)} mira two@corp.org {i} mira" for i in range(3)] + [f"{fill(30)} Mira again"]
