@@ -11,20 +11,30 @@ from pyspark.sql import functions as F
 
 from gritstone.llm.common import documents, stored
 
-#: Names a row from the first stage to the last but one; ids may be null or repeat. Keys rise with the id, null last.
-KEY = "_row"
+#: In the metadata of the column that names a row from the first stage to the last but one; ids may be null or repeat.
+#: The column takes a name that no other has; its values rise with the id, null last.
+MARK = "gritstone_row"
+
+
+def _key(docs: DataFrame) -> str | None:
+    return next((f.name for f in docs.schema.fields if f.metadata.get(MARK)), None)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     """The rows with their key, written down, so that every later reading sees the same keys."""
-    if KEY in docs.columns:
+    if _key(docs):
         return docs
+    taken, name = {c.lower() for c in docs.columns}, "_row"
+    while name in taken:
+        name += "_"
     by = docs.orderBy(F.asc_nulls_last("doc_id"), F.xxhash64("text"))
-    return stored(by.withColumn(KEY, F.monotonically_increasing_id()), "keyed")
+    return stored(by.withColumn(name, F.monotonically_increasing_id().alias(name, metadata={MARK: True})), "keyed")
 
 
 def _only(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    return docs.join(keys.select(KEY), KEY, "left_semi").select(docs.columns)
+    """The documents whose key is the first column of ``keys``."""
+    key = _key(docs)
+    return docs.join(keys.select(F.col(keys.columns[0]).alias(key)), key, "left_semi").select(docs.columns)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,14 +42,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from gritstone.llm.language_id import language_id
 
     docs = _keyed(docs)
-    return _only(docs, language_id(docs, key=KEY).where("lang_pred <> 'und'"))
+    key = _key(docs)
+    return _only(docs, language_id(docs, key=key).where("lang_pred <> 'und'").select(key))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from gritstone.llm.exact_dedup import exact_dedup
 
     docs = _keyed(docs)
-    return _only(docs, exact_dedup(docs, doc_id=KEY).where("kept").withColumnRenamed("doc_id", KEY))
+    return _only(docs, exact_dedup(docs, doc_id=_key(docs)).where("kept").select("doc_id"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +58,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from gritstone.llm.ngram_join import near_duplicates
 
     docs = _keyed(docs)
-    return _only(docs, near_duplicates(docs, doc_id=KEY).where("doc_id = component_id").withColumnRenamed("doc_id", KEY))
+    return _only(docs, near_duplicates(docs, doc_id=_key(docs)).where("doc_id = component_id").select("doc_id"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,8 +66,9 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from gritstone.llm.mixing import mix
 
     docs = _keyed(docs)
-    kept = mix(docs, key=KEY).where("kept").select(KEY, "token_weight")
-    return docs.drop("token_weight").join(kept, KEY)
+    key = _key(docs)
+    kept = mix(docs, key=key).where("kept").select(key, "token_weight")
+    return docs.drop("token_weight").join(kept, key)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
