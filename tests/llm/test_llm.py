@@ -9,6 +9,7 @@ from collections import Counter
 import public_tokenizers
 import pytest
 import tiktoken
+import tiktoken.load
 
 import corpus_pipeline
 from gritstone.llm import byte_bpe, exact_dedup, language_id, lm, mixing, ngram_join, order_minhash, private, quality, substring_dedup
@@ -442,3 +443,70 @@ def test_pipeline_keeps_one_row_of_null_and_repeated_ids(spark, rows):
     assert (7, rows[8][1]) in got and (8, rows[8][1]) not in got and (7, rows[7][1]) in got and (None, "a null id") in got
     near = Counter(r.text for r in corpus_pipeline.near(spark, out, "").collect())
     assert max(near.values()) == 1 and near["a null id"] == 1 and sum(t in near for t in (rows[36][1], rows[37][1], rows[38][1])) == 1
+
+
+DOCS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def test_pipeline_takes_no_column_for_its_key(spark, rows):
+    """Columns called like the key are data; stages carry them."""
+    own = [(r[0], r[1], r[2], r[3], r[4], 0, 7.5) for r in rows]
+    docs = spark.createDataFrame(own, "doc_id long, text string, lang string, source string, n_chars long, _row int, _ROW_ double").repartition(3)
+    plain = docs.drop("_row", "_ROW_")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs, plain = (stage(spark, d, "").cache() for d in (docs, plain))
+        ids = Counter((r.doc_id, r.text) for r in docs.collect())
+        assert ids == Counter((r.doc_id, r.text) for r in plain.collect()) and ids, name
+        assert {(r._row, r._ROW_) for r in docs.collect()} == {(0, 7.5)}
+    assert sorted(r.ids_sha256 for r in corpus_pipeline.encode(spark, docs, "").collect()) == sorted(r.ids_sha256 for r in corpus_pipeline.encode(spark, plain, "").collect())
+
+
+def test_pipeline_rows_equal_brute_force(spark, tmp_path, rows):
+    """All rows, the repeated, the null-id and a very long one included, through every stage by plain Python."""
+    long = " ".join(f"w{i % 977}x{i}" for i in range(60_000))
+    own = [*rows, (500, long, "en", "s1", 0, *rows[0][5:])]
+    spark.createDataFrame(own, SCHEMA).select(*DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    got = Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    docs = sorted((r[:5] for r in own if re.search(r"[^\W\d_]", r[1] or "")), key=lambda r: (r[0] is None, r[0] or 0))
+    groups = {}
+    for r in docs:  # exact: the longest, then the smallest id
+        groups.setdefault(re.sub("[\x20\x09-\x0d]", "", r[1]), []).append(r)
+    docs = [max(g, key=lambda r: (len(r[1]), -(10**9 if r[0] is None else r[0]))) for g in groups.values()]
+    docs.sort(key=lambda r: (r[0] is None, r[0] or 0))
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := _words(r[1])) else set() for r in docs]
+    up = list(range(len(docs)))
+    find = lambda x: x if up[x] == x else find(up[x])
+    for a in range(len(docs)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]) > 0:
+                x, y = sorted((find(a), find(b)))
+                up[y] = x
+    docs = [r for i, r in enumerate(docs) if find(i) == i]
+    cells, topic = {}, lambda t: next((n for n, s in mixing.TOPIC_SIGNS if s in t), "prose")
+    key = lambda r: (r[3] or "", r[2] or "", topic(r[1]))
+    for r in docs:
+        cells[key(r)] = cells.get(key(r), 0) + len(_words(r[1]))
+    weight, goals = dict.fromkeys(cells, 1.0), []
+    for d, p in enumerate(mixing.POWERS.values()):
+        by = {}
+        for c, n in cells.items():
+            by[c[d]] = by.get(c[d], 0) + n
+        norm = sum(n**p for n in by.values())
+        goals.append({v: sum(by.values()) * n**p / norm for v, n in by.items()})
+    for _ in range(mixing.SWEEPS):
+        for d, goal in enumerate(goals):
+            have = {v: sum(weight[c] * n for c, n in cells.items() if c[d] == v) for v in goal}
+            weight = {c: w * goal[c[d]] / have[c[d]] for c, w in weight.items()}
+    draw = lambda i: int(hashlib.md5(("" if i is None else str(i)).encode()).hexdigest()[:8], 16) / 2**32
+    docs = [r for r in docs if draw(r[0]) < weight[key(r)]]
+    bpe = tiktoken.Encoding("b", pat_str=public_tokenizers.PATTERN, mergeable_ranks=tiktoken.load.load_tiktoken_bpe(public_tokenizers.path("byte_bpe_50k.tiktoken")), special_tokens={})
+    want = Counter()
+    for r in docs:
+        ids = bpe.encode_ordinary(r[1])
+        want[(r[0], len(ids), hashlib.sha256(b"".join(x.to_bytes(4, "little") for x in ids)).hexdigest(), hashlib.sha256(r[1].encode()).hexdigest())] += 1
+    assert got == want and sum(want.values()) > 15
+
+
+def test_pipeline_without_rows(spark, tmp_path, none):
+    none.select(*DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
