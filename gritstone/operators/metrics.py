@@ -69,14 +69,6 @@ def asof(left: DataFrame, right: DataFrame, key: str, ts: str, value: str, tie:
     return both.withColumn(value, F.last(value, ignorenulls=True).over(w)).where("_side = 1").drop("_side")
 
 
-def innermost(blocks: DataFrame, group: str, key: str, start: str, end: str) -> DataFrame:
-    """To each block the shortest other block of its group that encloses it."""
-    a, b = blocks.alias("a"), blocks.alias("b")
-    inside = (F.col(f"a.{group}") == F.col(f"b.{group}")) & (F.col(f"b.{start}") <= F.col(f"a.{start}")) & (F.col(f"b.{end}") >= F.col(f"a.{end}")) & (F.col(f"a.{key}") != F.col(f"b.{key}")) & ((F.col(f"b.{start}") < F.col(f"a.{start}")) | (F.col(f"b.{end}") > F.col(f"a.{end}")))
-    found = a.join(b, inside).groupBy(F.col(f"a.{key}").alias(key)).agg(F.min(F.struct((F.col(f"b.{end}") - F.col(f"b.{start}")).alias("span"), F.col(f"b.{key}").alias("parent"))).alias("m"))
-    return blocks.select(key).join(found, key, "left").select(key, F.col("m.parent").alias("parent"))
-
-
 def batch_outcome(df: DataFrame, ok: Column) -> DataFrame:
     """Successes, errors and the status code of a batch: 200 if all went well, else 207."""
     n, good = F.count(F.lit(1)), F.count_if(ok)

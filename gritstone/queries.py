@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import analyses, archive, chunk, claims, generate, graph, metrics, policy, records, rtl, search, verify
+from .operators import analyses, archive, blocks, chunk, claims, generate, graph, metrics, policy, records, rtl, search, spans, verify
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -288,7 +288,7 @@ SELECT a.o_orderkey, (SELECT arg_min(b.o_orderkey, (b.hi - b.lo) * 100000000 + b
 def innermost_interval(spark, d):
     lo = F.floor(F.unix_seconds(F.col("o_orderdate").cast("timestamp")) / 86400)
     b = table(spark, d, "orders").select("o_orderkey", "o_custkey", lo.alias("lo"), (lo + F.col("o_orderkey") % 400).alias("hi"))
-    return metrics.innermost(b, "o_custkey", "o_orderkey", "lo", "hi")
+    return spans.innermost(b, "o_custkey", "o_orderkey", "lo", "hi")
 
 
 _PATHS = """SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN 'documents/soc/ucie/phy_spec.md' WHEN 1 THEN 'documents/soc/' || p_brand || '/sub/Top-OVERVIEW.v' WHEN 2 THEN 'x.md' WHEN 3 THEN 'a/b/_guide.pdf'
@@ -776,3 +776,72 @@ def cited_answers(spark, d):
 def extraction_outcome(spark, d):
     s = F.when(F.col("o_orderstatus") == "F", "success").when(F.col("o_orderstatus") == "O", "skipped").when(F.col("o_orderstatus") == "P", "error")
     return archive.extraction_outcome(table(spark, d, "orders").select(s.alias("status")))
+
+
+#: C6 in SQL over (doc_id, text): lines, parity of the fences before each, headers, blocks up to the next header.
+_BLOCKS = r"""l AS (SELECT doc_id, length(text) AS total, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS ln FROM t WHERE length(text) > 0),
+c AS (SELECT *, regexp_replace(regexp_replace(raw, '\r+$', ''), '^\f+|\f+$', '', 'g') AS line FROM l),
+k AS (SELECT *, regexp_matches(line, '^[ \t]*(?:`{3,}|~{3,})') AS fence, CASE WHEN regexp_matches(line, '(?i)^[ \t]*(?:command|syntax|usage)\b') THEN 'command' WHEN regexp_matches(line, '(?i)^[ \t]*(?:options|arguments)\b') THEN 'option'
+  WHEN regexp_matches(line, '^[ \t]*-{1,2}[A-Za-z]') THEN 'dash' WHEN regexp_matches(line, '(?i)^[ \t]*(?:flow|methodology|procedure|step)\b') THEN 'flow_step' WHEN regexp_matches(line, '(?i)^[ \t]*examples?\b') THEN 'example' END AS word, length(trim(line, chr(9) || ' ' || chr(13) || chr(11) || chr(12))) <= 80 AS short FROM c),
+f AS (SELECT *, sum(length(raw) + 1) OVER w - length(raw) - 1 AS start, coalesce(sum(fence::INT) OVER (PARTITION BY doc_id ORDER BY ln ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 1 AS inside FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY ln)),
+h AS (SELECT *, coalesce(CASE WHEN inside THEN NULL WHEN fence THEN 'example' WHEN word = 'dash' THEN 'option' WHEN short THEN word END, CASE WHEN ln = 1 THEN 'section' END) AS kind FROM f)
+SELECT doc_id, start::BIGINT AS block_start, coalesce(lead(start) OVER (PARTITION BY doc_id ORDER BY ln), total)::BIGINT AS block_end, kind AS object_type FROM h WHERE kind IS NOT NULL"""
+
+
+@query("WITH t AS (SELECT doc_id, text FROM documents), " + _BLOCKS)
+def block_scan(spark, d):
+    return blocks.block_scan(table(spark, d, "documents"))
+
+
+#: Words of a document, five a line, under line beginnings that its number and the line's choose.
+_MARKS = ["", "Command: ", "  -o", "```", "Step 2 ", "prose of ", "~~~~ sh ", "Examples", "options: ", "- "]
+
+
+@query("WITH t AS (SELECT doc_id, array_to_string(list_transform(range(0, (len(w) + 4) // 5), lambda i: (" + str(_MARKS) + ")[(doc_id + 3 * i) % 10 + 1] || array_to_string(w[5 * i + 1 : 5 * i + 5], ' ') || repeat(' long', CASE WHEN i % 4 = 0 THEN 15 ELSE 0 END)), chr(10)) AS text FROM (SELECT doc_id, string_split(replace(replace(text, chr(10), ' '), chr(13), ' '), ' ') AS w FROM documents WHERE text IS NOT NULL)), " + _BLOCKS)
+def block_scan_marked(spark, d):
+    marks = F.array(*map(F.lit, _MARKS))
+    w = F.split(F.translate("text", "\n\r", "  "), " ")
+
+    def line(i):
+        long = F.when(i % 4 == 0, F.lit(" long" * 15)).otherwise("")
+        return F.concat(F.get(marks, ((F.col("doc_id") + 3 * i) % 10).cast("int")), F.array_join(F.slice("w", 5 * i + 1, 5), " "), long)
+
+    t = table(spark, d, "documents").where("text is not null").select("doc_id", w.alias("w"))
+    return blocks.block_scan(t.select("doc_id", F.array_join(F.transform(F.sequence(F.lit(0), F.floor((F.size("w") + 4) / 5).cast("int") - 1), line), "\n").alias("text")))
+
+
+def _generated(spark, d) -> DataFrame:
+    """A file a nation: a loop with an instance of its own, a condition and a loop inside, suppliers in both."""
+    k = F.col("s_suppkey")
+    inst = F.concat(F.lit("    mac u_"), k.cast("string"), F.lit(" (.clk(c));\n    begin x = 1; end\n"))
+    odd = F.transform(F.array_sort(F.collect_list(F.when(k % 2 == 1, F.struct("s_suppkey", inst.alias("i"))))), lambda x: x["i"])
+    even = F.transform(F.array_sort(F.collect_list(F.when(k % 2 == 0, F.struct("s_suppkey", inst.alias("i"))))), lambda x: x["i"])
+    g = table(spark, d, "supplier").groupBy("s_nationkey").agg(F.array_join(odd, "").alias("odd"), F.array_join(even, "").alias("even"))
+    text = F.concat(F.lit("module m;\nfor (genvar x = 0; x < 4; x++) begin : gen_x\n  if (EN) begin : gen_if\n"), "even", F.lit("  end\n  row u_top (.a(b));\n  for (genvar y = 0;\n y < 2; y++)  begin : gen_y\n"), "odd", F.lit("  end\n  tail u_last (.a(b));\nend\nif (Z) begin : alone\n  z u_z (.a(b));\nend\nendmodule\n"))
+    return g.select(F.col("s_nationkey").alias("path"), text.alias("content"))
+
+
+@query("""WITH g AS (SELECT s_nationkey AS path, coalesce(string_agg('u_' || s_suppkey, ',' ORDER BY s_suppkey) FILTER (s_suppkey % 2 = 1), '') AS odd, coalesce(string_agg('u_' || s_suppkey, ',' ORDER BY s_suppkey) FILTER (s_suppkey % 2 = 0), '') AS even FROM supplier GROUP BY 1)
+SELECT path, 'gen_x' AS label, NULL AS parent_label, 'gen_x' AS hierarchy_path, 'for' AS block_type, 'u_top,u_last' AS instances FROM g UNION ALL SELECT path, 'gen_if', 'gen_x', 'gen_x/gen_if', 'if', even FROM g
+UNION ALL SELECT path, 'gen_y', 'gen_x', 'gen_x/gen_y', 'for', odd FROM g UNION ALL SELECT path, 'alone', NULL, 'alone', 'if', 'u_z' FROM g""")
+def generate_labels(spark, d):
+    b = generate.labelled_blocks(_generated(spark, d))
+    return b.select("path", "label", "parent_label", "hierarchy_path", "block_type", F.array_join("instances", ",").alias("instances"))
+
+
+#: A block a supplier: its loops and label by the key, an endpoint port at a distance by the key.
+_TAGS = ["gen_router[3]", "gen_ne_opt", "noc2axi_a", "south_b", "plain"]
+
+
+@query("""WITH s AS (SELECT s_suppkey AS k, (s_suppkey * 37) % 700 AS far, ['gen_router', 'gen_ne_opt', 'noc2axi_a', 'south_b', 'plain'][s_suppkey % 5 + 1] AS label, ['x', 'row', ''][s_suppkey % 3 + 1] AS v FROM supplier)
+SELECT k AS block, label, 'u_' || k AS instance, 'mac' AS module_type, CASE WHEN v = 'x' THEN '0..W' || k WHEN label = 'gen_ne_opt' THEN '1' ELSE 'UNKNOWN' END AS x,
+CASE WHEN v = 'row' AND label = 'gen_router' THEN '3+4' WHEN v = 'row' THEN '0..W' || k WHEN label = 'south_b' THEN '1' ELSE 'UNKNOWN' END AS y,
+CASE WHEN length('mac u_' || k || ' (') + far + length('.ep_id(' || k || ')') <= 500 THEN k::VARCHAR ELSE 'UNKNOWN' END AS ep, CASE WHEN label = 'noc2axi_a' THEN 'NOC2AXI' WHEN label = 'gen_router' THEN 'router' ELSE 'tile' END AS tile_type FROM s""")
+def instance_positions(spark, d):
+    k = F.col("s_suppkey")
+    n = k.cast("string")
+    label = F.get(F.array(*[F.lit(t.split("[")[0]) for t in _TAGS]), (k % 5).cast("int"))
+    v = F.get(F.array(F.lit("x"), F.lit("row"), F.lit("")), (k % 3).cast("int"))
+    loop = F.when(v == "", F.concat(F.lit("if (EN) begin : "), label)).otherwise(F.concat(F.lit("for (genvar "), v, F.lit(" = 0; "), v, F.lit(" < W"), n, F.lit("; "), v, F.lit("++) begin : "), label))
+    text = F.concat(loop, F.lit("\n mac u_"), n, F.lit(" ("), F.repeat(F.lit("."), (k * 37 % 700).cast("int")), F.lit(".ep_id("), n, F.lit("));\n assign a = b[3] + b[ 4 ];\nend\n"))
+    return generate.instance_positions(table(spark, d, "supplier").select(k.alias("block"), text.alias("content")))
