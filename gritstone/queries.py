@@ -794,7 +794,7 @@ def block_scan(spark, d):
 
 
 #: Words of a document, five a line, under line beginnings that its number and the line's choose.
-_MARKS = ["", "Command: ", "  -o", "```", "Step 2 ", "prose of ", "~~~~ sh ", "Examples", "options: ", "- "]
+_MARKS = ["", "Command: ", "  -o", "```", "Step 2 ", "prose of ", "~~~~ sh ", "Examples of ", "options: ", "- "]
 
 
 @query("WITH t AS (SELECT doc_id, array_to_string(list_transform(range(0, (len(w) + 4) // 5), lambda i: (" + str(_MARKS) + ")[(doc_id + 3 * i) % 10 + 1] || array_to_string(w[5 * i + 1 : 5 * i + 5], ' ') || repeat(' long', CASE WHEN i % 4 = 0 THEN 15 ELSE 0 END)), chr(10)) AS text FROM (SELECT doc_id, string_split(replace(replace(text, chr(10), ' '), chr(13), ' '), ' ') AS w FROM documents WHERE text IS NOT NULL)), " + _BLOCKS)
