@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import stored
 
 #: Legal status changes.
 TRANSITIONS = [("draft", "verified"), ("draft", "deprecated"), ("verified", "conflicted"), ("verified", "deprecated"), ("conflicted", "verified"), ("conflicted", "deprecated")]
@@ -67,9 +68,35 @@ def pairs_alike(df: DataFrame, group: str, key: str, text: str, least: float) ->
     return near.withColumn("score", T.jaccard(F.col("ta"), F.col("tb"))).where(F.col("score") >= least).select(group, "a", "b", F.round("score", 6).alias("score"))
 
 
-def retire(pairs: DataFrame) -> DataFrame:
-    """Of two near duplicates the older (smaller key) goes if a newer one stands beside it."""
-    return pairs.select(F.col("a").alias("claim_id")).distinct()
+def retire(pairs: DataFrame, claims: DataFrame, key: str, created: str, order: list[Column]) -> DataFrame:
+    """(key, by): near duplicates that go, and the claim that stays instead; the newer of two stays, the first of
+    equally old ones. ``pairs`` (a, b) holds each pair once.
+
+    Pairs are met in the order of the claims: by the first, then by the second. A pair counts unless its second, or its
+    first before any of its own pairs, has gone as the second of a pair before. So a pair is decided as soon as no
+    undecided pair ends in its first, or in its second from an earlier first. Each round decides all such pairs at
+    once and strikes the pairs of what they remove; rounds are as many as the longest chain of decisions, not pairs."""
+    numbered = stored(claims.select(F.col(key).alias("k"), F.col(created).alias("at"), F.struct(*order, F.col(key)).alias("place")), "claims")
+    side = lambda c, n: numbered.select(F.col("k").alias(c), F.struct("place", "k", "at").alias(n))
+    both = pairs.select("a", "b").join(side("a", "x"), "a").join(side("b", "y"), "b")
+    low, high = F.when(F.col("x.place") < F.col("y.place"), F.col("x")).otherwise(F.col("y")), F.when(F.col("x.place") < F.col("y.place"), F.col("y")).otherwise(F.col("x"))
+    left = stored(both.select(low.alias("i"), high.alias("j")).where("i.k <> j.k").distinct(), "pairs")
+    out = None
+    while not left.isEmpty():
+        first = left.groupBy(F.col("j.k").alias("k")).agg(F.min("i.place").alias("first"))
+        waits = left.join(first.select(F.col("k").alias("w")), F.col("i.k") == F.col("w"), "left_anti")
+        ready = waits.join(first, F.col("j.k") == F.col("k")).where(F.col("first") == F.col("i.place"))
+        newer = F.col("i.at") >= F.col("j.at")
+        decided = stored(ready.select("i", "j", newer.alias("second_goes")), "decided")
+        gone = decided.where("second_goes").select(F.col("j.k").alias("g")).distinct()
+        left = left.join(decided.select(F.col("i.k").alias("di"), F.col("j.k").alias("dj")), (F.col("i.k") == F.col("di")) & (F.col("j.k") == F.col("dj")), "left_anti")
+        left = left.join(gone, F.col("j.k") == F.col("g"), "left_anti").join(gone, F.col("i.k") == F.col("g"), "left_anti")
+        left = stored(left, "pairs")
+        went = decided.select(F.when(F.col("second_goes"), F.col("j")).otherwise(F.col("i")).alias("old"), F.when(F.col("second_goes"), F.col("i")).otherwise(F.col("j")).alias("new"))
+        out = went if out is None else out.unionByName(went)
+    if out is None:
+        return numbered.select(F.col("k").alias(key), F.col("k").alias("by")).limit(0)
+    return out.groupBy(F.col("old.k").alias(key)).agg(F.min_by("new.k", "new.place").alias("by"))
 
 
 def risk(s1: Column, s2: Column, s3: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -37,11 +38,75 @@ def snapshot(requested: Column, resolved: Column) -> Column:
     return F.when(s.isNull(), F.raise_error(F.lit("no concrete snapshot"))).otherwise(s)
 
 
-def placeholders(texts: DataFrame, facts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, token, value): the fact whose name contains the token, of most confidence, then the newest."""
-    t = texts.select(key, F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(r"\{\{(\w+)\}\}"), 1))).alias("token"))
-    hit = t.join(F.broadcast(facts), F.contains(F.lower(facts["name"]), F.lower(t["token"])), "left")
-    return hit.groupBy(key, "token").agg(F.max_by("value", F.struct("confidence", "created_at", "name")).alias("value"))
+# The form of a placeholder, of a name in a statement by its kind, of any name in one, and the comment
+# that stands for a placeholder without a name.
+PLACEHOLDER = r"\{(MODULE|INSTANCE|SIGNAL|PORT)_([A-Z0-9_]+)\}"
+NAMED = {"MODULE": r"[Mm]odule\s+'([^']+)'", "INSTANCE": r"[Ii]nstance\s+'([^']+)'", "SIGNAL": r"[Ss]ignal\s+'([^']+)'", "PORT": r"[Pp]ort\s+'([^']+)'"}
+QUOTED = r"'([^']+)'"
+UNRESOLVED = "<!-- NAME_RESOLUTION_FAILED: %s -->"
+GRAM = 3
+
+
+def containing(parts: DataFrame, names: DataFrame, by: list[str]) -> DataFrame:
+    """The pairs of ``parts`` (by..., part) and ``names`` (by..., name, ...) whose name contains the part.
+
+    An inverted index of q-grams of the names, of 1 to 3 characters. A part is looked up by the rarest of its own grams,
+    of its length or 3, and verified; a part with a gram that no name has meets nothing. No pair is formed beyond the
+    postings of that gram, and nothing is broadcast."""
+    grams = lambda c, q: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - q + 1), lambda i: F.substring(c, i, q)))
+    every = [F.when(F.length("name") >= q, grams("name", F.lit(q))).otherwise(F.array().cast("array<string>")) for q in range(1, GRAM + 1)]
+    once = names.select(*by, "name").distinct()
+    posted = once.select(*by, "name", F.explode(F.concat(*every)).alias("gram"))
+    often = posted.groupBy(*by, "gram").agg(F.count(F.lit(1)).alias("df"))
+    asked = parts.select(*by, "part").distinct().where(F.length("part") > 0)
+    asked = asked.select(*by, "part", F.explode(grams("part", F.least(F.length("part"), F.lit(GRAM)))).alias("gram"))
+    asked = asked.join(often, [*by, "gram"], "left").groupBy(*by, "part").agg(F.min_by("gram", F.struct(F.coalesce("df", F.lit(0)), "gram")).alias("gram"))
+    found = asked.join(posted, [*by, "gram"]).where(F.contains("name", F.col("part"))).select(*by, "part", "name")
+    return parts.join(found, [*by, "part"]).join(names, [*by, "name"])
+
+
+def resolve_placeholders(docs: DataFrame, claims: DataFrame, results: DataFrame | None = None, key: str = "doc_id", topic: str = "topic", text: str = "text") -> DataFrame:
+    """(key, text, unresolved): placeholders replaced by the names that they stand for, in three tiers.
+
+    1. The name of the placeholder's kind in a claim (topic, statement, confidence, created_at) of the text's topic, if
+    it contains the rest of the placeholder without regard to case, spaces as underscores. 2. The first of the search
+    ``results`` (token, rank, module_name, instances, ports) with a fitting name: the module for modules and signals, else the first
+    instance or port that contains it. 3. Any quoted name of a claim, hyphens as underscores too. Among claims the
+    highest confidence counts, then the latest, then the smallest name. What has no name becomes a comment."""
+    found = docs.select(F.col(key).alias("_k"), F.col(topic).alias("_t"), F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(PLACEHOLDER), F.lit(0)))).alias("token"))
+    found = found.select("_k", "_t", "token", F.regexp_extract("token", PLACEHOLDER, 1).alias("kind"), F.lower(F.regexp_extract("token", PLACEHOLDER, 2)).alias("part"))
+    asked = found.select("_t", "token", "kind", "part").distinct()
+    best = F.struct(F.col("confidence"), F.col("created_at"))
+    said = claims.select(F.col(topic).alias("_t"), "statement", F.coalesce("confidence", F.lit(0.0)).cast("double").alias("confidence"), F.coalesce("created_at", F.lit("")).alias("created_at"))
+
+    def chosen(hits: DataFrame, name: str) -> DataFrame:
+        """By token the smallest of the names that stand in the best claim."""
+        of_name = hits.groupBy("_t", "token", "shown").agg(F.max(best).alias("top"))
+        tops = of_name.groupBy("_t", "token").agg(F.max("top").alias("most"))
+        return of_name.join(tops, ["_t", "token"]).where(F.col("top") == F.col("most")).groupBy("_t", "token").agg(F.min("shown").alias(name))
+
+    by_kind = [said.select("_t", F.lit(kind).alias("kind"), F.regexp_extract("statement", pattern, 1).alias("shown"), "confidence", "created_at") for kind, pattern in NAMED.items()]
+    own = reduce(DataFrame.unionByName, by_kind).where("shown <> ''").withColumn("name", F.replace(F.lower("shown"), F.lit(" "), F.lit("_")))
+    first = chosen(containing(asked, own, ["_t", "kind"]), "name_1")
+    any_name = said.select("_t", F.explode(F.array_distinct(F.regexp_extract_all("statement", F.lit(QUOTED), F.lit(1)))).alias("shown"), "confidence", "created_at")
+    any_name = any_name.withColumn("name", F.translate(F.lower("shown"), " -", "__"))
+    third = chosen(containing(asked, any_name, ["_t"]), "name_3")
+    known = asked.join(first, ["_t", "token"], "left").join(third, ["_t", "token"], "left")
+    if results is not None:
+        fits = lambda c: F.get(F.filter(F.transform(c, lambda n: F.trim(n)), lambda n: F.contains(F.replace(F.lower(n), F.lit(" "), F.lit("_")), F.col("part"))), 0)
+        hit = asked.select("token", "kind", "part").distinct().join(results, "token")
+        module = F.when(F.col("module_name") != "", F.col("module_name"))
+        hit = hit.withColumn("name", F.when(F.col("kind").isin("MODULE", "SIGNAL"), module).when(F.col("kind") == "INSTANCE", fits("instances")).otherwise(fits("ports"))).where("name is not null")
+        known = known.join(hit.groupBy("token").agg(F.min_by("name", "rank").alias("name_2")), "token", "left")
+    else:
+        known = known.withColumn("name_2", F.lit(None).cast("string"))
+    names = found.join(known.select("_t", "token", F.coalesce("name_1", "name_2", "name_3").alias("name")), ["_t", "token"], "left")
+    per = names.groupBy("_k", "_t").agg(F.array_sort(F.collect_list(F.struct("token", "name"))).alias("_names"))
+    out = docs.join(per, docs[key].eqNullSafe(per["_k"]) & docs[topic].eqNullSafe(per["_t"]), "left")
+    comment = lambda x: F.replace(F.lit(UNRESOLVED), F.lit("%s"), x["token"])
+    none = F.array().cast(per.schema["_names"].dataType)
+    done = F.aggregate(F.coalesce("_names", none), F.col(text), lambda acc, x: F.replace(acc, x["token"], F.coalesce(x["name"], comment(x))))
+    return out.select(docs[key], done.alias(text), F.transform(F.filter(F.coalesce("_names", none), lambda x: x["name"].isNull()), lambda x: x["token"]).alias("unresolved"))
 
 
 def scrub(docs: DataFrame, east: int = 3, west: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -845,3 +847,84 @@ def instance_positions(spark, d):
     loop = F.when(v == "", F.concat(F.lit("if (EN) begin : "), label)).otherwise(F.concat(F.lit("for (genvar "), v, F.lit(" = 0; "), v, F.lit(" < W"), n, F.lit("; "), v, F.lit("++) begin : "), label))
     text = F.concat(loop, F.lit("\n mac u_"), n, F.lit(" ("), F.repeat(F.lit("."), (k * 37 % 700).cast("int")), F.lit(".ep_id("), n, F.lit("));\n assign a = b[3] + b[ 4 ];\nend\n"))
     return generate.instance_positions(table(spark, d, "supplier").select(k.alias("block"), text.alias("content")))
+
+
+@query("WITH RECURSIVE d AS MATERIALIZED (" + _PAIRS.format(g="lang", tok=_TOK, least=0.7) + """), t AS (SELECT a AS id FROM d UNION SELECT b FROM d),
+o AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY id * 7919 % 1009 DESC, id) AS n FROM t), e AS (SELECT least(x.n, y.n) AS lo, greatest(x.n, y.n) AS hi FROM d JOIN o x ON x.id = a JOIN o y ON y.id = b),
+l AS MATERIALIZED (SELECT o.n, coalesce(list(lo ORDER BY lo) FILTER (lo IS NOT NULL), []) AS lo FROM o LEFT JOIN e ON hi = o.n GROUP BY o.n),
+k(n, gone, won) AS (SELECT 0::BIGINT, []::BIGINT[], NULL::BIGINT UNION ALL SELECT l.n, CASE WHEN len(list_filter(lo, lambda x: NOT list_contains(gone, x))) > 0 THEN list_append(gone, l.n) ELSE gone END, list_filter(lo, lambda x: NOT list_contains(gone, x))[1] FROM k JOIN l ON l.n = k.n + 1)
+SELECT x.id AS doc_id, y.id AS "by" FROM k JOIN o x ON x.n = k.n JOIN o y ON y.n = k.won""")
+def retired_duplicates(spark, d):
+    """Near duplicates of a language, newest first: what a kept newer one resembles goes."""
+    docs = table(spark, d, "documents").withColumn("made", F.col("doc_id") * 7919 % 1009)
+    pairs = claims.pairs_alike(docs.withColumnRenamed("lang", "g"), "g", "doc_id", "text", 0.7)
+    return claims.retire(pairs, docs, "doc_id", "made", [-F.col("made")])
+
+
+_GRAPH = """n AS MATERIALIZED (SELECT 'r' || r_regionkey AS id, 'chip_' || r_regionkey AS name, 'Module' AS type FROM region UNION ALL SELECT 'n' || n_nationkey, 'block_' || n_nationkey, 'Module' FROM nation
+  UNION ALL SELECT 'p' || s_suppkey, 'port_' || s_suppkey, 'Port' FROM supplier UNION ALL SELECT 's' || p_partkey, 'net_' || p_partkey, 'Signal' FROM part),
+w AS MATERIALIZED (SELECT DISTINCT 'p' || l_suppkey AS src, 's' || l_partkey AS dst FROM lineitem WHERE l_partkey % 10 = l_suppkey % 10 UNION ALL SELECT 's' || p_partkey, 's' || (p_partkey // 2) FROM part WHERE p_partkey > 0)"""
+
+
+def _graph(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Regions instantiate nations, whose ports are suppliers, which meet parts; parts meet the part of half their number."""
+    name = lambda p, k: F.concat(F.lit(p), F.col(k).cast("string"))
+    nodes = [("region", "r", "chip_", "r_regionkey", "Module"), ("nation", "n", "block_", "n_nationkey", "Module"), ("supplier", "p", "port_", "s_suppkey", "Port"), ("part", "s", "net_", "p_partkey", "Signal")]
+    n = reduce(DataFrame.unionByName, [table(spark, d, t).select(name(p, k).alias("id"), name(q, k).alias("name"), F.lit(kind).alias("type")) for t, p, q, k, kind in nodes])
+    met = table(spark, d, "lineitem").where("l_partkey % 10 = l_suppkey % 10").select("l_suppkey", "l_partkey").distinct()
+    half = table(spark, d, "part").where("p_partkey > 0").withColumn("half", F.floor(F.col("p_partkey") / 2))
+    edges = [(table(spark, d, "nation"), "r", "n_regionkey", "n", "n_nationkey", "INSTANTIATES"), (table(spark, d, "supplier"), "n", "s_nationkey", "p", "s_suppkey", "HAS_PORT"), (met, "p", "l_suppkey", "s", "l_partkey", "CONNECTS_TO"), (half, "s", "p_partkey", "s", "half", "CONNECTS_TO")]
+    return n, reduce(DataFrame.unionByName, [t.select(name(p, a).alias("src"), name(q, b).alias("dst"), F.lit(kind).alias("type")) for t, p, a, q, b, kind in edges])
+
+
+def _exported(spark, d, scope, root, signal="", depth=3, most=graph.EXPORT_NODES):
+    nodes, edges, meta = graph.export(*_graph(spark, d), scope, root, depth, signal, most)
+    ends = edges.select(F.col("source").alias("id")).unionByName(edges.select(F.col("target").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
+    return nodes.join(ends, "id", "left").select("id", "label", "type", F.coalesce("degree", F.lit(0)).alias("degree"), F.lit(meta["edge_count"]).cast("long").alias("edges"), F.lit(meta["truncated"]).alias("truncated"))
+
+
+_DEGREES = "g AS MATERIALIZED (SELECT id, count(*) AS degree FROM (SELECT a AS id FROM e UNION ALL SELECT b FROM e) GROUP BY 1)"
+_EXPORTED = "SELECT v.id, v.label, v.type, coalesce(g.degree, 0)::BIGINT AS degree, (SELECT count(*) FROM e) AS edges, {truncated} AS truncated FROM v LEFT JOIN g ON g.id = v.id"
+
+
+@query("WITH " + _GRAPH + """, c AS (SELECT 'block_' || n_nationkey AS child, 'p' || s_suppkey AS p FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey WHERE n_regionkey = 2),
+e0 AS MATERIALIZED (SELECT DISTINCT 'chip_2' AS a, child AS b FROM c UNION ALL SELECT DISTINCT child, child || '.net_' || substr(w.dst, 2) FROM c JOIN w ON w.src = c.p),
+v0 AS (SELECT id, count(*) AS degree FROM (SELECT a AS id FROM e0 UNION ALL SELECT b FROM e0) GROUP BY 1), v1 AS MATERIALIZED (SELECT id FROM v0 ORDER BY degree DESC, id LIMIT 60),
+e AS MATERIALIZED (SELECT a, b FROM e0 WHERE a IN (SELECT id FROM v1) AND b IN (SELECT id FROM v1)), """ + _DEGREES + ", v AS (SELECT id, CASE WHEN contains(id, '.') THEN split_part(id, '.', 2) ELSE id END AS label, CASE WHEN contains(id, '.') THEN 'Signal' ELSE 'Module' END AS type FROM v1) " + _EXPORTED.format(truncated="(SELECT count(*) FROM v0) > 60"))
+def graph_export_chip(spark, d):
+    return _exported(spark, d, "chip", "chip_2", most=60)
+
+
+@query("WITH " + _GRAPH + """, p AS (SELECT 'p' || s_suppkey AS p FROM supplier WHERE s_nationkey = 3), e AS MATERIALIZED (SELECT 'block_3' AS a, 'block_3.port_' || substr(p, 2) AS b FROM p UNION ALL SELECT DISTINCT 'block_3.port_' || substr(p, 2), 'block_3.net_' || substr(w.dst, 2) FROM p JOIN w ON w.src = p.p), """ + _DEGREES + """,
+v AS (SELECT id, CASE WHEN contains(id, '.') THEN split_part(id, '.', 2) ELSE id END AS label, CASE WHEN contains(id, '.net_') THEN 'Signal' WHEN contains(id, '.') THEN 'Port' ELSE 'Module' END AS type FROM g) """ + _EXPORTED.format(truncated="false"))
+def graph_export_module(spark, d):
+    return _exported(spark, d, "module", "block_3", most=1_000_000)
+
+
+@query("WITH RECURSIVE " + _GRAPH + """, p AS (SELECT 'p' || s_suppkey AS p FROM supplier WHERE s_nationkey = 3 AND contains('port_' || s_suppkey, '7') AND 'p' || s_suppkey IN (SELECT src FROM w)),
+h(id, depth) AS (SELECT p, 0 FROM p UNION SELECT w.dst, depth + 1 FROM h JOIN w ON w.src = h.id WHERE depth < 4),
+x AS (SELECT DISTINCT w.src AS a, w.dst AS b FROM w JOIN h ON h.id = w.src AND depth < 4 UNION ALL SELECT 'n3', p FROM p), e AS MATERIALIZED (SELECT na.name AS a, nb.name AS b FROM x JOIN n na ON na.id = a JOIN n nb ON nb.id = b), """ + _DEGREES + """,
+v AS (SELECT name AS id, name AS label, type FROM n WHERE id IN (SELECT id FROM h) OR (id = 'n3' AND EXISTS (SELECT 1 FROM p))) """ + _EXPORTED.format(truncated="false"))
+def graph_export_signal(spark, d):
+    return _exported(spark, d, "signal", "block_3", "7", 4, 1_000_000)
+
+
+@query("""WITH c AS (SELECT 't' || p_partkey % 3 AS topic, replace(CASE p_partkey % 4 WHEN 0 THEN 'The Module "Unit ' || p_partkey % 60 || ' top" is here' WHEN 1 THEN 'port "p' || p_partkey % 40 || '-in" of it' WHEN 2 THEN 'see "P' || p_partkey % 30 || '-x" or "q"' ELSE 'Signal "sig_' || p_partkey % 20 || '" and Module "Unit 7 b"' END, '"', chr(39)) AS s, p_partkey % 10 / 10.0::DOUBLE AS confidence, 'd' || p_partkey % 7 AS created_at FROM part),
+d AS (SELECT conv_id, turn, 't' || conv_id % 3 AS topic, '{MODULE_UNIT_' || conv_id % 70 || '}' AS a, '{PORT_P' || turn % 45 || '}' AS b, '{SIGNAL_SIG_' || (conv_id + turn) % 25 || '}' AS c FROM conversations),
+k AS (SELECT DISTINCT topic, unnest([a, b, c]) AS token FROM d), p AS (SELECT topic, token, regexp_extract(token, '\\{([A-Z]+)_', 1) AS kind, lower(regexp_extract(token, '_(.*)\\}', 1)) AS part FROM k),
+n1 AS (SELECT p.topic, token, CASE kind WHEN 'MODULE' THEN regexp_extract(s, '[Mm]odule\\s+\\x27([^\\x27]+)\\x27', 1) WHEN 'PORT' THEN regexp_extract(s, '[Pp]ort\\s+\\x27([^\\x27]+)\\x27', 1) ELSE regexp_extract(s, '[Ss]ignal\\s+\\x27([^\\x27]+)\\x27', 1) END AS name, part, confidence, created_at FROM p JOIN c ON c.topic = p.topic),
+f AS (SELECT topic, token, name FROM n1 WHERE name <> '' AND contains(replace(lower(name), ' ', '_'), part) QUALIFY row_number() OVER (PARTITION BY topic, token ORDER BY confidence DESC, created_at DESC, name) = 1),
+n3 AS (SELECT p.topic, token, unnest(regexp_extract_all(s, '\\x27([^\\x27]+)\\x27', 1)) AS name, part, confidence, created_at FROM p JOIN c ON c.topic = p.topic),
+g AS (SELECT topic, token, name FROM n3 WHERE contains(replace(replace(lower(name), ' ', '_'), '-', '_'), part) QUALIFY row_number() OVER (PARTITION BY topic, token ORDER BY confidence DESC, created_at DESC, name) = 1),
+r AS (SELECT topic, token, coalesce(f.name, g.name, '<!-- NAME_RESOLUTION_FAILED: ' || token || ' -->') AS name, f.name IS NULL AND g.name IS NULL AS lost FROM k LEFT JOIN f USING (topic, token) LEFT JOIN g USING (topic, token))
+SELECT conv_id, turn, x.name || ' has ' || y.name || ' on ' || z.name || ', ' || x.name AS text, (x.lost::INT + y.lost::INT + z.lost::INT)::INT AS unresolved FROM d JOIN r x ON x.topic = d.topic AND x.token = a JOIN r y ON y.topic = d.topic AND y.token = b JOIN r z ON z.topic = d.topic AND z.token = c""")
+def placeholder_names(spark, d):
+    """Answers with placeholders against claims on parts."""
+    k = F.col("p_partkey")
+    m = lambda n: (k % n).cast("string")
+    said = F.when(k % 4 == 0, F.concat(F.lit("The Module 'Unit "), m(60), F.lit(" top' is here"))).when(k % 4 == 1, F.concat(F.lit("port 'p"), m(40), F.lit("-in' of it"))).when(k % 4 == 2, F.concat(F.lit("see 'P"), m(30), F.lit("-x' or 'q'"))).otherwise(F.concat(F.lit("Signal 'sig_"), m(20), F.lit("' and Module 'Unit 7 b'")))
+    c = table(spark, d, "part").select(F.concat(F.lit("t"), m(3)).alias("topic"), said.alias("statement"), (k % 10 / 10).alias("confidence"), F.concat(F.lit("d"), m(7)).alias("created_at"))
+    token = lambda kind, n: F.concat(F.lit("{" + kind), n.cast("string"), F.lit("}"))
+    a, b, z = token("MODULE_UNIT_", F.col("conv_id") % 70), token("PORT_P", F.col("turn") % 45), token("SIGNAL_SIG_", (F.col("conv_id") + F.col("turn")) % 25)
+    t = table(spark, d, "conversations").select(F.struct("conv_id", "turn").alias("k"), F.concat(F.lit("t"), (F.col("conv_id") % 3).cast("string")).alias("topic"), F.concat(a, F.lit(" has "), b, F.lit(" on "), z, F.lit(", "), a).alias("text"))
+    return verify.resolve_placeholders(t, c, key="k").select("k.conv_id", "k.turn", "text", F.size("unresolved").alias("unresolved"))

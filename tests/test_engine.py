@@ -82,8 +82,6 @@ def test_verification_and_marks(spark):
     assert {r.question_id: (r.claims, r.sources, r.conflict, r.fallback) for r in verified_answer(q, c).collect()} == {1: (1, 2, True, False), 2: (0, 0, False, True)}
     d = spark.createDataFrame([(1, "[FROM LLM] The east side is (0, 4). Fine."), (2, None)], "doc_id long, text string")
     assert [r.text for r in verify.scrub(d).orderBy("doc_id").collect()] == ["[FROM LLM] The east side is . Fine.", None]
-    p = verify.placeholders(spark.createDataFrame([(1, "{{Foo}} {{bar}}")], "doc_id long, text string"), spark.createDataFrame([("foo_a", "1", 0.5, 1), ("foo_b", "2", 0.9, 0)], "name string, value string, confidence double, created_at int"))
-    assert {r.token: r.value for r in p.collect()} == {"Foo": "2", "bar": None}
 
 
 def test_sources(spark, tmp_path):
