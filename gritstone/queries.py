@@ -395,12 +395,24 @@ def edc_ring(spark, d):
     return graph.ring(table(spark, d, "supplier"), "s_nationkey", "s_suppkey").select("s_suppkey", "part")
 
 
-_RES = [("a", "bucket", {"encrypted": "true", "owner": "x"}), ("b", "bucket", {"acl": "public-read"}), ("c", "function", {"memory_mb": "4096", "timeout_s": "900", "owner": "y"}), ("d", "ingress", {"cidr": "0.0.0.0/0", "owner": "z"})]
+#: Rules that a configuration made from a part breaks, how often, by what of it.
+_BROKEN = {
+    ("function_timeout_900", "warn"): "k % 50 * 20 > 900", ("function_timeout_600", "warn"): "k % 50 * 20 > 600", ("function_memory", "warn"): "size * 100 > 3008", ("memory_for_short", "warn"): "size * 100 >= 2048 AND k % 50 * 20 <= 60",
+    ("bucket_versioning", "deny"): "k % 2 = 1", ("bucket_name", "warn"): "k % 5 = 0", ("ingress_open", "deny"): "k % 4 = 0",
+} | {(n, "deny"): "true" for n in ("function_log_group", "bucket_encryption", "trail_missing", "providers_pinned", "budget_required")} | {
+    (n, "warn"): "true" for n in ("function_tracing", "reserved_concurrency", "lifecycle_policy", "lifecycle_tiering", "bucket_tiering", "bucket_classes", "alarms_missing", "two_providers", "budget_advised", "estimate")
+}
 
 
-@query("""SELECT * FROM (VALUES ('a', 'bucket_versioned', 'warn'), ('b', 'bucket_encrypted', 'deny'), ('b', 'bucket_private', 'deny'), ('b', 'bucket_versioned', 'warn'), ('b', 'owner_tag', 'warn'), ('c', 'function_memory', 'warn'), ('c', 'function_timeout', 'warn'), ('d', 'network_open', 'deny')) v(id, rule, level)""")
+@query("WITH p AS (SELECT p_partkey AS k, p_size AS size FROM part), r AS (" + " UNION ALL ".join(f"SELECT '{n}' AS rule, '{level}' AS level, count(*) FILTER ({test})::BIGINT AS n FROM p" for (n, level), test in _BROKEN.items()) + """
+UNION ALL SELECT 'required_tags', 'deny', sum(3 + CASE WHEN k % 3 = 0 THEN 2 ELSE 3 END)::BIGINT FROM p UNION ALL SELECT unnest(['cost_tag_CostCenter', 'cost_tag_Environment']), 'deny', 2 * count(*)::BIGINT FROM p) SELECT * FROM r WHERE n > 0""")
 def policy_eval(spark, d):
-    return policy.violations(spark.createDataFrame(_RES, "id string, type string, props map<string,string>"), policy.standard_rules()).drop("message")
+    """A configuration a part: a function, a bucket, a security group."""
+    k, f = F.col("p_partkey"), lambda x, y, c: F.when(c, F.lit(x)).otherwise(F.lit(y))
+    form = '{"resource":{"aws_lambda_function":{"fn_%d":{"memory_size":%d,"timeout":%d,"tags":{%s}}},"aws_s3_bucket":{"%s-%d":{"versioning":[{"enabled":%s}]}},"aws_security_group":{"g":{"ingress":[{"cidr_blocks":["10.0.0.0/8","%s"],"from_port":%d}]}}}}'
+    text = F.format_string(form, k, F.col("p_size") * 100, k % 50 * 20, f('"Project":"p"', "", k % 3 == 0), f("Bucket", "bucket", k % 5 == 0), k, f("true", "false", k % 2 == 0), f("0.0.0.0/0", "10.1.0.0/16", k % 4 == 0), F.col("p_size"))
+    found = policy.violations(table(spark, d, "part").select(k.alias("plan"), text.alias("config")))
+    return found.groupBy("rule", "level").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""SELECT event_id::VARCHAR AS query_id, event_type AS query_text, CASE WHEN event_id % 3 = 0 THEN 'unknown' ELSE 'vector' END AS search_type, (event_id % 1000)::INT AS response_time_ms, CASE WHEN event_id % 5 = 0 THEN 0 ELSE (event_id % 7)::INT END AS citation_count FROM events""")

@@ -117,8 +117,7 @@ def test_percentiles_are_nearest_rank(spark):
     assert list(metrics.percentiles(df, ["g"], "v").first()) == ["a", 5.0, 10.0, 10.0, 10]
 
 
-def test_policy_and_replies(spark):
-    assert {r.rule for r in policy.violations(spark.createDataFrame([("b", "bucket", {"owner": "x"})], "id string, type string, props map<string,string>"), policy.standard_rules()).collect()} == {"bucket_encrypted", "bucket_versioned"}
+def test_replies(spark):
     none = spark.createDataFrame([], "a int")
     assert (search.reply_state(none, True), search.reply_state(none, False)) == ("no_match", "not_found")
 
