@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import analyses, archive, blocks, chunk, claims, generate, graph, metrics, policy, records, rtl, search, spans, verify
+from .operators import analyses, archive, blocks, chunk, claims, generate, graph, metrics, policy, records, rejects, rtl, search, spans, verify
+from .streaming import jobs
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -940,3 +941,40 @@ def placeholder_names(spark, d):
     a, b, z = token("MODULE_UNIT_", F.col("conv_id") % 70), token("PORT_P", F.col("turn") % 45), token("SIGNAL_SIG_", (F.col("conv_id") + F.col("turn")) % 25)
     t = table(spark, d, "conversations").select(F.struct("conv_id", "turn").alias("k"), F.concat(F.lit("t"), (F.col("conv_id") % 3).cast("string")).alias("topic"), F.concat(a, F.lit(" has "), b, F.lit(" on "), z, F.lit(", "), a).alias("text"))
     return verify.resolve_placeholders(t, c, key="k").select("k.conv_id", "k.turn", "text", F.size("unresolved").alias("unresolved"))
+
+
+#: Events as moves of jobs; every seventh tells an older time.
+_MOVES = """j AS MATERIALIZED (SELECT event_id % 499 AS job_id, event_id AS seq, ['queued', 'running', 'done', 'failed', 'lost'][(event_id // 499 + event_id % 3 + event_id % 5 // 4) % 5 + 1] AS status, CASE WHEN event_id % 7 = 0 THEN ts - INTERVAL 2 DAY ELSE ts END AS at, event_type AS result, CASE WHEN event_id % 11 = 0 THEN 'e' || event_id END AS error FROM events)"""
+
+
+@query("WITH " + _MOVES + """, p AS (SELECT * FROM j WHERE status = 'queued' QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY seq) = 1),
+a AS (SELECT j.* FROM j JOIN p USING (job_id) WHERE j.seq > p.seq AND j.at >= p.at), f0 AS (SELECT * FROM a WHERE status = 'failed' QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY seq) = 1),
+r AS (SELECT a.* FROM a LEFT JOIN f0 USING (job_id) WHERE a.status = 'running' AND (f0.seq IS NULL OR a.seq < f0.seq) QUALIFY row_number() OVER (PARTITION BY a.job_id ORDER BY a.seq) = 1),
+e AS (SELECT a.* FROM a JOIN r USING (job_id) WHERE a.status IN ('done', 'failed') AND a.seq > r.seq AND a.at >= r.at QUALIFY row_number() OVER (PARTITION BY a.job_id ORDER BY a.seq) = 1),
+x AS (SELECT * FROM e UNION ALL SELECT * FROM f0 WHERE job_id NOT IN (SELECT job_id FROM r)), m AS (SELECT job_id, count(*) AS n FROM j GROUP BY 1)
+SELECT m.job_id, coalesce(x.status, r.status, p.status) AS status, p.at AS created_at, coalesce(x.at, r.at, p.at) AS updated_at, CASE WHEN x.job_id IS NOT NULL THEN x.result WHEN r.job_id IS NOT NULL THEN r.result ELSE p.result END AS result, CASE WHEN x.job_id IS NOT NULL THEN x.error WHEN r.job_id IS NOT NULL THEN r.error ELSE p.error END AS error,
+(p.job_id IS NOT NULL)::BIGINT + (r.job_id IS NOT NULL)::BIGINT + (x.job_id IS NOT NULL)::BIGINT AS accepted, n - ((p.job_id IS NOT NULL)::BIGINT + (r.job_id IS NOT NULL)::BIGINT + (x.job_id IS NOT NULL)::BIGINT) AS rejected
+FROM m LEFT JOIN p USING (job_id) LEFT JOIN r ON r.job_id = m.job_id LEFT JOIN x ON x.job_id = m.job_id""")
+def job_states(spark, d):
+    k = F.col("event_id")
+    status = F.get(F.array(*[F.lit(s) for s in ("queued", "running", "done", "failed", "lost")]), ((F.floor(k / 499) + k % 3 + F.floor(k % 5 / 4)) % 5).cast("int"))
+    at = F.when(k % 7 == 0, F.col("ts") - F.expr("INTERVAL 2 DAYS")).otherwise(F.col("ts"))
+    e = table(spark, d, "events").select((k % 499).alias("job_id"), k.alias("seq"), status.alias("status"), at.alias("at"), F.col("event_type").alias("result"), F.when(k % 11 == 0, F.concat(F.lit("e"), k.cast("string"))).alias("error"))
+    return jobs.job_table(e)
+
+
+@query("""WITH f AS (SELECT 'd' || doc_id AS file_path, text, CASE WHEN text IS NULL THEN 'ValueError: no content' WHEN doc_id % 10 = 3 THEN 'SyntaxError: module never ends' END AS reason FROM documents)
+SELECT 'row' AS kind, file_path, len(string_split(text, ' '))::BIGINT AS n, NULL AS reason FROM f WHERE reason IS NULL UNION ALL SELECT 'reject', file_path, NULL, reason FROM f WHERE reason IS NOT NULL""")
+def parse_log(spark, d):
+    """Documents as files, of which one in ten never ends: rows and rejects of one pass."""
+    end = F.when(F.col("doc_id") % 10 == 3, "").otherwise("\nendmodule")
+    files_ = table(spark, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"), F.concat("text", end).alias("content"))
+
+    def parse(text: str) -> list[tuple]:
+        body = text.removesuffix("\nendmodule")
+        if body == text:
+            raise SyntaxError("module never ends")
+        return [(len(body.split(" ")),)]
+
+    rows, bad, _ = rejects.parsed(files_, parse, "n long", F.current_timestamp())
+    return rows.select(F.lit("row").alias("kind"), "file_path", "n", F.lit(None).cast("string").alias("reason")).unionByName(bad.select(F.lit("reject").alias("kind"), "file_path", F.lit(None).cast("long").alias("n"), "reason"))
