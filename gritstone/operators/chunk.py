@@ -21,39 +21,54 @@ def by_lines(text: str, size: int = 2000) -> list[str]:
     return out + [now] if now else out
 
 
+def greedy(parts: list[str], size: int, carry: Callable[[str], str], shown: Callable[[str], str] = lambda c: c) -> list[str]:
+    """Parts go into a chunk while it stays within ``size``; the next begins with what ``carry`` keeps of it."""
+    out, now = [], ""
+    for part in parts:
+        if len(now) + len(part) <= size:
+            now += part
+        else:
+            out += [shown(now)] * bool(now)
+            now = (carry(now) if now else "") + part
+    return out + [shown(now)] * bool(now)
+
+
 def by_sentences(text: str, size: int = 1000, overlap: int = 100) -> list[str]:
-    """Sentences while they fit; the next chunk begins with the last ``overlap`` words."""
+    """Sentences while they fit, the space after one not counted; a chunk of more than ``overlap`` words leaves its
+    last ones to the next, a shorter one all of its text."""
+    parts = [s + " " for s in re.split(r"(?<=[.!?])\s+", text)]
     out, now = [], ""
-    for s in re.split(r"(?<=[.!?])\s+", text):
-        if now and len(now) + len(s) + 1 > size:
-            out.append(now)
-            now = " ".join(now.split()[-overlap:])
-        now = f"{now} {s}" if now else s
-    return out + [now] if now.strip() else out
+    for s in parts:
+        if now and len(now) + len(s) - 1 > size:
+            out.append(now.strip())
+            words = now.split()
+            now = (" ".join(words[-overlap:]) if len(words) > overlap else now) + " "
+        now += s
+    return [*out, now.strip()] if now else out
+
+
+# Where RTL is cut, in the order in which the words are tried.
+RTL_WORDS = ["module", "endmodule", "function", "endfunction", "task", "endtask"]
 
 
 def by_rtl(text: str, size: int = 2000, overlap: int = 200) -> list[str]:
-    """Cut before module, always, assign, function, task or generate."""
-    out, now = [], ""
-    for part in re.split(r"(?=\b(?:module|always|assign|function|task|generate)\b)", text):
-        if now and len(now) + len(part) > size:
-            out.append(now)
-            now = now[-overlap:]
-        now += part
-    return out + [now] if now.strip() else out
+    """Cut before and after six words, wherever they stand and however they are written; a chunk leaves its last
+    ``overlap`` characters to the next."""
+    return greedy(re.split(f"({'|'.join(RTL_WORDS)})", text, flags=re.IGNORECASE), size, lambda c: c[-overlap:] if overlap else "")
 
 
 def by_spec(text: str, size: int = 1500) -> list[str]:
-    """Cut only at a heading once the chunk is long; the heading before goes with it."""
-    out, now, head = [], [], ""
+    """Cut only at a heading, indented or not, once the chunk is longer than ``size``; the heading before stands
+    again at the beginning of the next chunk."""
+    out, now, head = [], "", ""
     for line in text.split("\n"):
-        if line.startswith("#"):
-            if sum(map(len, now)) + len(now) > size:
-                out.append("\n".join(now))
-                now = [head] if head else []
-            head = line
-        now.append(line)
-    return out + ["\n".join(now)] if "".join(now).strip() else out
+        heading = line.strip().startswith("#")
+        if heading and len(now) > size:
+            out.append(now)
+            now = head + "\n"
+        now += line + "\n"
+        head = line if heading else head
+    return [*out, now] if now else out
 
 
 def by_reference(text: str, size: int = 3000, overlap: int = 200, tail: int = 300) -> list[str]:

@@ -442,29 +442,45 @@ def text_should_search(spark, d):
     return search.should(table(spark, d, "documents"), "token", ["text", "source"]).select("doc_id", F.contains(F.lower("text"), F.lit("token")).alias("hit"), T.unresolved_latest(F.col("text")).alias("latest"))
 
 
-@query()
+#: The end of a chunker in SQL: x.out has the chunks that are full, x.now the last.
+_CHUNKED = "SELECT doc_id, generate_subscripts({all}, 1) - 1 AS chunk, unnest({all}) AS part FROM r"
+_SPACE = r"[\s\x0b\x1c-\x1f]+"
+
+
+@query(r"""WITH p AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[^\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]*(?:\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}])|[^\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]+'), lambda s: {'now': s, 'out': []::VARCHAR[]}) AS l FROM documents WHERE text <> ''),
+r AS (SELECT doc_id, list_reduce(l, lambda a, b: CASE WHEN length(a.now) + length(b.now) > 2000 THEN {'now': b.now, 'out': list_append(a.out, a.now)} ELSE {'now': a.now || b.now, 'out': a.out} END) AS x FROM p) """ + _CHUNKED.format(all="list_append(x.out, x.now)"))
 def chunk_lines(spark, d):
     return chunk.chunks(table(spark, d, "documents"), chunk.by_lines)
 
 
-@query()
+@query(rf"""WITH p AS (SELECT doc_id, list_transform(string_split(regexp_replace(text, '([.!?]){_SPACE}', '\1' || chr(1), 'g'), chr(1)), lambda s: {{'now': s || ' ', 'out': []::VARCHAR[]}}) AS l FROM documents WHERE text <> ''),
+r AS (SELECT doc_id, list_reduce(l, lambda a, b: CASE WHEN length(a.now) + length(b.now) - 1 > 1000 THEN {{'now': (CASE WHEN len(list_filter(regexp_split_to_array(a.now, '{_SPACE}'), lambda w: w <> '')) > 100 THEN array_to_string(list_filter(regexp_split_to_array(a.now, '{_SPACE}'), lambda w: w <> '')[-100:], ' ') ELSE a.now END) || ' ' || b.now, 'out': list_append(a.out, a.now)}} ELSE {{'now': a.now || b.now, 'out': a.out}} END) AS x FROM p),
+t AS (SELECT doc_id, list_transform(list_append(x.out, x.now), lambda c: regexp_replace(c, '^{_SPACE}|{_SPACE}$', '', 'g')) AS c FROM r) """ + _CHUNKED.format(all="c").replace("FROM r", "FROM t"))
 def chunk_sentences(spark, d):
     return chunk.chunks(table(spark, d, "documents"), chunk.by_sentences)
 
 
-@query()
+@query("""WITH RECURSIVE t AS MATERIALIZED (SELECT doc_id, text, length(text) AS n FROM documents WHERE text <> ''),
+e(doc_id, pos, stop, k) AS (SELECT doc_id, 0::BIGINT, NULL::BIGINT, 0 FROM t UNION ALL
+  SELECT t.doc_id, CASE WHEN c.stop >= n THEN NULL ELSE greatest(e.pos + 1, c.stop - 200) END, c.stop, k + 1 FROM e JOIN t USING (doc_id), LATERAL (SELECT CASE WHEN e.pos + 3000 >= n THEN n WHEN contains(substr(text, e.pos + 2701, 300), chr(10)) AND e.pos + 3000 - instr(reverse(substr(text, e.pos + 2701, 300)), chr(10)) > e.pos THEN e.pos + 3001 - instr(reverse(substr(text, e.pos + 2701, 300)), chr(10)) ELSE e.pos + 3000 END AS stop) c WHERE e.pos IS NOT NULL),
+c AS (SELECT a.doc_id, a.k, substr(text, a.pos + 1, b.stop - a.pos) AS part FROM e a JOIN e b ON b.doc_id = a.doc_id AND b.k = a.k + 1 JOIN t ON t.doc_id = a.doc_id)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS chunk, part FROM c WHERE regexp_matches(part, '[^\\s\\x0b\\x1c-\\x1f]')""")
 def chunk_reference(spark, d):
     return chunk.chunks(table(spark, d, "documents"), chunk.by_reference)
 
 
-@query()
+@query("""WITH p AS (SELECT doc_id, list_transform(string_split(regexp_replace(replace(text, '. ', '.' || chr(10) || 'EndModule; task t;' || chr(10) || 'module '), '(?i)(module|endmodule|function|endfunction|task|endtask)', chr(1) || '\\1' || chr(1), 'g'), chr(1)), lambda s: {'now': s, 'out': []::VARCHAR[]}) AS l FROM documents WHERE text <> ''),
+r AS (SELECT doc_id, list_reduce(l, lambda a, b: CASE WHEN length(a.now) + length(b.now) > 2000 THEN {'now': CASE WHEN a.now = '' THEN '' ELSE a.now[-200:] END || b.now, 'out': CASE WHEN a.now = '' THEN a.out ELSE list_append(a.out, a.now) END} ELSE {'now': a.now || b.now, 'out': a.out} END) AS x FROM p) """ + _CHUNKED.format(all="(CASE WHEN x.now = '' THEN x.out ELSE list_append(x.out, x.now) END)"))
 def chunk_rtl(spark, d):
-    return chunk.chunks(rendered(spark, d).select(F.xxhash64("path").alias("doc_id"), F.col("content").alias("text")), chunk.by_rtl)
+    text = F.replace("text", F.lit(". "), F.lit(".\nEndModule; task t;\nmodule "))
+    return chunk.chunks(table(spark, d, "documents").select("doc_id", text.alias("text")), chunk.by_rtl)
 
 
-@query()
+@query("""WITH l AS (SELECT doc_id, list_transform(string_split(replace(text, '. ', '.' || chr(10) || '  ## Part of '), chr(10)), lambda s: {'now': s || chr(10), 'head': CASE WHEN starts_with(trim(s, ' ' || chr(9) || chr(11) || chr(12) || chr(13)), '#') THEN s ELSE '' END, 'out': []::VARCHAR[]}) AS l FROM documents WHERE text <> ''),
+r AS (SELECT doc_id, list_reduce(l, lambda a, b: CASE WHEN b.head <> '' AND length(a.now) > 1500 THEN {'now': a.head || chr(10) || b.now, 'head': b.head, 'out': list_append(a.out, a.now)} ELSE {'now': a.now || b.now, 'head': CASE WHEN b.head <> '' THEN b.head ELSE a.head END, 'out': a.out} END) AS x FROM l) """ + _CHUNKED.format(all="list_append(x.out, x.now)"))
 def chunk_spec(spark, d):
-    return chunk.chunks(table(spark, d, "documents"), chunk.by_spec)
+    text = F.replace("text", F.lit(". "), F.lit(".\n  ## Part of "))
+    return chunk.chunks(table(spark, d, "documents").select("doc_id", text.alias("text")), chunk.by_spec)
 
 
 @query("""SELECT 'total' AS kind, '' AS value, count(*) AS n FROM supplier WHERE s_suppkey % 4 < 3

@@ -31,6 +31,15 @@ def test_chunks_lose_nothing(text, size):
     assert all(c.strip() for c in chunk.by_reference(text, size, size // 4, size // 3))
 
 
+def test_chunk_rules():
+    assert chunk.by_rtl("A Module b ENDMODULE c", 12, 4) == ["A Module b ", "e b ENDMODULE", "DULE c"]
+    assert chunk.by_rtl("x" * 30, 12, 4) == ["x" * 30] and chunk.by_rtl("ab task cd", 100) == ["ab task cd"] and chunk.by_rtl("", 5) == []
+    assert chunk.by_spec("intro text\n  # One\nlong line here\n## Two\nend", 10) == ["intro text\n", "\n  # One\nlong line here\n", "  # One\n## Two\nend\n"]
+    assert chunk.by_spec("a\n# b", 100) == ["a\n# b\n"]
+    assert chunk.by_sentences("A  b.  C d.", 100) == ["A  b. C d."] and chunk.by_sentences("One two. Three four. Five.", 15, 2) == ["One two.", "One two.  Three four.", "Three four. Five."]
+    assert chunk.by_sentences("a b c d e. f g.", 12, 2) == ["a b c d e.", "d e. f g."]
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.integers(0, 9), max_size=30), st.integers(1, 20))
 def test_packing_respects_the_limit(sizes, most):
