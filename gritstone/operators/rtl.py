@@ -287,11 +287,6 @@ def port_claims(modules: DataFrame, pipeline: str, fewest: int = 10) -> DataFram
     return one.unionByName(every).withColumns({"claim_id": F.substring(F.sha2(key, 256), 1, 16), "claim_type": F.lit("structural"), "topic": F.lit("TopLevelPorts")})
 
 
-def endpoint_grid(spark, size_x: int, size_y: int) -> DataFrame:
-    """P20: ep = x * size_y + y."""
-    return spark.range(size_x).select(F.col("id").alias("x")).select("x", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(size_y - 1).cast("long"))).alias("y")).withColumn("ep", F.col("x") * size_y + F.col("y"))
-
-
 def cdc_pairs(domains: DataFrame, group: str, domain: str) -> DataFrame:
     """Sorted pairs of the distinct domains of each group."""
     d = domains.groupBy(group).agg(F.array_sort(F.collect_set(domain)).alias("d")).where(F.size("d") > 1)

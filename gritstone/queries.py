@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import analyses, archive, blocks, chunk, claims, generate, graph, metrics, policy, records, rejects, rtl, search, spans, verify
+from .operators import analyses, archive, blocks, chunk, claims, emitters, generate, graph, metrics, policy, records, rejects, rtl, search, spans, verify
+from .plans.providers import WordEmbedder, embedded
+from .plans.rtl_search import rtl_search as searched
 from .streaming import jobs
 
 QUERIES: dict = {}
@@ -72,12 +74,16 @@ def query_type_classify(spark, d):
     return c.join(F.broadcast(known), "id").select("conv_id", "turn", "id", T.query_type(F.concat_ws(" ", "q", "text")).alias("query_type"))
 
 
-@query("""SELECT q || '/' || k AS of, w AS boost FROM (VALUES ('port_query', 4.0, 0.5, 2.0), ('hierarchy_query', 1.5, 3.0, 2.0), ('config_query', 4.0, 1.0, 2.0), ('connectivity_query', 4.0, 1.0, 2.0), ('general_query', 3.0, 1.0, 2.0), ('other', 3.0, 1.0, 2.0)) v(q, c, m, h),
-unnest(['claim', 'module_parse', 'hdd_section', 'x']) a(k), LATERAL (SELECT (CASE k WHEN 'claim' THEN c WHEN 'module_parse' THEN m WHEN 'hdd_section' THEN h ELSE 1.0 END)::DOUBLE AS w) l""")
+@query(f"""WITH t AS (SELECT conv_id, turn, lower(concat_ws(' ', q, text)) AS t, ['claim', 'module_parse', 'hdd_section', 'x'][conv_id % 4 + 1] AS kind FROM conversations, (VALUES {_QUESTION_SQL}) v(id, q, c) WHERE (conv_id + turn) % {len(_QUESTIONS)} = id),
+c AS (SELECT conv_id, turn, kind, CASE WHEN regexp_matches(t, '포트|port|input|output|인터페이스|axi|apb|clock|reset|clk') THEN [4.0, 0.5, 2.0] WHEN regexp_matches(t, '인스턴스|계층|hierarchy|instantiate|모듈 트리|instance|sub-module') THEN [1.5, 3.0, 2.0]
+WHEN regexp_matches(t, '파라미터|parameter|localparam|설정|크기|size') THEN [4.0, 1.0, 2.0] WHEN regexp_matches(t, '연결|topology|ring|chain|routing|generate|feedthrough') THEN [4.0, 1.0, 2.0] ELSE [3.0, 1.0, 2.0] END AS w FROM t)
+SELECT conv_id, turn, kind, coalesce(w[list_position(['claim', 'module_parse', 'hdd_section'], kind)], 1.0)::DOUBLE AS boost FROM c""")
 def dynamic_boost(spark, d):
-    kinds = F.explode(F.array(*[F.lit(k) for k in ("claim", "module_parse", "hdd_section", "x")])).alias("k")
-    of = spark.createDataFrame([(q,) for q in (*T.BOOSTS, "other")], "q string").select("q", kinds)
-    return of.select(F.concat_ws("/", "q", "k").alias("of"), T.boost_of(F.col("q"), F.col("k")).alias("boost"))
+    """The weight of a kind of record for the class of each turn."""
+    known = spark.createDataFrame([(i, q) for i, (q, _) in enumerate(_QUESTIONS)], "id int, q string")
+    c = table(spark, d, "conversations").withColumn("id", F.pmod(F.col("conv_id") + F.col("turn"), F.lit(len(_QUESTIONS))).cast("int")).join(F.broadcast(known), "id")
+    kind = F.get(F.array(*map(F.lit, ("claim", "module_parse", "hdd_section", "x"))), (F.col("conv_id") % 4).cast("int"))
+    return c.select("conv_id", "turn", kind.alias("kind"), T.boost_of(T.query_type(F.concat_ws(" ", "q", "text")), kind).alias("boost"))
 
 
 _TOK = "list_distinct(list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\x0b\\f\\r]+'), lambda w: w <> ''))"
@@ -170,14 +176,14 @@ def session_gap(spark, d):
     return e.withColumn("session", F.sum("fresh").over(w)).groupBy("user_id", "session").agg(F.count(F.lit(1)).alias("n"))
 
 
-_ANSWERS = [(1, "[GROUNDED from claim:a] x. [INFERRED] y. [INFERRED] z."), (2, "[GROUNDED from claim:b] only"), (3, "nothing"), (4, "[INFERRED] a [GROUNDED] b")]
-
-
-@query(f"""SELECT id, len(regexp_extract_all(t, '\\[GROUNDED')) AS n_grounded, len(regexp_extract_all(t, '\\[INFERRED')) AS n_inferred, round(coalesce(len(regexp_extract_all(t, '\\[INFERRED'))::DOUBLE / nullif(len(regexp_extract_all(t, '\\[INFERRED')) + len(regexp_extract_all(t, '\\[GROUNDED')), 0), 0), 4) AS inferred_ratio,
-round(coalesce(len(regexp_extract_all(t, '\\[INFERRED'))::DOUBLE / nullif(len(regexp_extract_all(t, '\\[INFERRED')) + len(regexp_extract_all(t, '\\[GROUNDED')), 0), 0), 4) > 0.5 AS warn
-FROM (VALUES {', '.join(str(a) for a in _ANSWERS)}) v(id, t)""")
+@query(r"""WITH a AS (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN '[GROUNDED from claim:' || conv_id || '] ' || replace(text, '. ', '. [INFERRED] ') WHEN 1 THEN replace(text, '. ', '. [GROUNDED] ') || ' [INFERRED] end' ELSE text END AS t FROM conversations WHERE text IS NOT NULL),
+n AS (SELECT conv_id, turn, len(regexp_extract_all(t, '\[GROUNDED')) AS n_grounded, len(regexp_extract_all(t, '\[INFERRED')) AS n_inferred FROM a), r AS (SELECT *, round(coalesce(n_inferred::DOUBLE / nullif(n_inferred + n_grounded, 0), 0), 4) AS inferred_ratio FROM n)
+SELECT *, inferred_ratio > 0.5 AS warn FROM r""")
 def grounding_ratio(spark, d):
-    return spark.createDataFrame(_ANSWERS, "id int, t string").select("id", *[c.alias(n) for n, c in T.grounding(F.col("t")).items()])
+    """Turns as answers, with marks where sentences begin."""
+    t = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("[GROUNDED from claim:"), F.col("conv_id").cast("string"), F.lit("] "), F.replace("text", F.lit(". "), F.lit(". [INFERRED] "))))
+    t = t.when(F.col("turn") % 3 == 1, F.concat(F.replace("text", F.lit(". "), F.lit(". [GROUNDED] ")), F.lit(" [INFERRED] end"))).otherwise(F.col("text"))
+    return table(spark, d, "conversations").where("text is not null").select("conv_id", "turn", *[c.alias(n) for n, c in T.grounding(t).items()])
 
 
 @query("""WITH s AS (SELECT conv_id, trim(unnest(regexp_extract_all(text, '[^.!?。\\n]+[.!?。]*'))) AS s FROM conversations WHERE text IS NOT NULL)
@@ -371,9 +377,15 @@ def signal_path_edges(spark, d):
     return graph.breakdown(rtl.signal_edges(rtl.parsed(rendered(spark, d))), "type")
 
 
-@query("SELECT x, y, x * 5 + y AS ep FROM range(4) a(x), range(5) b(y)")
+_TILE = "CASE " + " ".join(f"WHEN x = {a} AND y = {b} THEN '{k}'" for (a, b), k in emitters.TILES.items()) + " WHEN y <= 2 THEN 'TENSIX' ELSE 'UNKNOWN' END"
+
+
+@query(f"""WITH s AS (SELECT p_partkey, p_size % 5 AS nx, p_partkey % 7 AS ny FROM part), c AS (SELECT p_partkey, ny, unnest(range(0, nx * ny)) AS ep FROM s WHERE nx > 0 AND ny > 0), g AS (SELECT p_partkey, ep // ny AS x, ep % ny AS y, ep FROM c)
+SELECT p_partkey, x, y, ep, {_TILE} AS tile_type FROM g""")
 def endpoint_grid(spark, d):
-    return rtl.endpoint_grid(spark, 4, 5)
+    """A grid a part."""
+    sizes = table(spark, d, "part").select("p_partkey", (F.col("p_size") % 5).alias("nx"), (F.col("p_partkey") % 7).alias("ny"))
+    return emitters.endpoint_grid(sizes, "p_partkey", "nx", "ny")[0]
 
 
 @query("""SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN (p_size + 3) * 2 - 1 WHEN 1 THEN ceil(log2(p_size))::BIGINT WHEN 2 THEN p_size << 2 WHEN 3 THEN NULL ELSE p_size // 2 + 16 END AS width,
@@ -994,3 +1006,45 @@ def parse_log(spark, d):
 
     rows, bad, _ = rejects.parsed(files_, parse, "n long", F.current_timestamp())
     return rows.select(F.lit("row").alias("kind"), "file_path", "n", F.lit(None).cast("string").alias("reason")).unionByName(bad.select(F.lit("reject").alias("kind"), "file_path", F.lit(None).cast("long").alias("n"), "reason"))
+
+
+_ASKED = ["which port has the clock", "la data de les modules et plus", "x"]
+_VECTOR = "list_transform(range(0, 16), lambda i: len(list_filter(list_transform(list_filter(string_split(lower({t}), ' '), lambda w: w <> ''), lambda w: (31 * unicode(w) + length(w)) % 16), lambda b: b = i))::DOUBLE)"
+
+
+@query(f"""WITH q AS (SELECT n, question, {_VECTOR.format(t='question')} AS v FROM (VALUES {', '.join(f"({n}, '{q}')" for n, q in enumerate(_ASKED))}) x(n, question)),
+d AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS text, lang, ['claim', 'hdd_section', 'module_parse', 'signal_path_edge', 'other'][doc_id % 5 + 1] AS kind, {_VECTOR.format(t="coalesce(text, '')")} AS v FROM documents WHERE lang = 'fr'),
+s AS (SELECT n, question, doc_id, kind, text, lang, round(list_cosine_similarity(d.v, q.v), 6) AS score FROM d, q WHERE list_sum(d.v) > 0),
+f AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY score DESC, doc_id) AS r, CASE kind WHEN 'claim' THEN 'claim:' || substr(text, 1, 200) WHEN 'hdd_section' THEN 'hdd:' || lang || ':' || substr(text, 1, 4) WHEN 'module_parse' THEN 'mp:m' || doc_id % 50 WHEN 'signal_path_edge' THEN 'spe:' || doc_id % 30 || doc_id % 20 ELSE 'other:m' || doc_id % 50 || 'f' || doc_id % 40 END AS same FROM s QUALIFY r <= 30),
+b AS (SELECT *, doc_id % 7 = 0 AS used, round(CASE WHEN doc_id % 7 = 0 THEN score * 2 ELSE score END, 6) AS boosted FROM f), o AS (SELECT *, row_number() OVER (PARTITION BY n, same ORDER BY boosted DESC, used DESC, r) AS k FROM b)
+SELECT question, CASE n WHEN 0 THEN 'port_query' ELSE 'general_query' END AS query_type, row_number() OVER (PARTITION BY n ORDER BY boosted DESC, used DESC, r)::INT AS rank, doc_id, boosted AS score FROM o WHERE k = 1 QUALIFY rank <= 10""")
+def rtl_search(spark, d):
+    """Questions against documents as records of five kinds, vectors by the default provider."""
+    k, s = F.col("doc_id"), lambda c: c.cast("string")
+    text = F.coalesce("text", F.lit(""))
+    kind = F.get(F.array(*map(F.lit, ("claim", "hdd_section", "module_parse", "signal_path_edge", "other"))), (k % 5).cast("int"))
+    index = table(spark, d, "documents").select(
+        "doc_id", "lang", kind.alias("analysis_type"), text.alias("claim_text"), F.col("lang").alias("topic"), F.substring(text, 1, 4).alias("hdd_section_title"), F.concat(F.lit("m"), s(k % 50)).alias("module_name"), F.lit("").alias("sub_record_type"),
+        F.lit("e").alias("edge_type"), s(k % 30).alias("src"), s(k % 20).alias("dst"), F.concat(F.lit("a/f"), s(k % 40)).alias("file_path"), (k % 7 == 0).alias("used_in_n1"), embedded(text, WordEmbedder).alias("embedding"),
+    )
+    return searched(index, _ASKED, WordEmbedder, "doc_id", 10, lang="fr").select("question", "query_type", "rank", "doc_id", "score")
+
+
+@query("""WITH g AS (SELECT s_nationkey AS n, count(*) AS c, count(*) FILTER (s_suppkey % 2 = 0) AS even FROM supplier GROUP BY 1)
+SELECT 'pkg' || n AS module_name, 'PackageConfig' AS topic, 1 + c + 2 + c AS n FROM g UNION ALL SELECT 'pkg' || n, 'PackageFunction', c FROM g UNION ALL SELECT 'm' || n, 'TopLevelParameter', 1 + even FROM g
+UNION ALL SELECT 'm' || n, 'WireTopology', c FROM g UNION ALL SELECT 'm' || n, 'InstanceParameter', c FROM g UNION ALL SELECT 'm' || n, 'PortBinding', c FROM g UNION ALL SELECT 'm' || n, 'Hierarchy', 1 FROM g""")
+def rtl_claim_table(spark, d):
+    """A package and a module a nation, with a constant, a function, a wire and an instance a supplier."""
+    n = F.col("s_suppkey").cast("string")
+    say = lambda *x: F.concat(*[F.lit(c) if isinstance(c, str) else c for c in x])
+    each = {
+        "constants": say("localparam int A", n, " = ", n, ";\ntypedef enum logic { P", n, ", Q } e", n, "_t;\n"), "functions": say("function int f", n, "(int a);\n return a;\nendfunction\n"),
+        "params": F.when(F.col("s_suppkey") % 2 == 0, say("parameter B", n, " = ", n, ";\n")).otherwise(""), "wires": say("wire x_t w", n, "[4][", n, "];\n"), "inst": say("sub #(.N(", n, ")) u", n, " (.a(s", n, "));\n"),
+    }
+    g = table(spark, d, "supplier").groupBy("s_nationkey").agg(*[F.array_join(F.collect_list(c), "").alias(k) for k, c in each.items()])
+    k = F.col("s_nationkey").cast("string")
+    package = say("package pkg", k, ";\n", F.col("constants"), "parameter W = 2;\n parameter V = 3;\n", F.col("functions"), "endpackage\n")
+    module = say("module m", k, " #(parameter H = 1) (input clk);\n", F.col("params"), F.col("wires"), F.col("inst"), "if (E) begin : g\nend\nendmodule\n")
+    files = g.select(F.explode(F.array(F.struct(say("p", k).alias("path"), package.alias("content")), F.struct(say("m", k).alias("path"), module.alias("content")))).alias("f")).select("f.*")
+    modules = files.where("path like 'm%'")
+    return emitters.rtl_claims(files, rtl.parsed(modules), "pipe").groupBy("module_name", "topic").agg(F.count(F.lit(1)).alias("n"))
