@@ -31,9 +31,9 @@ WORD = r"\p{L}{3,}+"
 PRIOR = 3.0  # texts that the back-off weighs
 MIN_SHARE = 0.5  # smoothed probability of the entity given the term
 MIN_BITS = 4.0
-#: Most bytes of the filter of disclosing terms that rows carry, eight a term below that. As it fills more rows are
-#: shuffled, results stay exact.
-FILTER_CELLS = 1 << 18
+#: Most bytes of the filter of disclosing terms that rows carry; below that 64 a term, and at least 2^16, so that one
+#: word in 64 at most passes by chance. As it fills more rows are shuffled, results stay exact.
+FILTER_CELLS = 1 << 20
 #: Stands around words while a text is cut; where a text has it itself a space stands instead, no letter either.
 MARK = "\x01"
 
@@ -149,7 +149,7 @@ def _cell(term: Column, size: int) -> Column:
 
 def term_spans(found: DataFrame, terms: DataFrame) -> DataFrame:
     """text_key, terms: array of (start, kind order, kind, end) of all occurrences of the terms (column term)."""
-    size = min(FILTER_CELLS, 1 << max(12, (8 * terms.count()).bit_length()))
+    size = min(FILTER_CELLS, 1 << max(16, (64 * terms.count()).bit_length()))
     cells = [0] * size
     for row in terms.select(_cell(F.col("term"), size).alias("at")).distinct().toLocalIterator():
         cells[row["at"]] = 1
