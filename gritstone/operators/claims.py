@@ -46,23 +46,26 @@ def update_status(claims: DataFrame, changes: DataFrame, clock: Column) -> DataF
     return now.withColumns({"version": F.col("version") + 1, "status": F.col("new_status"), "approval_status": F.when(F.col("new_status") == "verified", "pending_review").otherwise(F.col("approval_status")), "updated_at": clock}).select(claims.columns)
 
 
-def pairs_alike(df: DataFrame, group: str, key: str, text: str, least: float) -> DataFrame:
-    """Pairs of one group at or above a Jaccard similarity of tokens.
+def pairs_alike(df: DataFrame, group: str, key: str, text: str, least: float, side: str | None = None) -> DataFrame:
+    """Pairs of one group at or above a Jaccard similarity of tokens; with ``side``, of rows that differ in
+    that column alone, and keys tell sides apart.
 
     Words are 64-bit hashes. Those of a row are put rarest first, by how many rows of the group hold them; two rows
     that reach the similarity share one of the first n - ceil(least * n) + 1, at places that leave enough to come.
     Only these postings meet; the sets are fetched once for the pairs that are left."""
     words = F.transform(T.tokens(F.col(text)), lambda w: F.xxhash64(w))
-    rows = df.select(group, key, F.explode(words).alias("w"))
+    own = [side] if side else []
+    rows = df.select(group, key, *own, F.explode(words).alias("w"))
     often = rows.groupBy(group, "w").agg(F.count(F.lit(1)).alias("df"))
-    rows = rows.join(often, [group, "w"]).groupBy(group, key).agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("t"))
-    rows = rows.select(group, key, F.transform("t", lambda x: x["w"]).alias("t"), F.size("t").alias("n"))
+    rows = rows.join(often, [group, "w"]).groupBy(group, key, *own).agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("t"))
+    rows = rows.select(group, key, *own, F.transform("t", lambda x: x["w"]).alias("t"), F.size("t").alias("n"))
     head = F.slice("t", 1, (F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1).cast("int"))
-    prefix = rows.select(group, key, "n", F.posexplode(head).alias("pos", "w"))
+    prefix = rows.select(group, key, *own, "n", F.posexplode(head).alias("pos", "w"))
     a, b = prefix.alias("a"), prefix.alias("b")
     left = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos"))
     may = (F.col("a.n") >= least * F.col("b.n")) & (F.col("b.n") >= least * F.col("a.n")) & (left >= least / (1 + least) * (F.col("a.n") + F.col("b.n")) - 1e-6)
     same = (F.col(f"a.{group}") == F.col(f"b.{group}")) & (F.col("a.w") == F.col("b.w")) & (F.col(f"a.{key}") < F.col(f"b.{key}"))
+    same = same & (F.col(f"a.{side}") != F.col(f"b.{side}")) if side else same
     near = a.join(b, same & may).select(F.col(f"a.{group}").alias(group), F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b")).distinct()
     near = near.join(rows.select(F.col(key).alias("a"), F.col("t").alias("ta")), "a").join(rows.select(F.col(key).alias("b"), F.col("t").alias("tb")), "b")
     return near.withColumn("score", T.jaccard(F.col("ta"), F.col("tb"))).where(F.col("score") >= least).select(group, "a", "b", F.round("score", 6).alias("score"))
@@ -124,8 +127,47 @@ def publish_gate(df: DataFrame) -> DataFrame:
 
 
 def cascade(claims: DataFrame, deprecated: DataFrame) -> DataFrame:
-    """Ids of claims derived from deprecated ones, one level."""
-    return claims.where("status <> 'deprecated'").select("claim_id", F.explode("derived_from").alias("claim")).join(deprecated.select(F.col("claim_id").alias("claim")), "claim", "left_semi").select("claim_id").distinct()
+    """Claims derived from a deprecated one (claim_id), one level, become conflicted; those that are deprecated
+    themselves stay. The rows that change."""
+    gone = deprecated.select(F.col("claim_id").alias("_from")).distinct()
+    hit = claims.where("status <> 'deprecated'").select("claim_id", "version", F.explode("derived_from").alias("_from")).join(gone, "_from", "left_semi").select("claim_id", "version").distinct()
+    return claims.join(hit, ["claim_id", "version"], "left_semi").withColumn("status", F.lit("conflicted")).select(claims.columns)
+
+
+#: Similarity of statements of one topic from which they count as contradicting.
+CONTRADICTS = 0.7
+
+
+def create(new: DataFrame, claims: DataFrame, clock: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """L1, L4: (created, conflicted, refused). ``new`` and ``claims`` have claim_id, topic, variant, statement,
+    confidence, evidence (array of source_chunk, chunk_hash, extraction_date) and derived_from; ``claims`` also version, status.
+
+    New claims that keep the rules are drafts of version 1; evidence gets the hash of its text and the date if it has
+    none. Verified newest claims of the same topic whose statement is too much alike become conflicted, and the new
+    claim derives from them. A claim that breaks a rule, or whose id is there or stands twice, is refused with the reasons."""
+    known = claims.select("claim_id").distinct().withColumn("_there", F.lit(True))
+    twice = new.groupBy("claim_id").agg(F.count(F.lit(1)).alias("_n"))
+    judged = new.join(known, "claim_id", "left").join(twice, "claim_id", "left")
+    broken = errors(F.col("statement"), F.col("topic"), F.col("confidence"), F.coalesce(F.size("evidence"), F.lit(0)))
+    broken = F.concat(broken, F.when(F.coalesce("_there", F.lit(False)) | (F.coalesce("_n", F.lit(1)) > 1), F.array(F.lit("claim_id"))).otherwise(F.array().cast("array<string>")))
+    judged = stored(judged.withColumn("errors", broken).drop("_there", "_n"), "judged")
+    good = judged.where(F.size("errors") == 0).drop("errors")
+    old = stored(latest(claims).where("status = 'verified'"), "verified")
+    side = lambda df, s: df.select("topic", F.struct(F.lit(s).alias("side"), F.col("claim_id").cast("string").alias("id")).alias("k"), F.lit(s).alias("side"), "statement")
+    pairs = pairs_alike(side(good, 0).unionByName(side(old, 1)), "topic", "k", "statement", CONTRADICTS, "side")
+    pairs = stored(pairs.select(F.col("a.id").alias("new_id"), F.col("b.id").alias("old_id")), "contradictions")
+    links = pairs.groupBy(F.col("new_id").alias("_id")).agg(F.array_sort(F.collect_set("old_id")).alias("_against"))
+    fill = lambda e: e.withField("chunk_hash", F.coalesce(F.when(e["chunk_hash"] != "", e["chunk_hash"]), F.sha2(F.coalesce(e["source_chunk"], F.lit("")).cast("binary"), 256))).withField("extraction_date", F.coalesce(e["extraction_date"], clock.cast("string")))
+    variant = F.coalesce("variant", F.lit("default"))
+    made = good.join(links, good["claim_id"].cast("string") == links["_id"], "left")
+    none = F.array().cast("array<string>")
+    made = made.select(
+        "claim_id", F.lit(1).cast("long").alias("version"), "topic", "statement", F.transform("evidence", fill).alias("evidence"), "confidence", F.lit("draft").alias("status"), variant.alias("variant"), F.concat("topic", F.lit("#"), variant).alias("topic_variant"),
+        F.lit(True).alias("is_latest"), F.concat(F.coalesce("derived_from", none), F.coalesce("_against", none)).alias("derived_from"), clock.alias("created_at"), F.lit("not_applicable").alias("approval_status"),
+    )
+    hit = pairs.select(F.col("old_id").alias("_id")).distinct()
+    changed = old.join(hit, old["claim_id"].cast("string") == hit["_id"], "left_semi").withColumn("status", F.lit("conflicted"))
+    return made, changed, judged.where(F.size("errors") > 0)
 
 
 def reviewed(claims: DataFrame, decisions: DataFrame, clock: Column) -> DataFrame:

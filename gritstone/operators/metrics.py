@@ -84,9 +84,3 @@ def cost(usage: DataFrame, service: str, volume: str, unit_price: str) -> DataFr
     """Price times volume by service, cut to two decimals."""
     amount = F.sum(F.col(volume).cast("decimal(20,4)") * F.col(unit_price).cast("decimal(12,6)"))
     return usage.groupBy(service).agg((F.floor(amount * 100) / 100).cast("decimal(20,2)").alias("cost"))
-
-
-def skip_check(df: DataFrame, skipped: Column, parsed: Column, nodes: Column) -> DataFrame:
-    """Too many records skipped (over 0.30), and modules parsed of which no node was made."""
-    ratio = share(F.count_if(skipped), F.count(F.lit(1)))
-    return df.agg(ratio.alias("skip_ratio"), (ratio > 0.30).alias("too_many"), ((F.sum(parsed) > 0) & (F.sum(nodes) == 0)).alias("mismatch"))

@@ -11,6 +11,7 @@ from .functions import text as T
 from .operators import analyses, archive, blocks, chunk, claims, emitters, generate, graph, metrics, policy, records, rejects, rtl, search, spans, verify
 from .plans.providers import WordEmbedder, embedded
 from .plans.rtl_search import rtl_search as searched
+from .sources import files
 from .streaming import jobs
 
 QUERIES: dict = {}
@@ -1048,3 +1049,108 @@ def rtl_claim_table(spark, d):
     files = g.select(F.explode(F.array(F.struct(say("p", k).alias("path"), package.alias("content")), F.struct(say("m", k).alias("path"), module.alias("content")))).alias("f")).select("f.*")
     modules = files.where("path like 'm%'")
     return emitters.rtl_claims(files, rtl.parsed(modules), "pipe").groupBy("module_name", "topic").agg(F.count(F.lit(1)).alias("n"))
+
+
+_NEW = """t AS MATERIALIZED (SELECT doc_id, text, lang || '/' || doc_id % 2 AS topic, doc_id % 4 = 0 AND length(text) BETWEEN 10 AND 500 AS fresh, doc_id % 4 <> 0 AND doc_id % 3 <> 1 AS old FROM documents WHERE lang IS NOT NULL),
+w AS MATERIALIZED (SELECT *, {tok} AS t FROM t), p AS (SELECT a.doc_id AS n, b.doc_id AS o FROM w a JOIN w b ON a.fresh AND b.old AND a.topic = b.topic AND len(a.t) > 0 AND len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t)))::DOUBLE >= 0.7)""".format(tok=_TOK)
+
+
+@query("WITH " + _NEW + """ SELECT 'new' AS kind, doc_id, 'draft' AS status, coalesce((SELECT string_agg(o::VARCHAR, ',' ORDER BY o::VARCHAR) FROM p WHERE n = doc_id), '') AS against, sha256(text) AS hash FROM t WHERE fresh
+UNION ALL SELECT DISTINCT 'old', o, 'conflicted', '', '' FROM p UNION ALL SELECT 'refused', doc_id, '', 'statement', '' FROM t WHERE doc_id % 4 = 0 AND NOT fresh""")
+def claims_created(spark, d):
+    """Every fourth document is a new claim of its language's topics; two thirds of the others stand verified."""
+    e = F.array(F.struct(F.col("text").alias("source_chunk"), F.lit(None).cast("string").alias("chunk_hash"), F.lit(None).cast("string").alias("extraction_date")))
+    docs = table(spark, d, "documents").where("lang is not null").select(F.col("doc_id").alias("claim_id"), F.concat("lang", F.lit("/"), (F.col("doc_id") % 2).cast("string")).alias("topic"), F.lit(None).cast("string").alias("variant"), F.col("text").alias("statement"), F.lit(0.5).alias("confidence"), e.alias("evidence"), F.array().cast("array<string>").alias("derived_from"))
+    k = F.col("claim_id")
+    old = docs.where(k % 4 != 0).withColumns({"version": F.lit(1), "status": F.when(k % 3 == 1, "draft").otherwise("verified")})
+    made, changed, refused = claims.create(docs.where(k % 4 == 0), old, F.lit("2024-01-01"))
+    out = made.select(F.lit("new").alias("kind"), k.alias("doc_id"), "status", F.array_join("derived_from", ",").alias("against"), F.col("evidence")[0]["chunk_hash"].alias("hash"))
+    out = out.unionByName(changed.select(F.lit("old").alias("kind"), k.alias("doc_id"), "status", F.lit("").alias("against"), F.lit("").alias("hash")))
+    return out.unionByName(refused.select(F.lit("refused").alias("kind"), k.alias("doc_id"), F.lit("").alias("status"), F.array_join("errors", ",").alias("against"), F.lit("").alias("hash")))
+
+
+@query("""WITH c AS (SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'deprecated' ELSE 'verified' END AS status, [o_orderkey - 1, o_orderkey - 7] AS f FROM orders), g AS (SELECT o_orderkey AS k FROM c WHERE status = 'deprecated' AND o_orderkey % 2 = 0)
+SELECT o_orderkey AS claim_id, 'conflicted' AS status FROM c WHERE status <> 'deprecated' AND (f[1] IN (SELECT k FROM g) OR f[2] IN (SELECT k FROM g))""")
+def claims_cascade(spark, d):
+    k = F.col("o_orderkey")
+    c = table(spark, d, "orders").select(k.alias("claim_id"), F.lit(1).alias("version"), F.when(F.col("o_orderstatus") == "P", "deprecated").otherwise("verified").alias("status"), F.array(k - 1, k - 7).alias("derived_from"))
+    return claims.cascade(c, c.where("status = 'deprecated' and claim_id % 2 = 0")).select("claim_id", "status")
+
+
+@query("SELECT 't' || o_custkey % 50 AS topic, bool_and(o_orderkey % 9 > 0) AS open FROM orders WHERE o_orderstatus = 'F' GROUP BY 1")
+def publish_gates(spark, d):
+    k = F.col("o_orderkey")
+    o = table(spark, d, "orders").select(F.concat(F.lit("t"), (F.col("o_custkey") % 50).cast("string")).alias("topic"), F.when(F.col("o_orderstatus") == "F", "verified").otherwise("draft").alias("status"), F.when(k % 9 > 0, "approved").otherwise("pending_review").alias("approval_status"))
+    return claims.publish_gate(o)
+
+
+@query(_VERSIONS + " SELECT o_custkey AS claim_id, array_to_string((['a', 'b', 'c'])[1:o_orderkey % 4], ',') AS evidence, least(o_orderkey % 4, 3)::INT AS evidence_count FROM o WHERE back = 1")
+def claim_evidence(spark, d):
+    return claims.evidence_of(_versions(spark, d)).withColumn("evidence", F.array_join("evidence", ","))
+
+
+@query("SELECT n_nationkey AS module_name, coalesce((SELECT string_agg(DISTINCT 'p' || s_suppkey % 4, ',' ORDER BY 'p' || s_suppkey % 4) FROM supplier WHERE s_nationkey = n_nationkey AND s_suppkey % 3 = 0), '') AS ports FROM nation")
+def modules_with_ports(spark, d):
+    p = table(spark, d, "supplier").where("s_suppkey % 3 = 0").select(F.col("s_nationkey").alias("module_name"), F.concat(F.lit("p"), (F.col("s_suppkey") % 4).cast("string")).alias("port"))
+    return records.with_ports(table(spark, d, "nation").select(F.col("n_nationkey").alias("module_name")), p).withColumn("ports", F.array_join("ports", ","))
+
+
+@query("SELECT s_suppkey, s_nationkey AS module_name FROM supplier WHERE s_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_custkey % 97 = 0)")
+def automatic_claims(spark, d):
+    by_hand = table(spark, d, "customer").where("c_custkey % 97 = 0").select(F.col("c_nationkey").alias("module_name"))
+    return records.without_manual(table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("module_name")), by_hand)
+
+
+@query("""WITH x AS (SELECT 's' || s_suppkey AS id, 'n' || n_nationkey AS b, 'r' || n_regionkey AS c, s_suppkey, n_nationkey, n_regionkey FROM supplier JOIN nation ON n_nationkey = s_nationkey)
+SELECT id, CASE WHEN s_suppkey % 5 = 0 THEN 'own' WHEN n_nationkey % 2 = 0 THEN 'block' ELSE 'chip' END AS topic FROM x WHERE s_suppkey % 5 = 0 OR n_nationkey % 2 = 0 OR n_regionkey % 2 = 0""")
+def inherited_topics(spark, d):
+    """A supplier below its nation and region, of which every other has a topic."""
+    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    s = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("n_nationkey") == F.col("s_nationkey"))
+    tree = s.select(name("s", "s_suppkey").alias("id"), F.array(name("r", "n_regionkey"), name("n", "n_nationkey"), name("s", "s_suppkey")).alias("path"))
+    t = [("supplier", "s", "s_suppkey", 5, "own"), ("nation", "n", "n_nationkey", 2, "block"), ("region", "r", "r_regionkey", 2, "chip")]
+    return graph.inherited_topic(tree, reduce(DataFrame.unionByName, [table(spark, d, x).where(F.col(k) % m == 0).select(name(p, k).alias("id"), F.lit(topic).alias("topic")) for x, p, k, m, topic in t]))
+
+
+@query("SELECT DISTINCT l_orderkey AS src, l_partkey AS dst, l_returnflag AS type FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') AND l_partkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
+def edges_with_both_ends(spark, d):
+    nodes = table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("id"))
+    return graph.upsert_edges(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"), F.col("l_returnflag").alias("type")), nodes)
+
+
+@query("""SELECT doc_id, (length(text) // 4)::BIGINT AS tokens, length(substr(text, 1, 300))::INT AS cut, (length(substr(text, 1, 500)) - length(replace(substr(text, 1, 500), chr(10), '')) + 1)::INT AS line, CASE WHEN doc_id % 3 = 0 THEN 'manual_upload' ELSE 'archive_md' END AS source FROM documents""")
+def text_measures(spark, d):
+    """Tokens, a cut to a hundred, the line of an offset and the source of each document."""
+    source = F.when(F.col("doc_id") % 3 == 0, "elsewhere").otherwise(T.SOURCES[0])
+    return table(spark, d, "documents").select("doc_id", T.estimate_tokens(F.col("text")).alias("tokens"), F.length(T.truncate_tokens(F.col("text"), 100)).alias("cut"), T.line_of(F.col("text"), F.lit(500)).alias("line"), T.valid_source(source).alias("source"))
+
+
+@query("SELECT page_id, url FROM pages WHERE page_id > 17 AND lower(split_part(url, ':', 1)) = 'http' ORDER BY page_id LIMIT 25")
+def page_of_pages(spark, d):
+    """The page of 25 rows after a key, of rows whose scheme is asked for in other letters."""
+    p = table(spark, d, "pages").withColumn("scheme", F.split("url", ":")[0])
+    return search.page_after(search.same_metadata(p, scheme="HTTP", lang=None), "page_id", 17, 25).select("page_id", "url")
+
+
+@query("""SELECT '## ' || o_orderpriority || ' (' || count(*) || ')' || chr(10) || array_to_string(list_transform(list_sort(list(DISTINCT 'c' || o_custkey))[1:20], lambda x: '- ' || x), chr(10)) AS markdown, o_orderpriority FROM orders GROUP BY o_orderpriority""")
+def priority_report(spark, d):
+    return files.markdown_report(table(spark, d, "orders").select("o_orderpriority", F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("line")), "o_orderpriority", "line")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45)")
+def keys_to_backfill(spark, d):
+    return files.backfill(table(spark, d, "orders").select("o_orderkey"), table(spark, d, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey")
+
+
+@query("SELECT event_type AS error, count(*) AS n, count(DISTINCT user_id) AS keys FROM events GROUP BY 1")
+def dead_letters(spark, d):
+    """Each event as a message that came twice."""
+    m = table(spark, d, "events").select(F.col("event_id").alias("message_id"), F.col("event_type").alias("error"), F.col("user_id").alias("key"))
+    return files.drained(m.unionByName(m))
+
+
+@query("SELECT conv_id, turn, turn % 5 <> 0 AND NOT (regexp_matches(text, '(?i)\\blatest\\b')) AND NOT (conv_id % 2 = 0 AND turn % 3 = 0) AS publish FROM conversations WHERE text IS NOT NULL")
+def publishable_answers(spark, d):
+    """Answers that still name a version ``latest``, or hold an unsupported part of an answered question, stay."""
+    text = F.when(F.col("turn") % 5 == 0, F.concat("text", F.lit(" the LATEST one"))).otherwise(F.col("text"))
+    return table(spark, d, "conversations").where("text is not null").select("conv_id", "turn", verify.may_publish(text, (F.col("conv_id") % 2 == 0).cast("int"), F.col("turn") % 3 == 0).alias("publish"))
