@@ -103,8 +103,8 @@ def _em(like: np.ndarray, starts: np.ndarray, size: np.ndarray, allowed: np.ndar
 
 def infer(texts: list[str], langs: list[str], table: np.ndarray, rounds: int = 6) -> tuple[list, list, list]:
     """Of each text: the prediction, its share in the unrestricted mixture, and the chosen set as (language, share)
-    by falling share. Sets grow by one language, in order of the unrestricted shares, as long as the penalised
-    likelihood of some text grows."""
+    by falling share. A text's set grows by one language, in order of the unrestricted shares, as long as its own
+    penalised likelihood grows, whatever texts stand beside it."""
     pred, score, sets = ["und"] * len(texts), [0.0] * len(texts), [[] for _ in texts]
     has = [i for i, t in enumerate(texts) if _LETTER.search(t)]
     if not has or not langs:
@@ -118,10 +118,11 @@ def infer(texts: list[str], langs: list[str], table: np.ndarray, rounds: int = 6
     full, _ = _em(like, at, size, np.ones((len(at), len(langs)), np.float32), rounds)
     place = np.argsort(np.argsort(-full, axis=1, kind="stable"), axis=1, kind="stable")
     chosen, best = _em(like, at, size, (place < 1).astype(np.float32), 0)
+    better = np.ones(len(at), bool)
     for k in range(2, len(langs) + 1):
         share, fit = _em(like, at, size, (place < k).astype(np.float32), rounds)
         fit = fit - 0.5 * (k - 1) * np.log(size + 1.0)
-        better = fit > best
+        better &= fit > best
         if not better.any():
             break
         best, chosen = np.where(better, fit, best), np.where(better[:, None], share, chosen)
