@@ -24,9 +24,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder of ``spark.checkpoint.dir``; a folder of our own only where it is unset."""
+    """A fresh path in the shared folder of ``spark.checkpoint.dir``; a folder of our own only where it is unset and one
+    machine does all."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.conf.get("spark.master", "local")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='gritstone-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/gritstone/{name}-{uuid.uuid4().hex}"
