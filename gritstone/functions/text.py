@@ -243,3 +243,30 @@ def line_of(text: Column, at: Column) -> Column:
 def claim_id_of(*columns: str) -> Column:
     """First 16 hex digits of the SHA-256 of the joined columns."""
     return F.substring(F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in columns]), 256), 1, 16)
+
+
+def used_in_n1(path: Column) -> Column:
+    """Whether a path lies below a folder of that name."""
+    return F.contains(F.coalesce(path, F.lit("")), F.lit("/used_in_n1/"))
+
+
+def json_list(text: Column) -> Column:
+    """A list of texts from JSON that is a list, or a text with one in it, fences and prose around it dropped; else a
+    text is its own only item. Blank and null give none."""
+    inner = F.regexp_extract(text, r"(?s)\[.*\]", 0)
+    got = F.from_json(F.when(inner != "", inner), "array<string>")
+    alone = F.when(F.trim(text) != "", F.array(text)).otherwise(F.array().cast("array<string>"))
+    return F.coalesce(F.when(F.forall(got, lambda x: x.isNotNull()), got), alone, F.array().cast("array<string>"))
+
+
+def listed_keys(record: Column, keys: list[str], defaults: dict[str, Column]) -> Column:
+    """The entries of a map whose keys are listed, with defaults for those that are not there."""
+    own = F.map_filter(F.coalesce(record, F.create_map().cast("map<string,string>")), lambda k, v: k.isin(keys) & v.isNotNull())
+    extra = F.create_map(*[x for k, v in defaults.items() for x in (F.lit(k), v.cast("string"))]) if defaults else F.create_map().cast("map<string,string>")
+    return F.map_concat(F.map_filter(extra, lambda k, v: ~F.map_contains_key(own, k)), own)
+
+
+def no_overlap(a: list[str], b: list[str]) -> None:
+    """Two sets of tool names share none, else ValueError."""
+    if both := sorted(set(a) & set(b)):
+        raise ValueError(f"tools of both: {', '.join(both)}")

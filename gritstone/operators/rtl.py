@@ -292,3 +292,27 @@ def cdc_pairs(domains: DataFrame, group: str, domain: str) -> DataFrame:
     d = domains.groupBy(group).agg(F.array_sort(F.collect_set(domain)).alias("d")).where(F.size("d") > 1)
     pairs = F.flatten(F.transform("d", lambda x, i: F.transform(F.slice("d", i + 2, F.size("d")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
     return d.select(group, F.explode(pairs).alias("p")).select(group, "p.a", "p.b")
+
+
+def dataflow(modules: DataFrame) -> DataFrame:
+    """P10: (path, module, instance, parent_signal, child_module, child_port, direction, bit_width, width_mismatch) of the
+    connections of instances: the direction by the port's beginning, the width of a numeric range, no mismatch, which takes the child's ports."""
+    i = modules.select("path", "module", F.explode("instances").alias("i")).select("path", "module", F.col("i.name").alias("instance"), F.col("i.module").alias("child_module"), F.explode("i.bindings").alias("b"))
+    bare = F.trim(F.regexp_replace("b.expr", r"\[.*?\]", ""))
+    bit = lambda n: F.regexp_extract("b.expr", r"\[\s*(\d+)\s*:\s*(\d+)\s*\]", n).try_cast("long")
+    way = F.when(F.col("b.port").rlike("^(?:i_|in_)"), "input").when(F.col("b.port").rlike("^(?:o_|out_)"), "output").otherwise("unknown")
+    return i.select("path", "module", "instance", F.when(bare != "", bare).otherwise(F.col("b.expr")).alias("parent_signal"), "child_module", F.col("b.port").alias("child_port"), way.alias("direction"), (F.abs(bit(1) - bit(2)) + 1).alias("bit_width"), F.lit(False).alias("width_mismatch"))
+
+
+def sub_records(modules: DataFrame, pipeline: str, fewest: int = 50) -> DataFrame:
+    """P5: (path, module_name, sub_record_type, analysis_type, parsed_summary, instance_list, parameter_list) of modules
+    of so many ports or more: a record for each class of ports, one for all ports, one for the instances, one for the parameters, if any."""
+    large = modules.where(F.size("ports") >= fewest)
+    said = lambda what, items: F.concat(F.lit("Module '"), F.col("module"), F.lit(f"' {what}: "), F.array_join(items, ", "))
+    inst = F.transform("instances", lambda i: F.concat_ws(" ", i["module"], i["name"]))
+    params = F.transform("params", lambda p: F.concat_ws("=", p["name"], p["value"]))
+    shape = lambda df, kind, text, i, p: df.select("path", F.col("module").alias("module_name"), F.lit(kind).alias("sub_record_type"), F.lit("module_parse_chunk").alias("analysis_type"), text.alias("parsed_summary"), i.alias("instance_list"), p.alias("parameter_list"))
+    none = F.lit("")
+    out = shape(port_claims(large, pipeline, fewest), "port_summary", F.col("claim_text"), none, none)
+    out = out.unionByName(shape(large.where(F.size("instances") > 0), "instance_hierarchy", said("instance hierarchy", inst), F.array_join(inst, " "), none))
+    return out.unionByName(shape(large.where(F.size("params") > 0), "parameter_config", said("parameter configuration", params), none, F.array_join(params, " ")))

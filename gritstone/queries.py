@@ -1154,3 +1154,28 @@ def publishable_answers(spark, d):
     """Answers that still name a version ``latest``, or hold an unsupported part of an answered question, stay."""
     text = F.when(F.col("turn") % 5 == 0, F.concat("text", F.lit(" the LATEST one"))).otherwise(F.col("text"))
     return table(spark, d, "conversations").where("text is not null").select("conv_id", "turn", verify.may_publish(text, (F.col("conv_id") % 2 == 0).cast("int"), F.col("turn") % 3 == 0).alias("publish"))
+
+
+@query(f"""SELECT 'm_' || s_nationkey AS module, {_INST} AS instance, unnest(['i_ai_clk', '{{a, b}}', 'q']) AS parent_signal, ['sram_macro', 'boot_rom', 'rf_macro', 'alu'][s_suppkey % 4 + 1] AS child_module, unnest(['i_ai_clk', 'i_data', 'o_q']) AS child_port, unnest(['input', 'input', 'output']) AS direction FROM supplier""")
+def dataflow_connections(spark, d):
+    return rtl.dataflow(rtl.parsed(rendered(spark, d))).select("module", "instance", "parent_signal", "child_module", "child_port", "direction")
+
+
+@query("""WITH n AS (SELECT n_nationkey AS k, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS c FROM nation)
+SELECT 'm_' || k AS module_name, 'parameter_config' AS sub_record_type, 'Module ''m_' || k || ''' parameter configuration: WIDTH=' || (k + 1) || ', TWICE=WIDTH*2' AS said FROM n UNION ALL SELECT 'm_' || k, 'instance_hierarchy', 'Module ''m_' || k || ''' instance hierarchy' FROM n WHERE c > 0
+UNION ALL SELECT 'm_' || k, 'port_summary', 'Module ''m_' || k || ''' has ' || x FROM n, unnest(['1', '1', '1', '1', '5 total ports']) y(x)""")
+def sub_records(spark, d):
+    """Of modules of five ports or more; the beginnings of what records of ports and instances say."""
+    r = rtl.sub_records(rtl.parsed(rendered(spark, d)), "n1", 5)
+    total = F.when(F.contains("parsed_summary", F.lit(" total ports: ")), F.regexp_extract("parsed_summary", "^(.*ports):", 1)).otherwise(F.regexp_extract("parsed_summary", r"^(.* has \d+) ", 1))
+    said = F.when(F.col("sub_record_type") == "port_summary", total).when(F.col("sub_record_type") == "instance_hierarchy", F.split("parsed_summary", ": ")[0]).otherwise(F.col("parsed_summary"))
+    return r.select("module_name", "sub_record_type", said.alias("said"))
+
+
+@query("""SELECT event_id, 'event_type=' || event_type || ',k=' || CASE WHEN event_id % 3 = 0 THEN json_extract_string(props, '$.k') ELSE 'none' END AS fields FROM events""")
+def log_records(spark, d):
+    """The listed fields of each event's properties, others dropped, absent ones by default."""
+    e = table(spark, d, "events")
+    record = F.map_concat(F.when(F.col("event_id") % 3 == 0, F.from_json("props", "map<string,string>")).otherwise(F.create_map().cast("map<string,string>")), F.create_map(F.lit("secret"), F.lit("x"), F.lit("event_type"), F.col("event_type")))
+    m = T.listed_keys(record, ["k", "event_type"], {"k": F.lit("none")})
+    return e.select("event_id", F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda x: F.concat_ws("=", x["key"], x["value"])), ",").alias("fields"))

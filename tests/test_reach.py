@@ -64,3 +64,30 @@ def test_created_claims(spark):
     assert got["n1"].evidence[0].extraction_date == "2024" and tuple(got["n1"].evidence[1]) == ("c2", "known", "2020")
     assert [(r.claim_id, r.version, r.status) for r in changed.collect()] == [("o1", 2, "conflicted")]
     assert {(r.claim_id, tuple(r.errors)) for r in refused.collect()} == {("n3", ("evidence", "confidence", "topic")), ("o1", ("claim_id",)), ("n4", ("claim_id",))}
+
+
+def test_json_maps_and_names(spark):
+    from gritstone.functions import text as T
+
+    texts = ['["a", "b"]', 'Here: ```json\n["x"]\n``` done', "plain", "", None, "[not json", "[1, 2]", "[]"]
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(T.json_list(F.col("t"))).collect()]
+    assert got == [["a", "b"], ["x"], ["plain"], [], [], ["[not json"], ["1", "2"], []]
+    m = spark.createDataFrame([({"a": "1", "z": "2", "n": None},), (None,)], "m map<string,string>").select(T.listed_keys(F.col("m"), ["a", "n"], {"a": F.lit("d"), "t": F.lit(5)}))
+    assert [r[0] for r in m.collect()] == [{"t": "5", "a": "1"}, {"a": "d", "t": "5"}]
+    assert [r[0] for r in spark.createDataFrame([("x/used_in_n1/y",), ("used_in_n1",), (None,)], "p string").select(T.used_in_n1(F.col("p"))).collect()] == [True, False, False]
+    T.no_overlap(["a"], ["b"])
+    import pytest
+
+    with pytest.raises(ValueError, match="a"):
+        T.no_overlap(["a", "c"], ["b", "a"])
+
+
+def test_dataflow_and_sub_records(spark):
+    from gritstone.operators import rtl
+
+    text = "module top #(parameter W = 8) (input a, input b);\n sub u1 (.i_x(d[7:0]), .out_y({p, q}), .z(e[3]));\nendmodule"
+    m = rtl.parsed(spark.createDataFrame([("f", text)], "path string, content string"))
+    assert {(r.child_port, r.parent_signal, r.direction, r.bit_width, r.width_mismatch) for r in rtl.dataflow(m).collect()} == {("i_x", "d", "input", 8, False), ("out_y", "{p, q}", "output", None, False), ("z", "e", "unknown", None, False)}
+    assert rtl.sub_records(m, "p").count() == 0
+    got = {r.sub_record_type: (r.parsed_summary, r.instance_list, r.parameter_list) for r in rtl.sub_records(m, "p", 2).collect()}
+    assert got["instance_hierarchy"] == ("Module 'top' instance hierarchy: sub u1", "sub u1", "") and got["parameter_config"] == ("Module 'top' parameter configuration: W=8", "", "W=8") and "2 total ports" in got["port_summary"][0]
