@@ -38,8 +38,8 @@ def active_loops(files: DataFrame, key: str = "path", text: str = "content") ->
     closes = F.when((F.col("e") > 0) & (F.col("peak") > F.col("after")), F.sequence(F.col("after") + 1, F.col("peak")))
     ends = facts.where(closes.isNotNull()).select(key, F.explode(closes).alias("depth"), "line", F.col("line").alias("end"), F.lit(None).cast(facts.schema["loop"].dataType).alias("loop"), "last")
     starts = facts.where("loop is not null").select(key, F.col("peak").alias("depth"), "line", F.lit(None).cast("int").alias("end"), "loop", "last")
-    ahead = Window.partitionBy(key, "depth").orderBy("line", F.col("end").isNotNull()).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    spans = starts.unionByName(ends).withColumn("until", F.coalesce(F.first("end", ignorenulls=True).over(ahead), "last")).where("loop is not null")
+    ahead = Window.partitionBy(key, "depth").orderBy(F.desc("line"), F.col("end").isNotNull().desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    spans = starts.unionByName(ends).withColumn("until", F.coalesce(F.last("end", ignorenulls=True).over(ahead), "last")).where("loop is not null")
     inside = spans.select(key, F.explode(F.sequence("line", "until")).alias("inner"), F.struct(F.col("line").alias("start_line"), "loop").alias("x"))
     inside = inside.withColumnRenamed("inner", "line").groupBy(key, "line").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["loop"].withField("start_line", x["start_line"])).alias("loops"))
     return inside.join(lines.select(key, "line"), [key, "line"], "left_semi")

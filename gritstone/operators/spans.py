@@ -27,8 +27,9 @@ def closing(marks: DataFrame, key: str, at: str, opens: Column, shut: str) -> Da
     so_far = Window.partitionBy(key).orderBy(at).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = marks.withColumn("_open", opens).withColumn("_sum", F.sum(F.when(F.col("_open"), 1).otherwise(-1)).over(so_far))
     rows = rows.withColumn("_level", F.when(F.col("_open"), F.col("_sum")).otherwise(F.col("_sum") + 1))
-    ahead = Window.partitionBy(key, "_level").orderBy(at).rowsBetween(1, Window.unboundedFollowing)
-    return rows.withColumn("close", F.when(F.col("_open"), F.first(F.when(~F.col("_open"), F.col(shut)), ignorenulls=True).over(ahead))).drop("_open", "_sum", "_level")
+    # Read backwards: Spark runs on over a frame that grows, and begins anew for each row of one that shrinks.
+    ahead = Window.partitionBy(key, "_level").orderBy(F.desc(at)).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("close", F.when(F.col("_open"), F.last(F.when(~F.col("_open"), F.col(shut)), ignorenulls=True).over(ahead))).drop("_open", "_sum", "_level")
 
 
 def owners(intervals: DataFrame, points: DataFrame, key: str, path: bool = False, upto: str | None = None) -> DataFrame:
@@ -68,14 +69,14 @@ def owners(intervals: DataFrame, points: DataFrame, key: str, path: bool = False
 
 def upcoming(left: DataFrame, right: DataFrame, key: str, within: int, value: str) -> DataFrame:
     """``left`` (key, start, ...) with ``value`` of the next ``right`` (key, start, end, value) that begins at or after
-    it and ends within so many places of its start, else null: one window that looks ahead."""
+    it and ends within so many places of its start, else null: one window, read backwards as in :func:`closing`."""
     cols = [c for c in left.columns if c not in (key, "start")]
     side = left.select(key, "start", F.struct(*cols).alias("_left") if cols else F.struct(F.lit(1)).alias("_left"))
     kind = side.schema["_left"].dataType
     both = side.select(key, "start", F.lit(0).alias("_side"), "_left", F.lit(None).cast(right.select(F.struct("end", value)).schema[0].dataType).alias("_next"))
     both = both.unionByName(right.select(key, "start", F.lit(1).alias("_side"), F.lit(None).cast(kind).alias("_left"), F.struct("end", value).alias("_next")))
-    ahead = Window.partitionBy(key).orderBy("start", "_side").rowsBetween(1, Window.unboundedFollowing)
-    both = both.withColumn("_n", F.first("_next", ignorenulls=True).over(ahead)).where("_side = 0")
+    ahead = Window.partitionBy(key).orderBy(F.desc("start"), F.desc("_side")).rowsBetween(Window.unboundedPreceding, -1)
+    both = both.withColumn("_n", F.last("_next", ignorenulls=True).over(ahead)).where("_side = 0")
     return both.select(key, "start", *[F.col("_left")[c].alias(c) for c in cols], F.when(F.col("_n.end") <= F.col("start") + within, F.col("_n")[value]).alias(value))
 
 

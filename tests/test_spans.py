@@ -153,3 +153,15 @@ def test_repeaters(spark):
     texts = ["begin : gen_col_0 " + r, "begin : gen_west tt_noc_repeaters #(\n .NUM_REPEATERS(6)\n) u_w (", "begin : gen_east_repeater " + r, loops + "begin : gen_repeater " + r, "begin : plain " + r]
     got = {x.block: tuple(x)[1:] for x in generate.repeaters(spark.createDataFrame(list(enumerate(texts)), "block int, content string")).collect()}
     assert got == {0: ("u_rep", 4, "UNKNOWN", "0", "1"), 1: ("u_w", 6, "UNKNOWN", "1", "2"), 2: ("u_rep", 4, "UNKNOWN", "0", "1"), 3: ("u_rep", 4, "0..5", "0", "3"), 4: ("u_rep", 4, "UNKNOWN", "1", "2")}
+
+
+def test_windows_never_shrink(spark):
+    """Looking ahead takes time in proportion: Spark evaluates a frame that ends with the partition anew for each row."""
+    marks = spark.range(40_000).select(F.lit(1).alias("k"), F.col("id").alias("at"), (F.col("id") % 2 == 0).alias("o"))
+    paired = spans.closing(marks, "k", "at", F.col("o"), "at")
+    ahead = spans.upcoming(marks.where("o").select("k", F.col("at").alias("start")), marks.where("not o").select("k", F.col("at").alias("start"), F.col("at").alias("end"), F.col("at").alias("v")), "k", 1, "v")
+    loops = generate.active_loops(spark.createDataFrame([(1, "for (int i = 0; i < 2; i++) begin\n a;\nend")], "path int, content string"))
+    for df in (paired, ahead, loops):
+        assert not re.search(r"(?:1|currentrow\$\(\)), unboundedfollowing", df._jdf.queryExecution().toString().lower())
+    assert paired.where("o and close = at + 1").count() == 20_000 and paired.where("not o and close is null").count() == 20_000
+    assert ahead.where("v = start + 1").count() == 20_000 and [r.line for r in loops.orderBy("line").collect()] == [1, 2, 3]
