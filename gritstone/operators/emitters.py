@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from . import generate
-from .spans import matches
+from .spans import matches, passed
 
 # The forms of declarations, what names say of wires, tiles by place, and how many constants a summary
 # names.
@@ -30,6 +30,7 @@ WIRE_BARE = r"(?m)^[ \t]*((?:\w+::)?\w+_t)\s+((?:\[[^\]]+\]\s*)*)(\w+)\s*((?:\[[
 PURPOSES = [("clock_routing", "clock distribution"), ("de_to_t6", "dispatch-to-tensix feedthrough"), ("t6_to_de", "tensix-to-dispatch feedthrough"), ("edc_", "EDC ring connection"), ("noc_", "NoC interconnect"), ("axi_", "AXI bus connection"), ("apb_", "APB bus connection"), ("prtn", "power partition chain")]
 FUNCTION = r"(?s)(?:(automatic|static)\s+)?\bfunction\s+(automatic\s+|static\s+)?((?:(?:void|int|integer|logic|bit|byte|shortint|longint|string|real)(?:\s+(?:unsigned|signed))?(?:\s*\[[^\]]*\])*|(?:\w+)))\s+(\w+)\s*\(([^)]*)\)\s*;"
 TASK = r"(?s)(?:(automatic|static)\s+)?\btask\s+(automatic\s+|static\s+)?(\w+)\s*\(([^)]*)\)\s*;"
+ENDS = "endfunction"
 ARGUMENT = r"^(?:(\w+)(?:\s+(?:unsigned|signed))?(?:\s*\[[^\]]*\])*\s+)?(\w+)\s*$"
 LISTED, SHORT_BODY, SHORT_RETURN, GRID_LISTED = 30, 20, 60, 10
 TILES = {(0, 4): "NOC2AXI_NE_OPT", (1, 4): "NOC2AXI_ROUTER_NE_OPT", (2, 4): "NOC2AXI_ROUTER_NW_OPT", (3, 4): "NOC2AXI_NW_OPT", (0, 3): "DISPATCH_E", (3, 3): "DISPATCH_W", (1, 3): "ROUTER", (2, 3): "ROUTER"}
@@ -114,17 +115,26 @@ def _summary(body: Column) -> Column:
 
 
 def functions_and_tasks(files: DataFrame) -> DataFrame:
-    """Heads of functions and tasks outside modules, with a line on bodies of up to 20 lines of functions."""
+    """Heads of functions and tasks outside modules, with a line on bodies of up to 20 lines of functions.
+
+    What stands before a head is counted by a running sum. Texts are cut at ``endfunction`` once, and a head meets the
+    piece that it stands in, so that no head carries its file."""
+    word = matches(files, "path", "text", r"\b(?:end)?module\b").select("path", F.col("end").alias("at"), F.when(F.col("g0") == "module", 1).otherwise(-1).alias("n"))
+    shut = matches(files, "path", "text", rf"\b{ENDS}\b").select("path", (F.col("start") + 1).alias("at"), F.lit(1).alias("n"))
+    pieces = files.select("path", F.posexplode(F.split("text", rf"\b{ENDS}\b", -1)).alias("piece", "body"))
+    order = Window.partitionBy("path").orderBy("piece")
+    pieces = pieces.withColumn("from", F.sum(F.length("body") + len(ENDS)).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.length("body") - len(ENDS))
+    # The last piece has no end.
+    pieces = pieces.withColumn("_next", F.lead("piece").over(order)).where("_next is not null").drop("_next")
     out = []
     for pattern, groups, name, args in ((FUNCTION, 5, "g4", "g5"), (TASK, 4, "g3", "g4")):
-        found = matches(files, "path", "text", pattern, groups).join(files, "path")
-        before = F.substring("text", F.lit(1), F.col("start").cast("int"))
-        found = found.where(F.regexp_count(before, F.lit(r"\bmodule\b")) <= F.regexp_count(before, F.lit(r"\bendmodule\b")))
+        found = _found(files, pattern, groups)
+        found = passed(found, word, "path", "start", "deep").where("deep <= 0")
         qualifier = F.coalesce(F.when(F.col("g1") != "", F.col("g1")), F.when(_trim(F.col("g2")) != "", _trim(F.col("g2"))))
         tag = F.coalesce(F.concat(F.lit(" ["), qualifier, F.lit("]")), F.lit(""))
         if groups == 5:
-            rest = F.substring("text", (F.col("end") + 1).cast("int"), F.length("text"))
-            body = F.when(rest.rlike(r"\bendfunction\b"), _trim(F.element_at(F.split(rest, r"\bendfunction\b", 2), 1)))
+            found = passed(found, shut, "path", "end", "piece").join(pieces, ["path", "piece"], "left")
+            body = _trim(F.substring("body", (F.col("end") - F.col("from") + 1).cast("int"), F.length("body")))
             text = _say("Package '", F.col("owner"), "' defines function '", F.col(name), "(", _arguments(F.col(args), False), ") → ", F.regexp_replace(_trim(F.col("g3")), r"\s+", " "), "'", tag, F.coalesce(_summary(body), F.lit("")))
         else:
             text = _say("Package '", F.col("owner"), "' defines task '", F.col(name), "(", _arguments(F.col(args), True), ")'", tag)

@@ -20,6 +20,7 @@ _POSEDGE = re.compile(r"always(?:_ff)?\s*@\s*\(\s*posedge\s+(\w+)")
 _WIRE = re.compile(r"\b(?:wire|logic)\s+(?:(\w+)\s+)?(\w+)((?:\s*\[[^\]]+\])+)\s*;")
 _ENUM = re.compile(r"enum\s+(?:[\w\[\]: -]+)?\{([^}]*)\}\s*(\w+)", re.S)
 _STRUCT = re.compile(r"struct\s+packed\s*\{([^}]*)\}\s*(\w+)\s*;", re.S)
+_NAMED, _ENDED = re.compile(r"\s*([A-Za-z_]\w*)\s*\("), re.compile(r"\s*;")
 _FIELD = re.compile(r"(\w+)?\s*(\[[^\]]+\])?\s*(\w+)\s*$")
 _KEYWORDS = {"module", "endmodule", "input", "output", "inout", "wire", "logic", "reg", "assign", "always", "always_ff", "always_comb", "if", "else", "for", "begin", "end", "case", "endcase", "function", "task", "generate", "parameter", "localparam", "typedef", "struct", "enum", "package", "posedge", "negedge", "or", "and", "not"}
 
@@ -79,12 +80,12 @@ def instances(body: str) -> list[dict]:
                 continue
             overrides = bindings(body[m.end() : end])
             at = end + 1
-        name = re.match(r"\s*([A-Za-z_]\w*)\s*\(", body[at:])
+        name = _NAMED.match(body, at)
         if not name or name[1] in _KEYWORDS or (not m[2] and at == m.start()) or not (m[2] or body[m.end(1) : m.end(1) + 1].isspace()):
             continue
-        open_ = at + name.end() - 1
+        open_ = name.end() - 1
         end = closing(body, open_)
-        if end < 0 or not body[end + 1 :].lstrip().startswith(";"):
+        if end < 0 or not _ENDED.match(body, end + 1):
             continue
         out.append({"module": m[1], "name": name[1], "bindings": bindings(body[open_ + 1 : end]), "overrides": [{"name": o["port"], "value": o["expr"]} for o in overrides]})
     return out

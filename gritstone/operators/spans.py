@@ -20,6 +20,15 @@ def matches(texts: DataFrame, key: str, text: str, pattern: str, groups: int = 0
     return rows.select(key, (F.col("end") - F.length("g0")).alias("start"), "end", "g0", *more)
 
 
+def passed(points: DataFrame, marks: DataFrame, key: str, at: str, name: str) -> DataFrame:
+    """``points`` with ``name``, the sum of ``n`` over the marks (key, at, n) of their key at or before their ``at``."""
+    kind = points.select(F.struct(*points.columns).alias("_p")).schema["_p"].dataType
+    both = points.select(key, F.col(at).cast("long").alias("_at"), F.lit(1).alias("_turn"), F.lit(0).alias("_n"), F.struct(*points.columns).alias("_p"))
+    both = both.unionByName(marks.select(key, F.col("at").cast("long").alias("_at"), F.lit(0).alias("_turn"), F.col("n").cast("int").alias("_n"), F.lit(None).cast(kind).alias("_p")))
+    so_far = Window.partitionBy(key).orderBy("_at", "_turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return both.withColumn(name, F.sum("_n").over(so_far)).where("_p is not null").select("_p.*", name)
+
+
 def closing(marks: DataFrame, key: str, at: str, opens: Column, shut: str) -> DataFrame:
     """Bracket matching: ``marks`` with ``close``, for each opening mark the ``shut`` of the mark that closes it, else
     null. Each mark opens or closes one level. With r the running sum after an opening mark, the mark that closes it is

@@ -1,5 +1,7 @@
 """Claims of all emitters on literals."""
 
+import time
+
 from pyspark.sql import functions as F
 
 from gritstone.operators import emitters, rtl
@@ -83,3 +85,19 @@ def test_grids(spark):
     assert {r.k: r.summary.partition(". ")[0] + r.summary[-10:] for r in every.collect()} == {"a": "EP Index Table: 1×3=3 endpoints,2) TENSIX", "c": "EP Index Table: 5×4=20 endpoints (10 more)"}
     assert cells.where("k = 'c' and ep = 19").select("tile_type").first()[0] == "UNKNOWN"
     assert cells.select(F.max("ep")).first()[0] == 19
+
+
+def test_long_files(spark):
+    """A file of many functions and instances takes time in proportion; heads before one end share its piece."""
+    n = 3000
+    package = "package p;\n" + "".join(f"function int f{i}(int a);\n return a{i};\nendfunction\n" for i in range(n))
+    package += "function void q(int a);\nfunction int r();\nx = 1;\nendfunction\nmodule m;\nfunction int no();\nendfunction\nendmodule\nfunction int last();\nx = 1;"
+    start = time.time()
+    said = [r.claim_text for r in emitters.functions_and_tasks(spark.createDataFrame([("a", "p", package)], "path string, owner string, text string")).collect()]
+    of = "Package 'p' defines function '"
+    assert sorted(said) == sorted([f"{of}f{i}(int a) → int'. Summary: returns a{i}" for i in range(n)] + [of + "q(int a) → void'. Summary: 1 assignment(s)", of + "r() → int'. Summary: 1 assignment(s)", of + "last() → int'"])
+    assert time.time() - start < 30
+    start = time.time()
+    module = "module m;\n" + "".join(f"sub #(.N({i})) u{i} (.a(s{i}), .b(t)) ;\n" for i in range(20_000)) + "endmodule\n"
+    found = rtl.parse(module)[0]["instances"]
+    assert [i["name"] for i in found] == [f"u{i}" for i in range(20_000)] and time.time() - start < 10
