@@ -99,17 +99,28 @@ def pack(sizes: list[int], most: int) -> list[int]:
     return out
 
 
+#: Fixed value: characters of chunks that a task gathers before it hands them on.
+HELD = 1 << 20
+
+
 def chunks(docs: DataFrame, how: Callable[[str], list[str]], key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, chunk index, chunk); a null text has none."""
 
+    def made(out):
+        ids, index, parts = map(list, zip(*out)) if out else ([], [], [])
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(index, pa.int64()), pa.array(parts, pa.string())], names=["doc_id", "chunk", "part"])
+
     def run(batches):
         for batch in batches:
-            ids, index, parts = [], [], []
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for i, c in enumerate(how(t) if t else []):
-                    ids.append(k)
-                    index.append(i)
-                    parts.append(c)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(index, pa.int64()), pa.array(parts, pa.string())], names=["doc_id", "chunk", "part"])
+            out, held = [], 0
+            # One text at a time, and chunks leave as they come: a batch of long texts is never there as objects.
+            for k, t in zip(batch.column(0), batch.column(1)):
+                for i, c in enumerate(how(whole) if (whole := t.as_py()) else []):
+                    out.append((k.as_py(), i, c))
+                    held += len(c)
+                if held > HELD:
+                    yield made(out)
+                    out, held = [], 0
+            yield made(out)
 
     return docs.select(F.col(key).cast("long"), text).mapInArrow(run, "doc_id long, chunk long, part string")

@@ -1,5 +1,6 @@
 """Operators of the reference's kind, on literals."""
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -154,3 +155,22 @@ def test_hits_of_another_pipeline_raise(spark):
         claims.clean_hits(hits).collect()
     got = spark.createDataFrame([("",), (" a ",), ("x" * 257,), (None,)], "q string").select(claims.length_ok(F.col("q"))).collect()
     assert [r[0] for r in got] == [False, True, False, False]
+
+
+def test_chunks_leave_as_they_come(spark):
+    """A task holds the chunks of a megabyte or one text, not of a whole batch of texts."""
+
+    class Caught:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):  # noqa: N802
+            self.run = run
+            return self
+
+    texts = ["One two. " * 20_000, None, "", *["Three four. " * 50_000] * 5]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    out = list(chunk.chunks(Caught(), chunk.by_sentences).run(iter([batch])))
+    assert len(out) > 3 and max(sum(map(len, b.column(2).to_pylist())) for b in out) < 2_000_000
+    rows = [tuple(r.values()) for b in out for r in b.to_pylist()]
+    assert rows == [(k, i, c) for k, t in enumerate(texts) if t for i, c in enumerate(chunk.by_sentences(t))]
