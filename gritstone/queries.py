@@ -899,9 +899,7 @@ SELECT x.id AS doc_id, y.id AS "by" FROM k JOIN o x ON x.n = k.n JOIN o y ON y.n
 def retired_duplicates(spark, d):
     """Near duplicates of a language, newest first: what a kept newer one resembles goes."""
     docs = table(spark, d, "documents").withColumn("made", F.col("doc_id") * 7919 % 1009)
-    newest = [-F.col("made")]
-    copies, pairs = claims.classes_alike(docs.withColumnRenamed("lang", "g"), "g", "doc_id", "text", 0.7, order=newest)
-    return claims.retire_copies(claims.retire(pairs, docs, "doc_id", "made", newest), copies, "doc_id")
+    return claims.retired(docs.withColumnRenamed("lang", "g"), "g", "doc_id", "text", 0.7, "made", [-F.col("made")])
 
 
 _GRAPH = """n AS MATERIALIZED (SELECT 'r' || r_regionkey AS id, 'chip_' || r_regionkey AS name, 'Module' AS type FROM region UNION ALL SELECT 'n' || n_nationkey, 'block_' || n_nationkey, 'Module' FROM nation

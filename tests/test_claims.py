@@ -179,3 +179,46 @@ def test_crowds(spark, monkeypatch, least, at_once):
     gone = claims.retire_copies(claims.retire(pairs, df, "id", "made", [-F.col("made")]), copies, "id")
     every = claims.retire(spark.createDataFrame([(a, b) for a, b in want], "a int, b int"), df, "id", "made", [-F.col("made")])
     assert sorted(map(tuple, gone.collect())) == sorted(map(tuple, every.collect()))
+
+
+@pytest.mark.parametrize("least", [0.6, 0.7, 0.9])
+def test_sets_are_cut_as_the_larger_asks(spark, least):
+    """Parts of sets meet and bits tell long ones apart; no pair at the limit is lost, on either side of a cut."""
+    r = random.Random(2)
+    texts = []
+    for n in (50, 63, 64, 70, 180, 255, 256, 300, 500, 512, 730, 1023, 1024, 1100):
+        base = [f"w{r.randrange(10**9)}" for _ in range(n)]
+        texts.append(base)
+        for _ in range(8):  # a number of words that keeps the pair near the limit
+            lost = r.randint(0, int((1 - least) * n))
+            room = int((n - lost) / least) - n
+            texts.append(base[lost:] + [f"x{r.randrange(10**9)}" for _ in range(max(0, room - r.randint(0, 1)))])
+    words = [set(t) for t in texts]
+    rows = [(i, " ".join(r.sample(t, len(t)))) for i, t in enumerate(texts)]
+    got = {(x.a, x.b) for x in claims.pairs_alike(spark.createDataFrame(rows, "id int, s string").withColumn("g", F.lit(1)), "g", "id", "s", least).collect()}
+    want = {(i, j) for i, a in enumerate(words) for j, b in enumerate(words) if i < j and len(a & b) / len(a | b) >= least}
+    assert got == want and len(want) > 60
+
+
+def test_crowds_meet_the_rows_that_stay(spark, monkeypatch):
+    """Rows that a newest few retire do not meet each other: pairs of a crowd grow with its rows, not with their square."""
+    r = random.Random(8)
+    base = [f"w{i}" for i in range(80)]
+    sets = [[w for w in base if r.random() > 0.04] + [f"x{i}"] for i in range(300)]  # a crowd
+    sets += [r.sample([f"v{i}" for i in range(90)], r.randint(20, 60)) for _ in range(120)] + [sets[4], sets[9]]
+    r.shuffle(sets)
+    rows = [(i % 17 == 0, i, " ".join(s), r.randrange(50)) for i, s in enumerate(sets)]
+    monkeypatch.setattr(claims, "LOOKED", 1)
+    monkeypatch.setattr(claims, "EARLY", 12)
+    kept, plain = [], claims.stored
+    monkeypatch.setattr(claims, "stored", lambda df, name: (kept.append((name, plain(df, name))), kept[-1][1])[1])
+    df, newest = spark.createDataFrame(rows, "g boolean, id int, s string, made int"), [-F.col("made")]
+    got = sorted(map(tuple, claims.retired(df, "g", "id", "s", 0.7, "made", newest).collect()))
+    monkeypatch.setattr(claims, "stored", plain)
+    words = [set(s) for s in sets]
+    alike = [(i, j) for i, a in enumerate(words) for j, b in enumerate(words) if i < j and rows[i][0] == rows[j][0] and len(a & b) / len(a | b) >= 0.7]
+    want = claims.retire(spark.createDataFrame(alike, "a int, b int"), df, "id", "made", newest)
+    assert got == sorted(map(tuple, want.collect()))
+    crowd = [i for i, t in enumerate(words) if "v" not in {w[0] for w in t}]
+    met = sum(x.where(F.col("a").isin(crowd) & F.col("b").isin(crowd)).count() for name, x in kept if name == "near")
+    assert met < 1500 and len(set(alike) & {(i, j) for i in crowd for j in crowd}) > 30_000
